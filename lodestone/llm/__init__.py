@@ -9,7 +9,9 @@ from importlib import import_module
 
 _MODULES = (
     "decontaminate",
+    "ngram_join",
     "piece_codec",
+    "warc",
     "license_scan",
     "language_id",
 )

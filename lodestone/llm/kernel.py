@@ -209,3 +209,29 @@ def ship(spark: SparkSession) -> None:
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def scatter(part: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
+    """(part, bytes of each array's items of that part): many small records travel as one row a part."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cuts = np.flatnonzero(np.diff(part)) + 1 if len(part) else []
+    arrays = [a[order] for a in arrays]
+    for lo, hi in zip([0, *cuts], [*cuts, len(part)], strict=True):
+        if hi > lo:
+            yield int(part[lo]), *(a[lo:hi].tobytes() for a in arrays)
+
+
+def gathered(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
+    """The arrays that ``scatter`` packed into the rows of a binary column, one after another."""
+    got = [np.frombuffer(x, dtype=dtype) for x in column.to_pylist() if x]
+    return np.concatenate(got) if got else np.zeros(0, dtype=dtype)
+
+
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """A part for each hash, from its high bits."""
+    return ((h >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
+
+
+def signed(h: np.ndarray) -> np.ndarray:
+    return h.view(np.int64)
