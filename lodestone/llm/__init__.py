@@ -10,6 +10,7 @@ from importlib import import_module
 _MODULES = (
     "decontaminate",
     "ngram_join",
+    "suffix_dedup",
     "piece_codec",
     "warc",
     "license_scan",
