@@ -11,6 +11,8 @@ _MODULES = (
     "decontaminate",
     "ngram_join",
     "suffix_dedup",
+    "kneser_ney",
+    "deleted_interpolation",
     "piece_codec",
     "warc",
     "license_scan",
