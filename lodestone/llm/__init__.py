@@ -10,6 +10,7 @@ from importlib import import_module
 _MODULES = (
     "decontaminate",
     "ngram_join",
+    "hilbert_ann",
     "suffix_dedup",
     "kneser_ney",
     "deleted_interpolation",
