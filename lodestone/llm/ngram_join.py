@@ -7,10 +7,12 @@ overlap with each group; only groups that can reach the threshold are opened and
 * Tokens are ordered, common ones last (a fixed-size bitmap of tokens met often), then by hash. Two linked
   sets share at least ``min(DEPTH, needed overlap)`` tokens within their first ``n - needed + DEPTH``, so
   only those are exchanged, as arrays, one row for each batch and part.
-* A class joins the group of the smallest class with which it shares most of these tokens. Large groups
-  are salted into blocks of about ``BLOCK`` classes, so a hot group never meets in one task.
+* A class joins the group of the smallest class with which it shares most of these tokens, apart by size:
+  linked sets are of one size class or of neighbouring ones. Large groups are salted into blocks of about
+  ``BLOCK`` classes, so a hot group never meets in one task.
 * Blocks are compared inside, then with their group's first block, then only classes that are still apart
-  visit the other blocks. A visitor opens a block if its overlap with the block's token union is enough.
+  visit the other blocks, packed in blocks themselves. A visitor opens a block if its overlap with the
+  block's token union is enough.
 
 Links inside a known component add nothing, so they are not sought: the output grows with the documents,
 and no link between different components is lost.
@@ -31,9 +33,9 @@ from .kernel import SPACED, Words, gathered, grams, mix, part_of, partitions, pi
 DEPTH = 8
 BLOCK = 64
 #: A token is common if this many documents of one batch hold it.
-COMMON_IN_BATCH = 4
+COMMON_IN_BATCH = 2
 #: Bits of the bitmaps of common tokens and of classes; their size does not depend on the data.
-BITMAP = 1 << 24
+BITMAP = 1 << 26
 
 
 def needed(n, share: int):
@@ -62,7 +64,7 @@ SHIFT = 65 - BITMAP.bit_length()
 
 
 def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of the hashes' high bits: BITMAP bits, 2 MB, whatever their number."""
+    """A bitmap of the hashes' high bits: BITMAP bits, 8 MB, whatever their number."""
     at = F.shiftrightunsigned(F.col(column), SHIFT) + 1  # a bucket holds 32,768 values, the first is 1
     rows = hashes.select(F.bitmap_bucket_number(at).alias("number"), F.bitmap_bit_position(at).alias("position"))
     out = np.zeros(BITMAP // 8, dtype=np.uint8)
@@ -247,18 +249,21 @@ def classes(docs: DataFrame, key: str, text: str, n: int, share: int) -> DataFra
 
     # groups: each class goes to the smallest class of the token lists in which it meets most others of it
     enough = F.least(F.lit(DEPTH), F.ceil(F.col("n") * share / 100))
+    bucket = F.floor(F.log("n") / float(np.log(100 / share) * 1.0001))
     centre = shared.groupBy("token").agg(F.min("class").alias("centre"))
     joined = shared.join(centre, "token").groupBy("class", "n", "centre").agg(F.count("*").alias("both"))
     own = (
         joined.where(F.col("both") >= enough)
         .groupBy("class")
-        .agg(F.max_by("centre", F.struct("both", -F.col("centre").cast("decimal(20,0)"))).alias("own"))
+        .agg(F.max_by("centre", F.struct("both", -F.col("centre").cast("decimal(20,0)"))).alias("centre"))
     )
-    placed = stored(shared.join(own, "class", "left").select("token", "class", "n", F.coalesce("own", "class").alias("own")), "placed")
-    matrix = placed.select("token", F.col("own").alias("group")).distinct()
+    named = F.xxhash64(F.coalesce("centre", "class"), "bucket")
+    placed = shared.withColumn("bucket", bucket).join(own, "class", "left").select("token", "class", "n", "bucket", named.alias("own"))
+    placed = stored(placed, "placed")
+    matrix = placed.select("token", F.col("own").alias("group"), F.col("bucket").alias("of")).distinct()
     visits = (
         placed.join(matrix, "token")
-        .where("group <> own")
+        .where("group <> own and abs(of - bucket) <= 1")
         .groupBy("class", "n", "group")
         .agg(F.count("*").alias("both"))
         .where(F.col("both") >= enough)
@@ -268,9 +273,9 @@ def classes(docs: DataFrame, key: str, text: str, n: int, share: int) -> DataFra
     member = placed.select("class", "own").distinct()
     sizes = member.groupBy("own").agg(F.count("*").alias("size"))
     busy = sizes.where("size > 1").select("own").union(visits.select(F.col("group").alias("own"))).distinct()
-    busy = busy.join(sizes, "own")
-    salt = F.pmod(F.xxhash64("class"), F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("long"))
-    member = stored(member.join(busy, "own").select("class", F.col("own").alias("group"), salt.alias("salt")), "groups")
+    busy = busy.join(sizes, "own").select("own", F.ceil(F.col("size") / BLOCK).cast("long").alias("salts"))
+    salt = F.pmod(F.xxhash64("class"), F.col("salts"))
+    member = stored(member.join(busy, "own").select("class", F.col("own").alias("group"), "salts", salt.alias("salt")), "groups")
     wanted = member.select("class").union(visits.select("class")).distinct()
     bits = sc.broadcast(bitmap(wanted, "class"))
     sets = texts.mapInArrow(_emit_sets(n, bits), "class long, tokens binary").groupBy("class").agg(F.first("tokens").alias("tokens"))
@@ -288,27 +293,27 @@ def classes(docs: DataFrame, key: str, text: str, n: int, share: int) -> DataFra
     empty = "array<struct<class:bigint,comp:bigint,tokens:binary>>"
 
     def visited(asked: DataFrame, comps: DataFrame | None) -> DataFrame:
-        """Links found when the classes of ``asked`` (class, group, salt) visit those blocks."""
-        many = asked.groupBy("group", "salt").agg(F.count("*").alias("many"))
-        dealt = asked.join(many, ["group", "salt"])
-        deal = F.pmod(F.xxhash64("class", F.lit(7)), F.ceil(F.col("many") / BLOCK).cast("long"))
-        rows = with_comps(dealt.select("class", "group", "salt", deal.alias("deal")).join(sets, "class"), comps)
-        visitors = rows.groupBy("group", "salt", "deal").agg(F.collect_list(F.struct("class", "comp", "tokens")).alias("visitors"))
-        return visitors.join(blocks(comps), ["group", "salt"]).select("members", "visitors").mapInArrow(_links(share), "a long, b long")
+        """Links found when the classes of ``asked`` (class, group, salts) visit blocks 0 .. salts - 1 of the group, a pack at a time."""
+        many = asked.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("packs"))
+        deal = F.pmod(F.xxhash64("class", F.lit(7)), F.col("packs")).alias("pack")
+        rows = asked.join(many, "group").select("class", "group", "salts", deal)
+        rows = with_comps(rows.join(sets, "class"), comps)
+        packs = rows.groupBy("group", "pack", "salts").agg(F.collect_list(F.struct("class", "comp", "tokens")).alias("visitors"))
+        packs = packs.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "visitors")
+        return packs.join(blocks(comps), ["group", "salt"]).select("members", "visitors").mapInArrow(_links(share), "a long, b long")
 
     inner = blocks(None).select("members", F.lit(None).cast(empty).alias("visitors")).mapInArrow(_links(share), "a long, b long")
-    links = stored(inner.union(visited(member.where("salt > 0").select("class", "group", F.lit(0).cast("long").alias("salt")), None)), "joined")
+    links = stored(inner.union(visited(member.where("salt > 0").select("class", "group", F.lit(1).cast("long").alias("salts")), None)), "joined")
     comps = stored(components(links), "components")
 
     # who is still apart: members outside their group's main component, and visitors from other groups
     labelled = with_comps(member, comps)
     count = labelled.groupBy("group", "comp").agg(F.count("*").alias("many"))
     main = count.groupBy("group").agg(F.max_by("comp", "many").alias("main"), F.count("*").alias("comps"))
-    salts = member.select("group", "salt").distinct()
-    apart = labelled.join(main, "group").where("comp <> main").select("class", "group").join(salts, "group")
-    apart = apart.join(member.select("class", "group", F.col("salt").alias("home")), ["class", "group"]).where("salt <> home").drop("home")
-    foreign = with_comps(visits, comps).join(main, "group").where("comp <> main or comps > 1").select("class", "group").join(salts, "group")
-    more = stored(visited(apart.union(foreign).distinct(), comps), "joined")
+    salts = member.groupBy("group").agg(F.first("salts").alias("salts"))
+    apart = labelled.where("salts > 1").join(main, "group").where("comp <> main").select("class", "group")
+    foreign = with_comps(visits, comps).join(main, "group").where("comp <> main or comps > 1").select("class", "group")
+    more = stored(visited(apart.union(foreign).join(salts, "group"), comps), "joined")
     every = stored(components(links.union(more)), "components")
     return info.join(every.withColumnRenamed("node", "class"), "class", "left").select("key", "n", "class", F.coalesce("component", "class").alias("component"))
 
