@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 
 from .kernel import SPACED, Words, _gram_factor, hash_word, mix, part_of, partitions, pieces, read, ship, stored, text_column
 
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 6 << 20
 END, START = hash_word("\x00end"), hash_word("\x00start")
 HELD, DEV, TRAIN = 0, 1, 2
 BUCKETS = 24
 STEP = 0.25
-_DROP = np.uint64(8)
+#: Pair hashes have this many bits more than the corpus has bytes, so that about one pair in 10**5 or fewer shares its hash.
+SPARE_BITS = 16
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -57,7 +58,7 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 class Tokens:
     """Lower-cased words and an end for each document, with their distinct words and pairs."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, bits: int, places: bool):
         hashes, counts = [], []
         for lo, hi in pieces(offsets):
             w = Words(buf, offsets[lo : hi + 1], SPACED)
@@ -68,16 +69,23 @@ class Tokens:
         self.first = np.cumsum(self.counts) - self.counts
         before = np.concatenate([[np.uint64(START)], h[:-1]]) if len(h) else h
         before[self.first] = START
-        pair = mix(before * _gram_factor[0] + h * _gram_factor[1] + np.uint64(2)) >> _DROP << _DROP
-        self.words, self.word, self.word_counts = np.unique(h, return_inverse=True, return_counts=True)
-        self.pairs, self.pair, self.pair_counts = np.unique(pair, return_inverse=True, return_counts=True)
+        pair = mix(before * _gram_factor[0] + h * _gram_factor[1] + np.uint64(2))
+        del before
+        pair &= ~np.uint64((1 << (64 - bits)) - 1)
+        if places:
+            self.words, word = np.unique(h, return_inverse=True)
+            self.pairs, pair = np.unique(pair, return_inverse=True)
+            self.word, self.pair = word.astype(np.int32), pair.astype(np.int32)
+        else:
+            self.words, self.word_counts = np.unique(h, return_counts=True)
+            self.pairs, self.pair_counts = np.unique(pair, return_counts=True)
 
 
 _ASKED = "dest int, block string, kind int, n int, part int, hashes binary, counts binary, payload binary"
 _ANSWER = "block string, kind int, n int, part int, total binary, deleted binary, payload binary"
 
 
-def _ask(parts: int):
+def _ask(parts: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for batch in batches:
@@ -89,14 +97,14 @@ def _ask(parts: int):
                     rows = batch.slice(lo, hi - lo).filter(pa.array(kinds == kind))
                     if rows.num_rows:
                         number += 1
-                        yield _question(rows, kind, parts, number)
+                        yield _question(rows, kind, parts, bits, number)
 
     return run
 
 
-def _question(rows: pa.RecordBatch, kind: int, parts: int, number: int) -> pa.RecordBatch:
+def _question(rows: pa.RecordBatch, kind: int, parts: int, bits: int, number: int) -> pa.RecordBatch:
     buf, offsets, _ = text_column(rows, "text")
-    t = Tokens(buf, offsets)
+    t = Tokens(buf, offsets, bits, False)
     keys = pa.RecordBatch.from_arrays([rows.column(0)], names=["key"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, keys.schema) as out:
@@ -111,7 +119,7 @@ def _question(rows: pa.RecordBatch, kind: int, parts: int, number: int) -> pa.Re
         cut = np.searchsorted(part_of(hashes, parts), np.arange(parts + 1))
         for part in np.flatnonzero(np.diff(cut)).tolist():
             some = slice(cut[part], cut[part + 1])
-            asked = hashes[some] if n == 1 else hashes[some] >> _DROP
+            asked = hashes[some] if n == 1 else hashes[some] >> np.uint64(64 - bits)
             made.append((part, block, kind, n, part, pack_sorted(asked), pack(counts[some].astype(np.uint32)), None))
     made.append((number % parts, block, kind, 0, len(made), None, None, payload))
     kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -163,7 +171,7 @@ def _blocks(answers: DataFrame) -> DataFrame:
     )
 
 
-def _restore(row: dict) -> tuple[pa.Array, Tokens, list[np.ndarray], list[np.ndarray]]:
+def _restore(row: dict, bits: int) -> tuple[pa.Array, Tokens, list[np.ndarray], list[np.ndarray]]:
     """(keys, tokens, totals and deleted counts of the block's words and pairs)."""
     data, fields, at = row["payload"], [], 0
     for _ in range(3):
@@ -172,7 +180,7 @@ def _restore(row: dict) -> tuple[pa.Array, Tokens, list[np.ndarray], list[np.nda
         at += 8 + size
     keys = pa.ipc.open_stream(fields[0]).read_all().column(0).combine_chunks()
     offsets = np.concatenate([[0], np.cumsum(unpack(fields[1], np.int64))])
-    t = Tokens(np.frombuffer(zstandard.ZstdDecompressor().decompress(fields[2], max_output_size=int(offsets[-1])), np.uint8), offsets)
+    t = Tokens(np.frombuffer(zstandard.ZstdDecompressor().decompress(fields[2], max_output_size=int(offsets[-1])), np.uint8), offsets, bits, True)
     given = sorted(row["given"], key=lambda g: (g["n"], g["part"]))
     if len(given) != row["answers"]:
         raise RuntimeError("a block lacks answers: it was cut otherwise when a lost task ran again")
@@ -197,13 +205,13 @@ def _level(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.round(-np.log(np.maximum(p, 1e-300)) / STEP), -1).astype(np.int64)
 
 
-def _evidence(kept: float):
+def _evidence(kept: float, bits: int):
     """(bucket, pair level, word level, tokens) of deleted documents under the counts without them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                _, t, total, deleted = _restore(batch.slice(i, 1).to_pylist()[0])
+                _, t, total, deleted = _restore(batch.slice(i, 1).to_pylist()[0], bits)
                 words, pairs = total[0] - deleted[0], total[1] - deleted[1]
                 context = _context(t, words)
                 pair = pairs[t.pair] / np.maximum(context, 1)
@@ -232,12 +240,12 @@ def learn_weights(bucket: np.ndarray, pair: np.ndarray, word: np.ndarray, tokens
     return np.array([fit(bucket == b) if tokens[bucket == b].sum() >= 100 else whole for b in range(BUCKETS)])
 
 
-def _score(weights: np.ndarray, n: int, v: int):
+def _score(weights: np.ndarray, n: int, v: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                keys, t, (words, pairs), _ = _restore(row)
+                keys, t, (words, pairs), _ = _restore(row, bits)
                 count, context = words[t.word], _context(t, words)
                 w = weights[bucket_of(context)]
                 p = w[:, 0] * pairs[t.pair] / np.maximum(context, 1) + w[:, 1] * count / max(n, 1) + w[:, 2] / (v + 1)
@@ -269,14 +277,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """
     spark = docs.sparkSession
     ship(spark)
-    parts = partitions(spark)
+    parts = 2 * partitions(spark)
     fold = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(10)), F.lit(9)).cast("int")
     rows = docs.select(F.col(key).alias("key"), fold.alias("fold"), F.col(text).alias("text"))
-    asked = rows.mapInArrow(_ask(parts), _ASKED)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(64, SPARE_BITS + max(24, size.bit_length()))
+    asked = rows.mapInArrow(_ask(parts, bits), _ASKED)
     answers = stored(asked.repartition(parts, "dest").drop("dest").select(*(x.split()[0] for x in _ASKED.split(", ")[1:])).mapInArrow(_answer, _ANSWER), "counts")
     sums = np.array([np.frombuffer(r[0], np.int64) for r in answers.where("n = -1").select("total").collect()], dtype=np.int64).reshape(-1, 4).sum(axis=0)
     v, n, kept_v, deleted = (int(x) for x in sums)
-    evidence = _blocks(answers.where(F.col("kind") == DEV)).mapInArrow(_evidence(n - deleted), "code long, tokens long")
+    evidence = _blocks(answers.where(F.col("kind") == DEV)).mapInArrow(_evidence(n - deleted, bits), "code long, tokens long")
     seen = evidence.groupBy("code").agg(F.sum("tokens")).collect()  # at most buckets times levels squared
     code = np.array([r[0] for r in seen], dtype=np.int64)
     tokens = np.array([r[1] for r in seen], dtype=np.float64)
@@ -284,7 +294,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     weights = learn_weights(code >> 40, back((code >> 20) & 0xFFFFF), back(code & 0xFFFFF), tokens, 1 / (kept_v + 1))
     kind = rows.schema["key"].dataType.simpleString()
     out = _blocks(answers).mapInArrow(
-        _score(weights, n, v), f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        _score(weights, n, v, bits), f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return out.withColumnRenamed("key", key)
 
