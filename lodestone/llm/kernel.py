@@ -155,6 +155,14 @@ class RollingHash:
         self.prefix = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_BYTE_VALUE[data] * powers(len(data))[: len(data)], out=self.prefix[1:])
 
+    def windows(self, length: int) -> np.ndarray:
+        """Hashes of all spans of one length; entry i begins at i."""
+        n = len(self.prefix) - length
+        out = self.prefix[length:] - self.prefix[:n]
+        out *= self.back[:n]
+        out += np.uint64(length)
+        return mix(out)
+
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.prefix[end] - self.prefix[start]) * self.back[start] + (end - start).astype(np.uint64))
 

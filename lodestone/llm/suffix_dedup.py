@@ -30,6 +30,8 @@ from .suffix_order import suffix_array
 
 LENGTH = 400
 GRAM = 48
+#: Bytes of documents, and of surroundings of whole grams, that are worked on at once.
+PIECE, CHUNK = 1 << 19, 1 << 20
 
 
 def owners(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -43,9 +45,8 @@ def owners(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tupl
     if n < length:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     rolling = RollingHash(data)
-    at = np.arange(n - gram + 1)
     mask = np.uint64((1 << max(24, n.bit_length())) - 1)  # the same for all but huge documents
-    value = (rolling.spans(at, at + gram) & ~mask) | at.astype(np.uint64)
+    value = (rolling.windows(gram) & ~mask) | np.arange(n - gram + 1, dtype=np.uint64)
     blocks = -(-len(value) // width) + 1
     padded = np.full(blocks * width, np.iinfo(np.uint64).max, dtype=np.uint64)
     padded[: len(value)] = value
@@ -73,7 +74,7 @@ def _count_owners(length: int, gram: int, parts: int):
             buf, offsets, _ = text_column(batch)
             rows = np.array(batch.column(0).to_pylist(), dtype=np.int64)
             grams, keys, index = [], [], []
-            for lo, hi in pieces(offsets):
+            for lo, hi in pieces(offsets, PIECE):
                 document, _, _, _, h = owners(buf, offsets[lo : hi + 1], length, gram)
                 if len(h):
                     first = np.searchsorted(document, document, side="left")
@@ -151,7 +152,7 @@ def _send_surroundings(length: int, gram: int, parts: int):
             rows = np.array(batch.column(0).to_pylist(), dtype=np.int64)
             lists = batch.column(2).to_pylist()
             strings: dict[tuple[int, int, int], list] = {}
-            for lo, hi in pieces(offsets):
+            for lo, hi in pieces(offsets, PIECE):
                 document, _, s0, s1, h = owners(buf, offsets[lo : hi + 1], length, gram)
                 if not len(h):
                     continue
@@ -196,7 +197,7 @@ def _send_surroundings(length: int, gram: int, parts: int):
                 out.append(
                     (
                         p,
-                        np.array([x[0] for x in some], np.uint64).tobytes(),
+                        np.array([x[:2] for x in some], np.uint64).tobytes(),
                         meta.tobytes(),
                         b"".join(strings[x][0] for x in some),
                         np.array([strings[x][1][0] for x in some], np.int64).tobytes(),
@@ -283,28 +284,36 @@ def _settle(length: int):
         if not got:
             return
         table = pa.Table.from_batches(got)
-        gram, meta = gathered(table["grams"], np.uint64), gathered(table["meta"], np.int32).reshape(-1, 2).astype(np.int64)
+        hashes, meta = gathered(table["grams"], np.uint64).reshape(-1, 2), gathered(table["meta"], np.int32).reshape(-1, 2).astype(np.int64)
         origin, data = gathered(table["origin"], np.int64).reshape(-1, 2), gathered(table["data"], np.uint8)
         del table, got
+        gram = hashes[:, 0]
         begin = np.concatenate([[0], np.cumsum(meta[:, 0])])
-        whole = RollingHash(data).spans(begin[:-1], begin[1:]) ^ mix(gram + meta[:, 1].astype(np.uint64))
+        whole = hashes[:, 1] ^ mix(gram + meta[:, 1].astype(np.uint64))
         _, lead, number, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
         marked = np.zeros(len(lead), dtype=bool)
         marked[number[origin[:, 1] < 0]] = True
         settled = (count > 1) | marked
-        # distinct strings of grams that have more than one
+        # distinct strings of grams that have more than one, in chunks of whole grams
         _, g, many = np.unique(gram[lead], return_inverse=True, return_counts=True)
-        mixed = many[g] > 1
-        use = lead[mixed]
+        mixed = np.flatnonzero(many[g] > 1)
+        mixed = mixed[np.argsort(gram[lead[mixed]], kind="stable")]
         keys: dict[int, list[np.ndarray]] = {}
         answer: dict[int, np.ndarray] = {}
-        if len(use):
+        bytes_before = np.cumsum(meta[lead[mixed], 0])
+        chunk = bytes_before // CHUNK
+        same = np.append(False, gram[lead[mixed]][1:] == gram[lead[mixed]][:-1]) if len(mixed) else np.zeros(0, bool)
+        cuts = np.flatnonzero(np.append(False, chunk[1:] != chunk[:-1]) & ~same) if len(mixed) else np.zeros(0, int)
+        for part in np.split(mixed, cuts):
+            if not len(part):
+                continue
+            use = lead[part]
             sizes = meta[use, 0]
             packed_begin = np.concatenate([[0], np.cumsum(sizes)])
             take = np.repeat(begin[use] - packed_begin[:-1], sizes) + np.arange(packed_begin[-1])
             found = repeated_starts(data[take], packed_begin, meta[use, 1], gram[use], length)
             flat = np.concatenate([[0], np.cumsum(meta[use, 1])])
-            for k, n in enumerate(np.flatnonzero(mixed).tolist()):
+            for k, n in enumerate(part.tolist()):
                 answer[n] = np.flatnonzero(found[flat[k] : flat[k + 1]])
         for i in np.flatnonzero(origin[:, 1] >= 0).tolist():
             n = int(number[i])
@@ -374,7 +383,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     """
     spark = docs.sparkSession
     ship(spark)
-    parts = partitions(spark)
+    parts = 2 * partitions(spark)
     gram = min(GRAM, length // 2) if gram is None else gram
     docs = docs.drop("kept", "n_removed", "removed_spans")
     keyed = docs.select("*", F.xxhash64(F.col(key), F.col(text)).alias("__row"), F.col(text).alias("__text"))
