@@ -7,8 +7,8 @@ overlap with each group; only groups that can reach the threshold are opened and
 * Tokens are ordered, common ones last (a fixed-size bitmap of tokens met often), then by hash. Two linked
   sets share at least ``min(DEPTH, needed overlap)`` tokens within their first ``n - needed + DEPTH``, so
   only those are exchanged, as arrays, one row for each batch and part.
-* A class joins the group of the smallest class with which it shares most of these tokens, apart by size:
-  linked sets are of one size class or of neighbouring ones. Large groups are salted into blocks of about
+* A class joins the group of the smallest class with which it shares most of these tokens, apart by size,
+  and visits the groups whose sizes it can link to and with which it shares enough of them. Large groups are salted into blocks of about
   ``BLOCK`` classes, so a hot group never meets in one task.
 * Blocks are compared inside, then with their group's first block, then only classes that are still apart
   visit the other blocks, packed in blocks themselves. A visitor opens a block if its overlap with the
@@ -253,17 +253,17 @@ def classes(docs: DataFrame, key: str, text: str, n: int, share: int) -> DataFra
     centre = shared.groupBy("token").agg(F.min("class").alias("centre"))
     joined = shared.join(centre, "token").groupBy("class", "n", "centre").agg(F.count("*").alias("both"))
     own = (
-        joined.where(F.col("both") >= enough)
+        joined.where(2 * F.col("both") >= enough)
         .groupBy("class")
         .agg(F.max_by("centre", F.struct("both", -F.col("centre").cast("decimal(20,0)"))).alias("centre"))
     )
     named = F.xxhash64(F.coalesce("centre", "class"), "bucket")
     placed = shared.withColumn("bucket", bucket).join(own, "class", "left").select("token", "class", "n", "bucket", named.alias("own"))
     placed = stored(placed, "placed")
-    matrix = placed.select("token", F.col("own").alias("group"), F.col("bucket").alias("of")).distinct()
+    matrix = placed.groupBy("token", F.col("own").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     visits = (
         placed.join(matrix, "token")
-        .where("group <> own and abs(of - bucket) <= 1")
+        .where(f"group <> own and 100 * n >= {share} * least and {share} * n <= 100 * most")
         .groupBy("class", "n", "group")
         .agg(F.count("*").alias("both"))
         .where(F.col("both") >= enough)
