@@ -35,43 +35,42 @@ def in_degree(edges: DataFrame, key: str = "program_id") -> DataFrame:
     return ends.groupBy(key, "node").agg(F.sum("n").alias("degree"))
 
 
-def topological_order(edges: DataFrame, key: str = "program_id", checkpoint_levels: int = 4) -> DataFrame:
+def topological_order(edges: DataFrame, key: str = "program_id") -> DataFrame:
     """(key, node, level, pos): callers before callees in first-in first-out order, for all programs at once.
 
     A node comes after its last caller; nodes of one level are ordered by that caller's place and the
     line of the last call. Nodes on a cycle, and those that only such nodes lead to, have no place.
-    ``edges`` has (key, ln, src, dst); each level is one pass over the edges of the level before.
+    ``edges`` has (key, ln, src, dst). Each level joins its own nodes with their calls and writes the
+    nodes' state once.
     """
-    edges = stored(edges.select(key, "ln", "src", "dst"), "edges")
-    degree = in_degree(edges, key)
+    edges = stored(edges.select(key, F.col("ln").cast("long").alias("ln"), "src", "dst"), "edges")
     first = edges.groupBy(key, F.col("src").alias("node")).agg(F.min("ln").alias("ln"))
-    rank = lambda by: F.row_number().over(Window.partitionBy(key).orderBy(by)).cast("long")
-    level = stored(
-        degree.where("degree = 0").join(first, [key, "node"]).select(key, "node", F.lit(0).alias("level"), rank("ln").alias("pos")), "level"
-    )
-    waiting = stored(degree.where("degree > 0").select(key, "node", "degree", F.lit(None).cast("struct<pos:bigint,ln:bigint>").alias("by")), "waiting")
-    done, used, n = level, level.groupBy(key).agg(F.max("pos").alias("base")), 0
-    while True:
-        n += 1
+    rank = F.row_number().over(Window.partitionBy(key, "ready").orderBy("by")).cast("long")
+    start = in_degree(edges, key).join(first, [key, "node"], "left").withColumn("ready", F.col("degree") == 0)
+    start = start.withColumn("by", F.struct(F.lit(0).cast("long").alias("pos"), F.col("ln"))).withColumn("pos", F.when(F.col("ready"), rank))
+    by = F.when(~F.col("ready"), F.lit(None)).otherwise(F.col("by")).alias("by")
+    state = stored(start.select(key, "node", "degree", by, F.when(F.col("ready"), 0).alias("level"), "pos"), "order")
+    n = 0
+    while not state.where(F.col("level") == n).isEmpty():
         arrived = (
-            level.withColumnRenamed("node", "src")
+            state.where(F.col("level") == n)
+            .select(key, F.col("node").alias("src"), "pos")
             .join(edges, [key, "src"])
             .groupBy(key, F.col("dst").alias("node"))
-            .agg(F.count("*").alias("many"), F.max(F.struct("pos", F.col("ln").cast("long").alias("ln"))).alias("last"))
-        )
-        waiting = waiting.join(arrived, [key, "node"], "left").select(
-            key, "node", (F.col("degree") - F.coalesce("many", F.lit(0))).alias("degree"), F.greatest("by", "last").alias("by")
+            .agg(F.count("*").alias("many"), F.max(F.struct("pos", "ln")).alias("last"))
         )
-        waiting = stored(waiting, "waiting")
-        ready = waiting.where("degree = 0").join(used, key).select(key, "node", F.lit(n).alias("level"), (F.col("base") + rank("by")).alias("pos"))
-        level = stored(ready, "level")
-        if level.isEmpty():
-            return done
-        waiting = waiting.where("degree > 0")
-        done = done.union(level)
-        used = done.groupBy(key).agg(F.max("pos").alias("base"))
-        if n % checkpoint_levels == 0:
-            done = stored(done, "order")
+        base = state.groupBy(key).agg(F.max("pos").alias("base"))
+        n += 1
+        left = state.join(arrived, [key, "node"], "left").join(base, key)
+        left = left.withColumn("degree", F.col("degree") - F.coalesce("many", F.lit(0))).withColumn("by", F.greatest("by", "last"))
+        left = left.withColumn("ready", (F.col("degree") == 0) & F.col("pos").isNull()).withColumn("rank", rank)
+        state = left.select(
+            key, "node", "degree", "by",
+            F.when(F.col("ready"), n).otherwise(F.col("level")).alias("level"),
+            F.when(F.col("ready"), F.col("base") + F.col("rank")).otherwise(F.col("pos")).alias("pos"),
+        )
+        state = stored(state, "order")
+    return state.where("pos is not null").select(key, "node", "level", "pos")
 
 
 def context_summary(edges: DataFrame, key: str = "program_id") -> DataFrame:
