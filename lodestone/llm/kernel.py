@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -18,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..storage import shared_folder, stored  # noqa: F401  (the operators take them from here)
+
 PIECE_BYTES = 1 << 21
 
 _U = np.uint64
@@ -172,23 +173,6 @@ def widened(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; set here only where unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="lodestone-checkpoint-")
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends here, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = shared_folder(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
