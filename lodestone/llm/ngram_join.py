@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bitmap import bitmap, in_bitmap
 from .components import components
 from .kernel import SPACED, Words, gathered, grams, mix, part_of, partitions, pieces, read, scatter, ship, signed, stored, text_column
 
@@ -34,8 +35,6 @@ DEPTH = 8
 BLOCK = 64
 #: A token is common if this many documents of one batch hold it.
 COMMON_IN_BATCH = 2
-#: Bits of the bitmaps of common tokens and of classes; their size does not depend on the data.
-BITMAP = 1 << 26
 
 
 def needed(n, share: int):
@@ -60,24 +59,6 @@ def fingerprint(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s).sum() + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0])
 
 
-SHIFT = 65 - BITMAP.bit_length()
-
-
-def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of the hashes' high bits: BITMAP bits, 8 MB, whatever their number."""
-    at = F.shiftrightunsigned(F.col(column), SHIFT) + 1  # a bucket holds 32,768 values, the first is 1
-    rows = hashes.select(F.bitmap_bucket_number(at).alias("number"), F.bitmap_bit_position(at).alias("position"))
-    out = np.zeros(BITMAP // 8, dtype=np.uint8)
-    for number, bits in rows.groupBy("number").agg(F.bitmap_construct_agg("position")).collect():
-        out[(number - 1) * 4096 : number * 4096] = np.frombuffer(bits, dtype=np.uint8)
-    return out
-
-
-def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h >> np.uint64(SHIFT)).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 def _describe(n: int):
     """Per document its set's size and fingerprint, and per batch the tokens that many of its documents hold."""
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitmap import bitmap, in_bitmap
 from .kernel import RollingHash, gathered, mix, part_of, partitions, pieces, read, scatter, ship, signed, stored, text_column, widened
 from .suffix_order import suffix_array
 
@@ -35,15 +36,17 @@ PIECE, CHUNK = 1 << 19, 1 << 20
 
 
 def owners(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, place, first and last owned window start, gram hash) of all owners, in text order.
+    """(document, first and last owned window start, gram hash, whether several) of all owners, in text order.
 
-    Places and starts are positions in ``buf[offsets[0]:offsets[-1]]``.
+    Starts are positions in ``buf[offsets[0]:offsets[-1]]``. Owners of one gram that follow each other, as in
+    a text that repeats a word, are taken together.
     """
     bounds = offsets - offsets[0]
     data = buf[offsets[0] : offsets[-1]]
     n, width = len(data), length - gram + 1
+    nothing = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, bool))
     if n < length:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
+        return nothing
     rolling = RollingHash(data)
     mask = np.uint64((1 << max(24, n.bit_length())) - 1)  # the same for all but huge documents
     value = (rolling.windows(gram) & ~mask) | np.arange(n - gram + 1, dtype=np.uint64)
@@ -58,12 +61,15 @@ def owners(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tupl
     document = np.searchsorted(bounds, np.arange(starts), side="right") - 1
     inside = np.flatnonzero(np.arange(starts) + length <= bounds[document + 1])
     if not len(inside):
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
+        return nothing
     own, document = owner[inside], document[inside]
     new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (document[1:] != document[:-1])]))
-    last = np.append(new[1:], len(inside)) - 1
-    place = own[new]
-    return document[new], place, inside[new], inside[last], rolling.spans(place, place + gram)
+    h, document = rolling.spans(own[new], own[new] + gram), document[new]
+    lead = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (document[1:] != document[:-1])]))
+    several = np.diff(np.append(lead, len(new))) > 1
+    first = new[lead]
+    last = np.append(first[1:], len(inside)) - 1
+    return document[lead], inside[first], inside[last], h[lead], several
 
 
 def _count_owners(length: int, gram: int, parts: int):
@@ -73,12 +79,13 @@ def _count_owners(length: int, gram: int, parts: int):
         for batch in batches:
             buf, offsets, _ = text_column(batch)
             rows = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            grams, keys, index = [], [], []
+            grams, keys, index, more = [], [], [], []
             for lo, hi in pieces(offsets, PIECE):
-                document, _, _, _, h = owners(buf, offsets[lo : hi + 1], length, gram)
+                document, _, _, h, several = owners(buf, offsets[lo : hi + 1], length, gram)
                 if len(h):
                     first = np.searchsorted(document, document, side="left")
                     grams.append(h)
+                    more.append(several)
                     keys.append(rows[lo + document])
                     index.append((np.arange(len(h)) - first).astype(np.int32))
             if not grams:
@@ -88,7 +95,8 @@ def _count_owners(length: int, gram: int, parts: int):
             h, key, place = h[order], key[order], place[order]
             same = np.zeros(len(h) + 1, dtype=bool)
             same[1:-1] = h[1:] == h[:-1]
-            repeated, lead = same[1:] | same[:-1], ~same[:-1]
+            lead = ~same[:-1]
+            repeated = same[1:] | same[:-1] | np.concatenate(more)[order]
             sent = np.where(repeated, np.int32(-1), place)  # -1: repeated here, and settled here
             out = [(*r, None) for r in scatter(part_of(h[lead], parts), h[lead], key[lead], sent[lead])]
             out += [(None, None, k, None, p) for k, p in _by_key(key[repeated], place[repeated])]
@@ -143,6 +151,16 @@ def _ranges(starts: np.ndarray, length: int) -> np.ndarray:
     return np.stack([starts[np.append(0, cut)], starts[np.append(cut - 1, len(starts) - 1)] + length], axis=1).ravel()
 
 
+def _only(wanted):
+    """The rows whose key is in a bitmap: most of the texts that need not move stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(wanted.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    return run
+
+
 def _send_surroundings(length: int, gram: int, parts: int):
     """Surroundings of repeated owners by part; rows whose equal surroundings met in this batch are settled here."""
 
@@ -153,7 +171,7 @@ def _send_surroundings(length: int, gram: int, parts: int):
             lists = batch.column(2).to_pylist()
             strings: dict[tuple[int, int, int], list] = {}
             for lo, hi in pieces(offsets, PIECE):
-                document, _, s0, s1, h = owners(buf, offsets[lo : hi + 1], length, gram)
+                document, s0, s1, h, several = owners(buf, offsets[lo : hi + 1], length, gram)
                 if not len(h):
                     continue
                 first = np.searchsorted(document, np.arange(hi - lo))
@@ -176,7 +194,7 @@ def _send_surroundings(length: int, gram: int, parts: int):
                     name = (int(h[k]), w, b - a)
                     entry = strings.get(name)
                     if entry is None:
-                        strings[name] = entry = [text[a : b + length], []]
+                        strings[name] = entry = [text[a : b + length], [], bool(several[k])]
                     entry[1].append((int(rows[lo + d]), a - int(start[d])))
             if not strings:
                 continue
@@ -193,7 +211,7 @@ def _send_surroundings(length: int, gram: int, parts: int):
                 by_part.setdefault(p, []).append(name)
             out: list[tuple] = []
             for p, some in by_part.items():
-                meta = np.array([(len(strings[x][0]), x[2] + 1) for x in some], np.int32)
+                meta = np.array([(len(strings[x][0]), x[2] + 1, strings[x][2]) for x in some], np.int32)
                 out.append(
                     (
                         p,
@@ -226,8 +244,6 @@ def repeated_starts(data: np.ndarray, begin: np.ndarray, owned: np.ndarray, gram
     """
     flat = np.concatenate([[0], np.cumsum(owned)])
     repeated = np.zeros(int(flat[-1]), dtype=bool)
-    if len(owned) < 2:
-        return repeated
     # words with the white space behind them, and one symbol for the end of each string
     is_space = _SPACE[data]
     head = np.ones(len(data), dtype=bool)
@@ -284,7 +300,7 @@ def _settle(length: int):
         if not got:
             return
         table = pa.Table.from_batches(got)
-        hashes, meta = gathered(table["grams"], np.uint64).reshape(-1, 2), gathered(table["meta"], np.int32).reshape(-1, 2).astype(np.int64)
+        hashes, meta = gathered(table["grams"], np.uint64).reshape(-1, 2), gathered(table["meta"], np.int32).reshape(-1, 3).astype(np.int64)
         origin, data = gathered(table["origin"], np.int64).reshape(-1, 2), gathered(table["data"], np.uint8)
         del table, got
         gram = hashes[:, 0]
@@ -294,9 +310,9 @@ def _settle(length: int):
         marked = np.zeros(len(lead), dtype=bool)
         marked[number[origin[:, 1] < 0]] = True
         settled = (count > 1) | marked
-        # distinct strings of grams that have more than one, in chunks of whole grams
+        # distinct strings of grams that have more than one, or that repeat a gram themselves, in chunks of whole grams
         _, g, many = np.unique(gram[lead], return_inverse=True, return_counts=True)
-        mixed = np.flatnonzero(many[g] > 1)
+        mixed = np.flatnonzero((many[g] > 1) | (meta[lead, 2] > 0))
         mixed = mixed[np.argsort(gram[lead[mixed]], kind="stable")]
         keys: dict[int, list[np.ndarray]] = {}
         answer: dict[int, np.ndarray] = {}
@@ -399,10 +415,12 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     counted = stored(counted, "owners")
     met = counted.where("part is not null").select("part", "grams", "keys", "places").repartition(parts, "part")
     met = met.drop("part").mapInArrow(_repeated_owners, "row_key long, found binary")
-    found = met.union(counted.where("part is null").select("row_key", "found"))
+    found = stored(met.union(counted.where("part is null").select("row_key", "found")), "repeated")
     silent = copies.where("not lead").select("row_key")
     asked = found.groupBy("row_key").agg(F.collect_list("found").alias("found")).join(silent, "row_key", "left_anti")
-    near = texts.join(asked, F.col("__row") == F.col("row_key")).select("__row", "text", "found")
+    bits = spark.sparkContext.broadcast(bitmap(found.select("row_key"), "row_key"))
+    some = texts.mapInArrow(_only(bits), texts.schema)
+    near = some.join(asked, F.col("__row") == F.col("row_key")).select("__row", "text", "found")
     sent = near.mapInArrow(
         _send_surroundings(length, gram, parts), "part int, grams binary, meta binary, data binary, origin binary, row_key long, ranges binary"
     )
