@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 
 from ..storage import shared_folder, stored  # noqa: F401  (the operators take them from here)
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 _U = np.uint64
 _BYTE_VALUE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
