@@ -8,6 +8,7 @@
    task of their gram. There the surroundings are cut into words and one suffix array is built over them
    by linear grouping (see ``suffix_order``). Neighbours among the suffixes that start at owned places
    give each the longest string it shares with another, which settles the windows behind word starts.
+   Strings without any repeated window are left out first.
 3. Windows left unsettled, those that a match enters or leaves inside a word, are compared exactly with
    the windows of the same gram.
 4. Repeated starts return to their documents, where covered bytes are removed.
@@ -237,10 +238,38 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def repeated_starts(data: np.ndarray, begin: np.ndarray, owned: np.ndarray, gram: np.ndarray, length: int) -> np.ndarray:
+def _slices(begin: np.ndarray, chunk: int = CHUNK) -> Iterator[tuple[int, int]]:
+    yield from pieces(begin, chunk)
+
+
+def window_hashes(data: np.ndarray, begin: np.ndarray, owned: np.ndarray, gram: np.ndarray, length: int) -> np.ndarray:
+    """Hash of every owned window with its gram, flat over the strings; a chunk of strings at a time."""
+    out = []
+    for i, j in _slices(begin):
+        flat = np.concatenate([[0], np.cumsum(owned[i:j])])
+        owner = np.repeat(np.arange(j - i), owned[i:j])
+        at = np.arange(flat[-1]) - flat[owner] + (begin[i:j] - begin[i])[owner]
+        out.append(RollingHash(data[begin[i] : begin[j]]).spans(at, at + length) ^ mix(gram[i:j])[owner])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def values_met_again(h: np.ndarray) -> np.ndarray:
+    ordered = np.sort(h)
+    return np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+
+
+def _among(h: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(h), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)] == h
+
+
+def repeated_starts(data: np.ndarray, begin: np.ndarray, owned: np.ndarray, window: np.ndarray, again: np.ndarray, length: int) -> np.ndarray:
     """Which owned window starts repeat, flat over the strings ``data[begin[i]:begin[i + 1]]``.
 
     String i owns its first ``owned[i]`` starts; strings differ, and each start of a document is owned once.
+    ``window`` has the owned windows' hashes, ``again`` the sorted hashes that strings of their grams, these
+    and any others, have more than once.
     """
     flat = np.concatenate([[0], np.cumsum(owned)])
     repeated = np.zeros(int(flat[-1]), dtype=bool)
@@ -282,15 +311,8 @@ def repeated_starts(data: np.ndarray, begin: np.ndarray, owned: np.ndarray, gram
     np.add.at(edge, at + many[good], -1)
     repeated = np.cumsum(edge[:-1]) > 0
     # what is unsettled is compared with all windows of its gram
-    owner = np.repeat(np.arange(len(owned)), owned)
-    open_grams = np.unique(gram[owner[~repeated]])
-    asked = np.flatnonzero(np.isin(gram, open_grams)[owner])
-    where = asked - flat[owner[asked]] + begin[owner[asked]]
-    window = rolling.spans(where, where + length) ^ mix(gram[owner[asked]])
-    rank = np.argsort(window, kind="stable")
-    twice = np.zeros(len(rank) + 1, dtype=bool)
-    twice[1:-1] = window[rank][1:] == window[rank][:-1]
-    repeated[asked[rank[twice[1:] | twice[:-1]]]] = True
+    unsettled = np.flatnonzero(~repeated)
+    repeated[unsettled] = _among(window[unsettled], again)
     return repeated
 
 
@@ -314,23 +336,33 @@ def _settle(length: int):
         _, g, many = np.unique(gram[lead], return_inverse=True, return_counts=True)
         mixed = np.flatnonzero((many[g] > 1) | (meta[lead, 2] > 0))
         mixed = mixed[np.argsort(gram[lead[mixed]], kind="stable")]
+
+        def strings_of(use: np.ndarray) -> tuple[np.ndarray, ...]:
+            body = np.concatenate([data[begin[k] : begin[k + 1]] for k in use])
+            starts = np.concatenate([[0], np.cumsum(meta[use, 0])])
+            window = window_hashes(body, starts, meta[use, 1], gram[use], length)
+            return body, starts, meta[use, 1], window, values_met_again(window)
+
         keys: dict[int, list[np.ndarray]] = {}
         answer: dict[int, np.ndarray] = {}
         bytes_before = np.cumsum(meta[lead[mixed], 0])
         chunk = bytes_before // CHUNK
         same = np.append(False, gram[lead[mixed]][1:] == gram[lead[mixed]][:-1]) if len(mixed) else np.zeros(0, bool)
         cuts = np.flatnonzero(np.append(False, chunk[1:] != chunk[:-1]) & ~same) if len(mixed) else np.zeros(0, int)
-        for part in np.split(mixed, cuts):
-            if not len(part):
-                continue
-            use = lead[part]
-            sizes = meta[use, 0]
-            packed_begin = np.concatenate([[0], np.cumsum(sizes)])
-            take = np.repeat(begin[use] - packed_begin[:-1], sizes) + np.arange(packed_begin[-1])
-            found = repeated_starts(data[take], packed_begin, meta[use, 1], gram[use], length)
-            flat = np.concatenate([[0], np.cumsum(meta[use, 1])])
-            for k, n in enumerate(part.tolist()):
-                answer[n] = np.flatnonzero(found[flat[k] : flat[k + 1]])
+        for part in np.split(mixed, cuts) if len(mixed) else []:
+            body, starts, owned, window, again = strings_of(lead[part])
+            flat = np.concatenate([[0], np.cumsum(owned)])
+            # strings without a repeated window have nothing to sort
+            live = np.flatnonzero(np.add.reduceat(_among(window, again).astype(np.int64), flat[:-1]) > 0)
+            sizes = np.concatenate([[0], np.cumsum(starts[live + 1] - starts[live])])
+            for i, j in _slices(sizes):
+                use = live[i:j]
+                packed = np.concatenate([body[starts[k] : starts[k + 1]] for k in use])
+                own = np.concatenate([window[flat[k] : flat[k + 1]] for k in use])
+                found = repeated_starts(packed, sizes[i : j + 1] - sizes[i], owned[use], own, again, length)
+                cut = np.concatenate([[0], np.cumsum(owned[use])])
+                for k, n in enumerate(part[use].tolist()):
+                    answer[n] = np.flatnonzero(found[cut[k] : cut[k + 1]])
         for i in np.flatnonzero(origin[:, 1] >= 0).tolist():
             n = int(number[i])
             starts = np.arange(meta[i, 1]) if settled[n] else answer.get(n)

@@ -70,7 +70,11 @@ def test_repeated_starts(seed, n, spaced):
     raw = [t.encode() for t in sorted(texts)]
     begin = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     owned = np.array([rnd.randint(1, len(r) - length + 1) for r in raw])
-    got = suffix_dedup.repeated_starts(np.frombuffer(b"".join(raw), np.uint8), begin, owned, np.zeros(len(raw), np.uint64), length)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    h = suffix_dedup.window_hashes(data, begin, owned, np.zeros(len(raw), np.uint64), length)
+    again = suffix_dedup.values_met_again(h)
+    got = suffix_dedup.repeated_starts(data, begin, owned, h, again, length)
+    assert not (suffix_dedup.repeated_starts(data, begin, owned, h, again[:0], length) & ~got).any()
     windows = [r[s : s + length] for r, k in zip(raw, owned, strict=True) for s in range(k)]
     want = [windows.count(w) > 1 for w in windows]
     assert got.tolist() == want
