@@ -24,9 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import SPACED, Words, _gram_factor, hash_word, mix, part_of, partitions, pieces, read, ship, stored, text_column
+from .kernel import SPACED, Words, _gram_factor, hash_word, mix, part_of, partitions, pieces, read, release, ship, stored, text_column
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 END, START = hash_word("\x00end"), hash_word("\x00start")
 HELD, DEV, TRAIN = 0, 1, 2
 BUCKETS = 24
@@ -98,6 +98,7 @@ def _ask(parts: int, bits: int):
                     if rows.num_rows:
                         number += 1
                         yield _question(rows, kind, parts, bits, number)
+                release()
 
     return run
 
@@ -159,6 +160,9 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if n == 1:
             sums = np.array([(total > 0).sum(), total.sum(), (total > deleted).sum(), deleted.sum()], dtype=np.int64)
             yield packed([(None, None, -1, 0, sums.tobytes(), None, None)])
+        del distinct, number, total, deleted
+        rows.clear()
+        release()
 
 
 def _blocks(answers: DataFrame) -> DataFrame:
@@ -218,6 +222,7 @@ def _evidence(kept: float, bits: int):
                 code = (bucket_of(context) << 40) | ((_level(pair) + 1) << 20) | (_level(words[t.word] / max(kept, 1)) + 1)
                 some, n = np.unique(code, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n, pa.int64())], names=["code", "tokens"])
+            release()
 
     return run
 
@@ -262,6 +267,8 @@ def _score(weights: np.ndarray, n: int, v: int, bits: int):
                     ],
                     names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+                del t, words, pairs, count, context, w, p, base
+                release()
 
     return run
 

@@ -7,6 +7,7 @@ worker's memory does not depend on the batch; one document is never cut.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -168,6 +169,15 @@ class RollingHash:
         return mix((self.prefix[end] - self.prefix[start]) * self.back[start] + (end - start).astype(np.uint64))
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker keeps running, and its executor's other tasks need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def widened(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` with more columns behind it."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
