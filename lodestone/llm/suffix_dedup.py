@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap, in_bitmap
-from .kernel import RollingHash, gathered, mix, part_of, partitions, pieces, read, scatter, ship, signed, stored, text_column, widened
+from .kernel import RollingHash, gathered, mix, part_of, partitions, pieces, read, release, scatter, ship, signed, stored, text_column, widened
 from .suffix_order import suffix_array
 
 LENGTH = 400
@@ -244,13 +244,14 @@ def _slices(begin: np.ndarray, chunk: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 def window_hashes(data: np.ndarray, begin: np.ndarray, owned: np.ndarray, gram: np.ndarray, length: int) -> np.ndarray:
     """Hash of every owned window with its gram, flat over the strings; a chunk of strings at a time."""
-    out = []
+    ends = np.cumsum(owned)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint64)
     for i, j in _slices(begin):
         flat = np.concatenate([[0], np.cumsum(owned[i:j])])
         owner = np.repeat(np.arange(j - i), owned[i:j])
         at = np.arange(flat[-1]) - flat[owner] + (begin[i:j] - begin[i])[owner]
-        out.append(RollingHash(data[begin[i] : begin[j]]).spans(at, at + length) ^ mix(gram[i:j])[owner])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        out[ends[i] - owned[i] : ends[j - 1]] = RollingHash(data[begin[i] : begin[j]]).spans(at, at + length) ^ mix(gram[i:j])[owner]
+    return out
 
 
 def values_met_again(h: np.ndarray) -> np.ndarray:
@@ -259,9 +260,11 @@ def values_met_again(h: np.ndarray) -> np.ndarray:
 
 
 def _among(h: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(h), dtype=bool)
-    return ordered[np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)] == h
+    out = np.zeros(len(h), dtype=bool)
+    for lo in range(0, len(h) if len(ordered) else 0, 1 << 18):
+        some = h[lo : lo + (1 << 18)]
+        out[lo : lo + (1 << 18)] = ordered[np.minimum(np.searchsorted(ordered, some), len(ordered) - 1)] == some
+    return out
 
 
 def repeated_starts(data: np.ndarray, begin: np.ndarray, owned: np.ndarray, window: np.ndarray, again: np.ndarray, length: int) -> np.ndarray:
@@ -353,7 +356,7 @@ def _settle(length: int):
             body, starts, owned, window, again = strings_of(lead[part])
             flat = np.concatenate([[0], np.cumsum(owned)])
             # strings without a repeated window have nothing to sort
-            live = np.flatnonzero(np.add.reduceat(_among(window, again).astype(np.int64), flat[:-1]) > 0)
+            live = np.flatnonzero(np.logical_or.reduceat(_among(window, again), flat[:-1]))
             sizes = np.concatenate([[0], np.cumsum(starts[live + 1] - starts[live])])
             for i, j in _slices(sizes):
                 use = live[i:j]
@@ -362,12 +365,14 @@ def _settle(length: int):
                 found = repeated_starts(packed, sizes[i : j + 1] - sizes[i], owned[use], own, again, length)
                 cut = np.concatenate([[0], np.cumsum(owned[use])])
                 for k, n in enumerate(part[use].tolist()):
-                    answer[n] = np.flatnonzero(found[cut[k] : cut[k + 1]])
+                    answer[n] = np.flatnonzero(found[cut[k] : cut[k + 1]]).astype(np.int32)
+            del body, window, again
+            release()
         for i in np.flatnonzero(origin[:, 1] >= 0).tolist():
             n = int(number[i])
             starts = np.arange(meta[i, 1]) if settled[n] else answer.get(n)
             if starts is not None and len(starts):
-                keys.setdefault(int(origin[i, 0]), []).append(_ranges(starts + origin[i, 1], length))
+                keys.setdefault(int(origin[i, 0]), []).append(_ranges(starts.astype(np.int64) + origin[i, 1], length))
         items = list(keys.items())
         for lo in range(0, len(items), 4096):
             some = items[lo : lo + 4096]
