@@ -3,8 +3,9 @@
 Vectors are projected to a few dimensions several times; each projection, with its own random shift, is
 walked by a Hilbert curve. Spark range-partitions the vectors by curve and key, positions on the curve
 follow from the partitions' sizes, and a query looks at the key window of ``reach`` of all vectors to
-either side. Windows travel as byte codes of the vectors; the windows' best candidates over all curves
-are merged and ranked again by exact cosines in double precision.
+either side. Windows travel as codes of two bytes a component, each with the length of what it leaves out,
+which bounds the error of a cosine from codes. Every candidate that may be among the best within these
+bounds is ranked again by exact cosines in double precision; their number is not limited.
 
 Equal vectors are indexed once with the smallest of their ids that any answer can need, so a vector that
 very many rows share neither fills windows nor loses ties. Every vector is in the index.
@@ -28,8 +29,9 @@ BITS = 3
 #: Share of all vectors in a query's window to either side of its place on each curve.
 REACH = 0.1
 CELL = 1024
-#: Candidates of each query that are ranked exactly.
-SHORTLIST = 48
+#: Largest code of a component, and what rounding in double precision may add to a cosine.
+TOP = 32767
+ROUNDING = 1e-9
 
 
 def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
@@ -71,6 +73,22 @@ def curve_keys(unit: np.ndarray, curve: int, dimensions: int = DIMENSIONS, bits:
     return hilbert_keys(np.minimum((shifted * (1 << bits)).astype(np.int64), (1 << bits) - 1), bits)
 
 
+def encoded(unit: np.ndarray) -> np.ndarray:
+    """A row of bytes for each unit vector: scale, length of what the code leaves out (not less), components."""
+    scale = (np.abs(unit).max(axis=1, keepdims=True) / TOP).astype(np.float32)
+    body = np.clip(np.round(unit / scale), -TOP, TOP).astype(np.int16)
+    off = np.linalg.norm(unit - body * scale.astype(np.float64), axis=1, keepdims=True)
+    off = (off * (1 + 1e-6) + 1e-12).astype(np.float32)
+    return np.concatenate([scale.view(np.int8), off.view(np.int8), body.view(np.int8)], axis=1)
+
+
+def decoded(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of n codes and their distances from the unit vectors at most."""
+    raw = np.frombuffer(data, np.int8).reshape(n, -1)
+    head = np.ascontiguousarray(raw[:, :8]).view(np.float32).astype(np.float64)
+    return np.ascontiguousarray(raw[:, 8:]).view(np.int16) * head[:, :1], head[:, 1]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=np.float64)
 
@@ -84,10 +102,7 @@ def _place(curves: int):
                 part = batch.slice(lo, 2048)
                 v = _matrix(part.column(1))
                 unit = v / np.linalg.norm(v / np.abs(v).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(v).max(axis=1, keepdims=True)
-                scale = np.abs(unit).max(axis=1, keepdims=True) / 127
-                body = np.round(unit / scale).astype(np.int8)
-                code = np.concatenate([scale.astype(np.float32).view(np.int8), body], axis=1)
-                codes = pa.array([c.tobytes() for c in code], pa.binary())
+                codes = pa.array([c.tobytes() for c in encoded(unit)], pa.binary())
                 for curve in range(curves):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(v), curve, np.int32)), pa.array(curve_keys(unit, curve)), part.column(0), part.column(2), codes],
@@ -156,47 +171,64 @@ def _cells(totals: dict[int, int], reach: float, wanted: bool):
     return run
 
 
-def _unit_codes(data: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(data, np.int8).reshape(n, -1)
-    return raw[:, 4:].astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
-
-
 def _window_best(keep: int):
-    """(query, candidate ids, about their cosines): the best of one cell for each query that looks at it."""
+    """(query, candidate ids, upper bounds of their cosines, ids and lower bounds of the ``keep`` best) of one cell for each query.
+
+    Candidates are all that may be among the cell's ``keep`` best.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 asked, there = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in (0, 2))
-                near = _unit_codes(batch.column(1)[i].as_py(), len(asked)) @ _unit_codes(batch.column(3)[i].as_py(), len(there)).T
+                x, x_off = decoded(batch.column(1)[i].as_py(), len(asked))
+                y, y_off = decoded(batch.column(3)[i].as_py(), len(there))
+                near = x @ y.T
+                # u.v - x.y = (u - x).v + x.(v - y), and x is at most 1 + |u - x| long
+                off = x_off[:, None] + (1 + x_off[:, None]) * y_off + ROUNDING
+                low, high = near - off, near + off
                 k = min(keep, len(there))
-                top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                score = np.take_along_axis(near, top, axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(asked), pa.array([there[t].tobytes() for t in top], pa.binary()), pa.array([s.tobytes() for s in score], pa.binary())],
-                    names=["query", "ids", "near"],
-                )
+                top = np.argpartition(-low, k - 1, axis=1)[:, :k]
+                least = np.take_along_axis(low, top, axis=1)
+                may = high >= least.min(axis=1, keepdims=True)
+                columns = [
+                    [there[m].tobytes() for m in may],
+                    [h[m].tobytes() for h, m in zip(high, may, strict=True)],
+                    [there[t].tobytes() for t in top],
+                    [x.tobytes() for x in least],
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(asked), *(pa.array(c, pa.binary()) for c in columns)], names=["query", "ids", "high", "top", "low"])
 
     return run
 
 
-def _merge(keep: int):
+def _bounds(keep: int):
+    """(query, bound): a cosine that ``keep`` candidates reach, or all if they are fewer."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            queries, found = [], []
-            for query, windows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate([np.frombuffer(w["ids"], np.int64) for w in windows])
-                near = np.concatenate([np.frombuffer(w["near"], np.float32) for w in windows])
+            bounds = []
+            for windows in batch.column(1).to_pylist():
+                ids = np.concatenate([np.frombuffer(w["top"], np.int64) for w in windows])
+                low = np.concatenate([np.frombuffer(w["low"], np.float64) for w in windows])
                 ids, first = np.unique(ids, return_index=True)
-                best = ids[np.argsort(-near[first], kind="stable")[:keep]]
-                queries.append(np.full(len(best), query))
-                found.append(best)
-            if queries:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(queries)), pa.array(np.concatenate(found))], names=["query", "candidate"])
+                bounds.append(float(np.sort(low[first])[-keep:][0]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bounds, pa.float64())], names=["query", "bound"])
 
     return run
 
 
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query, candidate) of the candidates that may reach their query's bound."""
+    for batch in batches:
+        queries, found = [], []
+        for query, ids, high, bound in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            found.append(np.frombuffer(ids, np.int64)[np.frombuffer(high, np.float64) >= bound])
+            queries.append(np.full(len(found[-1]), query))
+        if queries:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(queries)), pa.array(np.concatenate(found))], names=["query", "candidate"])
+
+
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 2048):
@@ -255,9 +287,11 @@ def search(
     cells = placed_runs.mapInArrow(_cells(totals, reach, False), schema)
     asking = placed_runs.mapInArrow(_cells(totals, reach, True), schema)
     pairs = asking.join(cells.withColumnsRenamed({"ids": "there", "codes": "there_codes"}), ["curve", "cell"]).select("ids", "codes", "there", "there_codes")
-    best = pairs.mapInArrow(_window_best(SHORTLIST), "query long, ids binary, near binary")
-    merged = best.groupBy("query").agg(F.collect_list(F.struct("ids", "near")).alias("windows"))
-    short = merged.mapInArrow(_merge(SHORTLIST), "query long, candidate long")
+    best = pairs.mapInArrow(_window_best(k + 1), "query long, ids binary, high binary, top binary, low binary")
+    best = stored(best, "windows")
+    bounds = best.groupBy("query").agg(F.collect_list(F.struct("top", "low")).alias("windows"))
+    bounds = bounds.mapInArrow(_bounds(k + 1), "query long, bound double")
+    short = best.join(bounds, "query").select("query", "ids", "high", "bound").mapInArrow(_within, "query long, candidate long").distinct()
 
     left = entry.select(F.col("id").alias("query"), F.col("v").alias("x"))
     right = entry.select(F.col("id").alias("candidate"), F.col("v").alias("y"))

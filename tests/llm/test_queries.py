@@ -262,6 +262,23 @@ def test_neighbours(spark, sf):
     assert [tuple(r) for r in hilbert_ann.search(few, F.col("vec_id") == 50).collect()] == [(50, 1, 2, 0.0)]
 
 
+@pytest.mark.parametrize("noise", [0.05, 1e-4])
+def test_neighbours_among_near_copies(spark, noise):
+    """Thousands of near-copies, all in view of the queries, closer to each other than their codes tell."""
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=64) + noise * rnd.normal(size=(3000, 64))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in hilbert_ann.search(vectors, F.col("vec_id") % 300 == 0, curves=1, reach=1.0).collect():
+        got[r.query_id].add(r.vec_id)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(got) == 10
+    for q, found in got.items():
+        away = ((x - x[q]) ** 2).sum(axis=1)
+        away[q] = np.inf
+        assert found == set(np.argsort(away)[:5].tolist())
+
+
 def test_quality(spark, sf):
     """Gains add up to the interpolated probabilities, worked out plainly."""
     texts = [r[1] for r in ROWS[:12]]
