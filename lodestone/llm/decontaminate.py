@@ -107,7 +107,7 @@ class SeedTable:
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[list, list[str]]]:
     """Items in blocks of a bounded number of tokens, fetched one partition at a time."""
     ids, texts, held = [], [], 0
-    for row in benchmark.select(item, text).where(F.col(text).isNotNull()).toLocalIterator():
+    for row in benchmark.select(item, F.lower(text).alias(text)).where(F.col(text).isNotNull()).toLocalIterator():
         n = len(row[1].split())
         if ids and held + n > BLOCK_TOKENS:
             yield ids, texts
@@ -132,13 +132,13 @@ def find(
     """(key, item, n_match, n_tokens, first_token, item_tokens), one row for each document row and item.
 
     A stretch counts if it has ``min_match`` agreeing tokens, or ``min_share`` of a shorter item's, and
-    ``min_share`` of its tokens agree. Tokens are lower-cased (A-Z) and end at ASCII white space. Null or
+    ``min_share`` of its tokens agree. Texts and items are lower-cased by Unicode; tokens end at ASCII white space. Null or
     empty texts and items match nothing; repeated rows are reported as often as they occur; ties between
     stretches go to the earliest. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).alias("key"), F.lower(text).alias("text"))
     kind = benchmark.schema[item].dataType
     schema = widened(docs.select("key"), f"item {kind.simpleString()}, n_match int, n_tokens int, first_token int, item_tokens int")
 

@@ -233,6 +233,31 @@ def test_decontamination(spark, sf):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 0), (2, 3), (None, 3)}
 
 
+def test_decontamination_of_capitals(spark, sf):
+    """Upper-case copies of passages with accented letters are found, also by the pipeline's stage."""
+    import corpus_pipeline
+
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    passage = " ".join(f"été{i} élève äß{i} Ñandú{i} où" for i in range(6))
+    items = items.unionByName(spark.createDataFrame([(7, passage)], items.schema))
+    texts = [f"x {passage.replace('ß', 'ss').upper()} y", passage.upper(), passage, passage.title(), "ÉTÉ ÉLÈVE OÙ"]
+    docs = spark.createDataFrame([(i, t, "fr", "src", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    fold = lambda t: t.lower().split()
+    want = set()
+    for i, t in enumerate(texts):
+        a, b = fold(passage), fold(t)
+        for d in range(-len(a), len(b)):
+            same = [a[j - d] == b[j] for j in range(max(0, d), min(len(b), d + len(a)))]
+            spans = [same[lo:hi] for lo in range(len(same)) for hi in range(lo + 1, len(same) + 1)]
+            if any(sum(s) >= 13 and sum(s) >= 0.8 * len(s) for s in spans):
+                want.add(i)
+    assert want == {0, 1, 2, 3}
+    assert {r.doc_id for r in decontaminate.find(docs, items).where("item_id = 7").collect()} == want
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(corpus_pipeline, "read", lambda *_: items)
+        assert [r.doc_id for r in corpus_pipeline.decontaminated(spark, docs, sf).collect()] == [4]
+
+
 def test_blocks_of_a_benchmark(spark, sf, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = decontaminate.find(docs, items).collect()
