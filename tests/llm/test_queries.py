@@ -348,6 +348,18 @@ def test_quality(spark, sf):
     assert len(out) == len(ROWS) and all(r.keep is not None for r in out)
 
 
+def test_quality_sample_and_margin(spark, monkeypatch):
+    """About 2500 of enough trusted documents train, and thresholds are 1.15 quantiles."""
+    sizes = []
+    fit = kneser_ney.fit
+    monkeypatch.setattr(kneser_ney, "fit", lambda trusted, text="text": sizes.append(trusted.count()) or fit(trusted, text))
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('a b c d ', id % 7) as text", "'en' as lang")
+    rows = kneser_ney.classify(docs, docs.selectExpr("doc_id", "1 as quality", "0 as toxic")).collect()
+    assert sizes[0] == pytest.approx(2500, rel=0.1)
+    limits = {r.threshold / math.exp(kneser_ney.SLACK / math.sqrt(r.lm_tokens)) for r in rows}
+    assert len(limits) == 1 and any(limits.copy().pop() / r.perplexity == pytest.approx(1.15) for r in rows)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 30), (40, 40), (50, 45)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "x long, y long")).collect()}
