@@ -48,9 +48,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out the documents that overlap a benchmark item."""
-    hit = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").where("doc_id is not null")
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    """Leave out the documents that overlap a benchmark item, row by row: an id may be null or have several texts."""
+    rows = docs.withColumn("__row", F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary"))))
+    hit = decontaminate.find(rows, read(spark, sf_dir, "benchmark"), key="__row").select("__row").distinct()
+    return rows.join(hit, "__row", "left_anti").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -383,3 +383,14 @@ def test_pipeline(spark, sf, empty):
     assert 8 not in hit and 0 in hit
     assert corpus_pipeline.run(spark, empty).count() == 0
     assert corpus_pipeline.run(spark, sf).count() > 10
+
+
+def test_pipeline_contaminated_rows_without_an_id(spark, sf):
+    """A null id does not keep a row that holds an item, nor does a clean row go with it."""
+    import corpus_pipeline
+
+    held = BENCHMARK[0][1]
+    rows = [(None, f"x {held} y"), (None, "clean text"), (None, None), (1, f"x {held} y"), (1, "clean too"), (2, None), (3, "z")]
+    docs = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = by_id((r.doc_id, r.text) for r in corpus_pipeline.decontaminated(spark, docs, sf).collect())
+    assert got == by_id(r for r in rows if held not in (r[1] or ""))
