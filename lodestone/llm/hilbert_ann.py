@@ -250,7 +250,7 @@ def search(
     """(query_id, rank, key, score): the k nearest found of every row for which the condition ``queries`` holds.
 
     Candidates are all rows but the query's own; ties go to the smaller key. Vectors that are null, of
-    another length than the first row's (by key), zero, or that hold a null, NaN or infinite component
+    another length than most (the greater of equally common ones), zero, or that hold a null, NaN or infinite component
     take no part, nor do null keys; repeated rows of one key and vector are one candidate. With fewer
     than k candidates all are returned; an empty table gives an empty result. Keys are integers.
     """
@@ -260,8 +260,8 @@ def search(
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("asked"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = rows.where(F.col("id").isNotNull() & F.forall("v", fine) & F.exists("v", lambda x: x != 0))
-    head = rows.agg(F.min(F.struct("id", F.size("v").alias("n"))).getField("n")).first()[0]
-    rows = rows.where(F.size("v") == F.lit(head or 0)).distinct()
+    usual = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
+    rows = rows.where(F.size("v") == F.lit(usual["width"] if usual else 0)).distinct()
 
     # equal vectors: one entry, named by its smallest id, with the k + 1 smallest
     order = Window.partitionBy("v").orderBy("id")

@@ -304,6 +304,12 @@ def test_neighbours_among_near_copies(spark, noise):
         assert found == set(np.argsort(away)[:5].tolist())
 
 
+def test_neighbours_with_a_malformed_first_row(spark):
+    rows = [(0, [1.0, 2.0, 3.0]), *((i, [1.0, i / 10]) for i in range(1, 8))]
+    got = hilbert_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") < 2, k=3).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(1, 1, 2), (1, 2, 3), (1, 3, 4)]
+
+
 def test_quality(spark, sf):
     """Gains add up to the interpolated probabilities, worked out plainly."""
     texts = [r[1] for r in ROWS[:12]]
