@@ -22,6 +22,8 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder below spark.checkpoint.dir; one is set here only where it is unset, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="lodestone-checkpoint-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -31,4 +33,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Written to the shared folder and read back: lineage ends here, and lost executors cost nothing."""
     path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing that is still to be computed reads it."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
