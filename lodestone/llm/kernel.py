@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..storage import shared_folder, stored  # noqa: F401  (the operators take them from here)
+from ..storage import dropped, shared_folder, stored  # noqa: F401  (the operators take them from here)
 
 PIECE_BYTES = 1 << 20
 
@@ -183,6 +183,18 @@ def widened(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
