@@ -8,7 +8,7 @@
    what may repeat, by window hashes that only leave out, and sorted with the rest of their gram: a suffix
    array by linear grouping (see ``suffix_order``) over symbols of a few bytes and the bytes that neighbours
    in it share decide which windows repeat (see ``repeated_starts``).
-3. A gram with more than ``HOT`` owners does not meet in one task: the windows of its different surroundings
+3. A gram with more than ``HOT`` bytes of surroundings does not meet in one task: the windows of its different surroundings
    are dealt by their own 128-bit digests, and those whose digest occurs again repeat.
 4. Repeated starts return to their documents, where covered bytes are removed.
 
@@ -29,10 +29,12 @@ from .bitmap import bitmap, in_bitmap
 from .kernel import RollingHash, dropped, fresh, gathered, mix, part_of, partitions, pieces, read, release, scatter, ship, signed, stored, text_column, widened
 from .suffix_order import suffix_array
 
+_U = np.uint64
+
 LENGTH = 400
 GRAM = 48
-#: A gram with more owners is split over all tasks, window by window.
-HOT = 1000
+#: A gram with more bytes of surroundings is split over all tasks, window by window.
+HOT = 1 << 19
 #: Bytes of documents, of surroundings on their way, and of surroundings of whole grams that are worked on at once.
 PIECE, SENT, CHUNK = 1 << 19, 1 << 23, 1 << 18
 
@@ -66,7 +68,7 @@ def owners(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tupl
         return nothing
     own, document = owner[inside], document[inside]
     new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (document[1:] != document[:-1])]))
-    h, document = rolling.spans(own[new], own[new] + gram), document[new]
+    h, document = mix(rolling.spans(own[new], own[new] + gram) ^ _U(gram)), document[new]  # again, as owners have low hashes
     lead = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (document[1:] != document[:-1])]))
     several = np.diff(np.append(lead, len(new))) > 1
     first = new[lead]
@@ -81,13 +83,14 @@ def _count_owners(length: int, gram: int, parts: int):
         for batch in batches:
             buf, offsets, _ = text_column(batch)
             rows = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            grams, keys, index, more = [], [], [], []
+            grams, keys, index, more, size = [], [], [], [], []
             for lo, hi in pieces(offsets, PIECE):
-                document, _, _, h, several = owners(buf, offsets[lo : hi + 1], length, gram)
+                document, s0, s1, h, several = owners(buf, offsets[lo : hi + 1], length, gram)
                 if len(h):
                     first = np.searchsorted(document, document, side="left")
                     grams.append(h)
                     more.append(several)
+                    size.append(s1 - s0 + length)
                     keys.append(rows[lo + document])
                     index.append((np.arange(len(h)) - first).astype(np.int32))
             if not grams:
@@ -100,7 +103,7 @@ def _count_owners(length: int, gram: int, parts: int):
             lead = ~same[:-1]
             repeated = same[1:] | same[:-1] | np.concatenate(more)[order]
             sent = np.where(repeated, np.int32(-1), place)  # -1: repeated here, and settled here
-            many = np.diff(np.append(np.flatnonzero(lead), len(h))).astype(np.int32)
+            many = np.add.reduceat(np.concatenate(size)[order], np.flatnonzero(lead))
             out = [(*r[:4], None, r[4]) for r in scatter(part_of(h[lead], parts), h[lead], key[lead], sent[lead], many)]
             out += [(None, None, k, None, p, None) for k, p in _by_key(key[repeated], place[repeated])]
             yield pa.RecordBatch.from_arrays(
@@ -130,19 +133,19 @@ def _by_key(key: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
 
 
 def _repeated_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_key, found): the owners, by number within the row, whose gram occurs again; (hot): grams with many owners."""
+    """(row_key, found): the owners, by number within the row, whose gram occurs again; (hot): grams with many bytes around them."""
     got = list(batches)
     if not got:
         return
     table = pa.Table.from_batches(got)
-    h, key, place, many = (gathered(table[c], kind) for c, kind in (("grams", np.uint64), ("keys", np.int64), ("places", np.int32), ("many", np.int32)))
+    h, key, place, many = (gathered(table[c], kind) for c, kind in (("grams", np.uint64), ("keys", np.int64), ("places", np.int32), ("many", np.int64)))
     del table, got
     order = np.argsort(h, kind="stable")
     h, key, place, many = h[order], key[order], place[order], many[order]
     same = np.zeros(len(h) + 1, dtype=bool)
     same[1:-1] = h[1:] == h[:-1]
     lead = np.flatnonzero(~same[:-1])
-    hot = h[lead][np.add.reduceat(many.astype(np.int64), lead) > HOT] if len(h) else h
+    hot = h[lead][np.add.reduceat(many, lead) > HOT] if len(h) else h
     keep = (same[1:] | same[:-1]) & (place >= 0)
     rows = [(k, p, None) for k, p in _by_key(key[keep], place[keep])] + [(None, None, x) for x in signed(hot).tolist()]
     for lo in range(0, len(rows), 4096):
@@ -525,8 +528,8 @@ def _settle(lengths: tuple[int, ...]):
     return run
 
 
-def _settle_windows(lengths: tuple[int, ...]):
-    """Windows of grams too common for one task, dealt by their own 128-bit digests: (row_key, ranges) of those that occur again."""
+def _settle_windows(parts: int):
+    """Windows of grams too common for one task, dealt by their own 128-bit digests: (part, data) of those that occur again, a row for each part of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -541,14 +544,27 @@ def _settle_windows(lengths: tuple[int, ...]):
         same = np.zeros(len(one) + 1, dtype=bool)
         same[1:-1] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
         pick = order[(same[1:] | same[:-1]) & (origin[order, 1] >= 0)]
-        keys: dict[int, list[np.ndarray]] = {}
-        for key, first, t in zip(origin[pick, 0].tolist(), origin[pick, 1].tolist(), size[pick].tolist(), strict=True):
-            keys.setdefault(key, []).append((t, first))
-        yield from _answers({k: [_ranges(np.sort(np.array([s for u, s in v if u == t], dtype=np.int64)), t) for t in lengths] for k, v in keys.items()})
+        found = np.concatenate([origin[pick], size[pick, None]], axis=1)
+        rows = list(scatter(part_of(mix(found[:, 0].view(np.uint64)), parts), found))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "data"])
 
     return run
 
 
+def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row_key, ranges) of what ``_settle_windows`` found of a part's rows."""
+    got = list(batches)
+    if not got:
+        return
+    found = gathered(pa.Table.from_batches(got)["data"], np.int64).reshape(-1, 3)
+    found = found[np.lexsort((found[:, 1], found[:, 2], found[:, 0]))]
+    cuts = np.flatnonzero((found[1:, 0] != found[:-1, 0]) | (found[1:, 2] != found[:-1, 2])) + 1
+    keys: dict[int, list[np.ndarray]] = {}
+    for some in np.split(found, cuts) if len(found) else []:
+        keys.setdefault(int(some[0, 0]), []).append(_ranges(some[:, 1], int(some[0, 2])))
+    yield from _answers(keys)
+
+
 def _remove(lengths: tuple[int, ...], length: int, marked: int, names: tuple[str, str, str]):
     taken, found, whole = names
 
@@ -647,7 +663,8 @@ def deduplicate(
     ranges = strings.mapInArrow(_settle(lengths), "row_key long, ranges binary").union(sent.where(F.col("kind") == SETTLED).select("row_key", "ranges"))
     if common:
         windows = sent.where(F.col("kind") == WINDOWS).select("part", *columns).repartition(parts, "part").drop("part")
-        ranges = ranges.union(windows.mapInArrow(_settle_windows(lengths), "row_key long, ranges binary"))
+        again = windows.mapInArrow(_settle_windows(partitions(spark)), "part int, data binary").repartition(partitions(spark), "part").select("data")
+        ranges = ranges.union(again.mapInArrow(_by_row, "row_key long, ranges binary"))
     verdict = (
         ranges.withColumn("copied", F.lit(False))
         .union(copies.select("row_key", F.lit(None).cast("binary"), F.lit(True)))
