@@ -104,19 +104,11 @@ def _count_owners(length: int, gram: int, parts: int):
             repeated = same[1:] | same[:-1] | np.concatenate(more)[order]
             sent = np.where(repeated, np.int32(-1), place)  # -1: repeated here, and settled here
             many = np.add.reduceat(np.concatenate(size)[order], np.flatnonzero(lead))
-            out = [(*r[:4], None, r[4]) for r in scatter(part_of(h[lead], parts), h[lead], key[lead], sent[lead], many)]
-            out += [(None, None, k, None, p, None) for k, p in _by_key(key[repeated], place[repeated])]
+            out = list(scatter(part_of(h[lead], parts), h[lead], key[lead], sent[lead], many))
+            out += [(p, None, k, x, None) for p, k, x in scatter(part_of(mix(key[repeated].view(_U)), parts), key[repeated], place[repeated])]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in out], pa.int32()),
-                    pa.array([r[1] for r in out], pa.binary()),
-                    pa.array([r[2] if r[0] is not None else None for r in out], pa.binary()),
-                    pa.array([r[3] for r in out], pa.binary()),
-                    pa.array([r[2] if r[0] is None else None for r in out], pa.int64()),
-                    pa.array([r[4] for r in out], pa.binary()),
-                    pa.array([r[5] for r in out], pa.binary()),
-                ],
-                names=["part", "grams", "keys", "places", "row_key", "found", "many"],
+                [pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3, 4))],
+                names=["part", "grams", "keys", "places", "many"],
             )
 
     return run
@@ -132,26 +124,41 @@ def _by_key(key: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
             yield int(key[lo]), *(v[lo:hi].tobytes() for v in values)
 
 
-def _repeated_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_key, found): the owners, by number within the row, whose gram occurs again; (hot): grams with many bytes around them."""
+def _repeated_owners(parts: int):
+    """(part, keys, places): rows and their owners, by number within the row, whose gram occurs again; (hot): grams with many bytes around them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if not got:
+            return
+        table = pa.Table.from_batches(got)
+        h, key, place, many = (gathered(table[c], kind) for c, kind in (("grams", np.uint64), ("keys", np.int64), ("places", np.int32), ("many", np.int64)))
+        del table, got
+        order = np.argsort(h, kind="stable")
+        h, key, place, many = h[order], key[order], place[order], many[order]
+        same = np.zeros(len(h) + 1, dtype=bool)
+        same[1:-1] = h[1:] == h[:-1]
+        lead = np.flatnonzero(~same[:-1])
+        hot = h[lead][np.add.reduceat(many, lead) > HOT] if len(h) else h
+        keep = (same[1:] | same[:-1]) & (place >= 0)
+        rows = [(*r, None) for r in scatter(part_of(mix(key[keep].view(_U)), parts), key[keep], place[keep])] + [(None, None, None, x) for x in signed(hot).tolist()]
+        if rows:
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "keys", "places", "hot"])
+
+    return run
+
+
+def _owners_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row_key, found): the repeated owners of a part's rows."""
     got = list(batches)
     if not got:
         return
     table = pa.Table.from_batches(got)
-    h, key, place, many = (gathered(table[c], kind) for c, kind in (("grams", np.uint64), ("keys", np.int64), ("places", np.int32), ("many", np.int64)))
-    del table, got
-    order = np.argsort(h, kind="stable")
-    h, key, place, many = h[order], key[order], place[order], many[order]
-    same = np.zeros(len(h) + 1, dtype=bool)
-    same[1:-1] = h[1:] == h[:-1]
-    lead = np.flatnonzero(~same[:-1])
-    hot = h[lead][np.add.reduceat(many, lead) > HOT] if len(h) else h
-    keep = (same[1:] | same[:-1]) & (place >= 0)
-    rows = [(k, p, None) for k, p in _by_key(key[keep], place[keep])] + [(None, None, x) for x in signed(hot).tolist()]
+    rows = list(_by_key(gathered(table["keys"], np.int64), gathered(table["places"], np.int32)))
     for lo in range(0, len(rows), 4096):
         some = rows[lo : lo + 4096]
-        kinds = (pa.int64(), pa.binary(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=["row_key", "found", "hot"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.binary())], names=["row_key", "found"])
 
 
 def _ranges(starts: np.ndarray, size: int) -> np.ndarray:
@@ -163,12 +170,12 @@ def _ranges(starts: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.full(len(first), size), first, last + size], axis=1).ravel()
 
 
-def _only(wanted):
+def _only(wanted, at: int = 0):
     """The rows whose key is in a bitmap: most of the texts that need not move stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(wanted.value, batch.column(0).to_numpy().view(np.uint64))))
+            yield batch.filter(pa.array(in_bitmap(wanted.value, batch.column(at).to_numpy().view(np.uint64))))
 
     return run
 
@@ -270,7 +277,7 @@ def _send_surroundings(lengths: tuple[int, ...], gram: int, parts: int, common):
                 text = buf[offsets[lo] : offsets[hi]].tobytes()
                 start = offsets[lo : hi + 1] - offsets[lo]
                 for d in range(hi - lo):
-                    x = np.unique(np.concatenate([np.frombuffer(b, np.int32) for b in lists[lo + d]])).astype(np.int64)
+                    x = np.unique(np.frombuffer(lists[lo + d], np.int32)).astype(np.int64)
                     at = first[d] + x[x < count[d]]
                     key, low, high = int(rows[lo + d]), int(start[d]), int(start[d + 1])
                     for g, a, b, more in zip(h[at].tolist(), s0[at].tolist(), s1[at].tolist(), several[at].tolist(), strict=True):
@@ -565,6 +572,26 @@ def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _answers(keys)
 
 
+def _untouched(wanted, names: tuple[str, str]):
+    """The rows whose key is not in a bitmap: nothing is removed from them."""
+    row, taken = names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {name: i for i, name in enumerate(batch.schema.names)}
+            batch = batch.filter(pa.array(~in_bitmap(wanted.value, batch.column(at[row]).to_numpy().view(np.uint64))))
+            n = batch.num_rows
+            none = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            zero = pa.array(np.zeros(n, np.int64))
+            rest = [name for name in batch.schema.names if name not in names]
+            kept = batch.column(at[taken]).cast(pa.binary()).fill_null(b"")
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(at[name]) for name in rest), kept, zero, none, zero], names=[*rest, "kept", "n_removed", "removed_spans", "n_marked"]
+            )
+
+    return run
+
+
 def _remove(lengths: tuple[int, ...], length: int, marked: int, names: tuple[str, str, str]):
     taken, found, whole = names
 
@@ -639,22 +666,21 @@ def deduplicate(
     copies = small.select("row", "one", "two").distinct().join(same, ["one", "two"]).select(F.col("row").alias("row_key"), (F.col("row") == F.col("lead")).alias("lead"))
     copies = stored(copies, "copies")
 
-    counted = texts.mapInArrow(
-        _count_owners(least, gram, parts), "part int, grams binary, keys binary, places binary, row_key long, found binary, many binary"
-    )
+    counted = texts.mapInArrow(_count_owners(least, gram, parts), "part int, grams binary, keys binary, places binary, many binary")
     counted = stored(counted, "owners")
-    met = counted.where("part is not null").select("part", "grams", "keys", "places", "many").repartition(parts, "part")
-    met = stored(met.drop("part").mapInArrow(_repeated_owners, "row_key long, found binary, hot long"), "repeated")
-    found = met.where("row_key is not null").select("row_key", "found").union(counted.where("part is null").select("row_key", "found"))
-    silent = copies.where("not lead").select("row_key")
-    asked = found.groupBy("row_key").agg(F.collect_list("found").alias("found")).join(silent, "row_key", "left_anti")
-    bits = spark.sparkContext.broadcast(bitmap(found.select("row_key"), "row_key"))
+    met = counted.where("grams is not null").repartition(parts, "part").select("grams", "keys", "places", "many")
+    met = stored(met.mapInArrow(_repeated_owners(parts), "part int, keys binary, places binary, hot long"), "repeated")
+    found = met.where("part is not null").select("part", "keys", "places").union(counted.where("grams is null").select("part", "keys", "places"))
+    found = found.repartition(parts, "part").select("keys", "places").mapInArrow(_owners_of_rows, "row_key long, found binary")
+    asked = stored(found.join(copies.where("not lead").select("row_key"), "row_key", "left_anti"), "asked")
+    bits = spark.sparkContext.broadcast(bitmap(asked.select("row_key"), "row_key"))
     hot = met.where("hot is not null").select("hot")
     common = None if hot.isEmpty() else spark.sparkContext.broadcast(bitmap(hot, "hot"))
+    dropped(counted, met)
     some = texts.mapInArrow(_only(bits), texts.schema)
     near = some.join(asked, F.col("row") == F.col("row_key")).select("row", "text", "found")
     sent = stored(near.mapInArrow(_send_surroundings(lengths, gram, parts, common), _SENT), "surroundings")
-    dropped(counted, met)
+    dropped(asked)
     for shared in (bits, common):
         if shared:
             shared.destroy()
@@ -671,9 +697,13 @@ def deduplicate(
         .groupBy(F.col("row_key").alias(told))
         .agg(F.collect_list("ranges").alias(found_in), F.max("copied").alias(whole_in))
     )
-    out = keyed.join(verdict, F.col(row) == F.col(told), "left").drop(row, told)
+    verdict = stored(verdict, "verdict")
+    dropped(sent, copies)
+    touched = spark.sparkContext.broadcast(bitmap(verdict, told))
     schema = widened(docs, "kept binary, n_removed long, removed_spans array<struct<start:long,end:long>>, n_marked long")
-    return out.mapInArrow(_remove(lengths, length, marked or length, (taken, found_in, whole_in)), schema)
+    some = keyed.mapInArrow(_only(touched, len(docs.columns)), keyed.schema).join(verdict, F.col(row) == F.col(told), "left").drop(row, told)
+    rest = keyed.mapInArrow(_untouched(touched, (row, taken)), schema)
+    return some.mapInArrow(_remove(lengths, length, marked or length, (taken, found_in, whole_in)), schema).union(rest)
 
 
 #: Repeated strings of so many bytes are counted beside: any passage of over 50 words has as many.
