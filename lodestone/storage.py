@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def swept(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing holds any more, rather than when the driver's memory fills."""
+    for pause in (0.2, 0.2, 0):  # the first round only lets go of what Python held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete what ``stored`` wrote, once nothing that is still to be computed reads it."""
     for df in tables:
