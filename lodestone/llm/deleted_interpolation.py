@@ -8,8 +8,8 @@ counts that are left. Scores then use the counts of all training documents.
 Counts are not broadcast. Documents are taken in blocks; a block asks for each of its distinct words and
 pairs once, in sorted, delta-coded arrays, one row for each part of the hash space, and sends its own
 counts along. The task of a part adds up and answers every block in the order of its question. A block's
-text, compressed, and its answers meet again by block. So what is moved is one entry for each distinct
-pair of a block, about as much as the input, and a very common word is one entry a block.
+tokens, as numbers into its distinct words, go along and meet its answers again by block. What is moved is one entry for each distinct pair
+of a block, and a very common word is one entry a block. The number of parts follows the input's size.
 """
 
 from __future__ import annotations
@@ -24,15 +24,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import SPACED, Words, _gram_factor, hash_word, mix, part_of, partitions, pieces, read, release, ship, stored, text_column
+from .kernel import SPACED, Words, _gram_factor, hash_word, mix, part_of, partitions, pieces, read, release, ship, stored, swept, text_column
 
 BLOCK_BYTES = 3 << 20
+#: Bytes of texts for each part of the hash space, and of a row with some of a block's tokens.
+PART_BYTES, PAYLOAD_BYTES = 8 << 20, 1 << 18
+#: Parts whose results are written to one file.
+PARTS_A_FILE = 8
 END, START = hash_word("\x00end"), hash_word("\x00start")
 HELD, DEV, TRAIN = 0, 1, 2
 BUCKETS = 24
 STEP = 0.25
-#: Pair hashes have this many bits more than the corpus has bytes, so that about one pair in 10**5 or fewer shares its hash.
-SPARE_BITS = 16
+#: Bits of a pair's hash, whatever the input: among 10**12 different pairs about one in 10**5 shares its hash.
+PAIR_BITS = 56
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -55,144 +59,163 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
-class Tokens:
-    """Lower-cased words and an end for each document, with their distinct words and pairs."""
+def pair_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of every token with the one before it, or with a start; ``first`` has the documents' first tokens."""
+    before = np.concatenate([[np.uint64(START)], h[:-1]]) if len(h) else h
+    before[first] = START
+    return mix(before * _gram_factor[0] + h * _gram_factor[1] + np.uint64(2)) >> np.uint64(64 - PAIR_BITS)
+
+
+def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of lower-cased words with an end for each document, tokens of each document)."""
+    hashes, counts = [], []
+    for lo, hi in pieces(offsets):
+        w = Words(buf, offsets[lo : hi + 1], SPACED)
+        hashes.append(np.insert(w.hash, w.first[1:], np.uint64(END)))
+        counts.append(w.counts + 1)
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
+_ASKED = "part int, block string, kind int, n int, seq int, answers int, hashes binary, counts binary"
+_ANSWER = "block string, kind int, n int, seq int, answers int, total binary, deleted binary"
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, bits: int, places: bool):
-        hashes, counts = [], []
-        for lo, hi in pieces(offsets):
-            w = Words(buf, offsets[lo : hi + 1], SPACED)
-            hashes.append(np.insert(w.hash, w.first[1:], np.uint64(END)))
-            counts.append(w.counts + 1)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        self.first = np.cumsum(self.counts) - self.counts
-        before = np.concatenate([[np.uint64(START)], h[:-1]]) if len(h) else h
-        before[self.first] = START
-        pair = mix(before * _gram_factor[0] + h * _gram_factor[1] + np.uint64(2))
-        del before
-        pair &= ~np.uint64((1 << (64 - bits)) - 1)
-        if places:
-            self.words, word = np.unique(h, return_inverse=True)
-            self.pairs, pair = np.unique(pair, return_inverse=True)
-            self.word, self.pair = word.astype(np.int32), pair.astype(np.int32)
-        else:
-            self.words, self.word_counts = np.unique(h, return_counts=True)
-            self.pairs, self.pair_counts = np.unique(pair, return_counts=True)
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[f for f, _ in fields])
 
-_ASKED = "dest int, block string, kind int, n int, part int, hashes binary, counts binary, payload binary"
-_ANSWER = "block string, kind int, n int, part int, total binary, deleted binary, payload binary"
 
+def _ask(parts: int):
+    """Blocks' questions to the parts, and their tokens."""
 
-def _ask(parts: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for batch in batches:
-            _, offsets, _ = text_column(batch, "text")
-            for lo, hi in pieces(offsets, BLOCK_BYTES):
-                fold = batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-                kinds = np.where(fold == 0, HELD, np.where(fold == 1, DEV, TRAIN))
-                for kind in (HELD, DEV, TRAIN):
-                    rows = batch.slice(lo, hi - lo).filter(pa.array(kinds == kind))
-                    if rows.num_rows:
-                        number += 1
-                        yield _question(rows, kind, parts, bits, number)
-                release()
+            fold = batch.column(1).to_numpy(zero_copy_only=False)
+            kinds = np.where(fold == 0, HELD, np.where(fold == 1, DEV, TRAIN))
+            for kind in (HELD, DEV, TRAIN):
+                own = batch.filter(pa.array(kinds == kind))
+                _, offsets, _ = text_column(own, "text")
+                for lo, hi in pieces(offsets, BLOCK_BYTES):
+                    number += 1
+                    yield from _question(own.slice(lo, hi - lo), kind, parts, number)
+                    release()
 
     return run
 
 
-def _question(rows: pa.RecordBatch, kind: int, parts: int, bits: int, number: int) -> pa.RecordBatch:
-    buf, offsets, _ = text_column(rows, "text")
-    t = Tokens(buf, offsets, bits, False)
+def _question(rows: pa.RecordBatch, kind: int, parts: int, number: int) -> Iterator[pa.RecordBatch]:
+    h, counts = tokens(*text_column(rows, "text")[:2])
+    words, word, many = np.unique(h, return_inverse=True, return_counts=True)
+    common = np.argsort(-many, kind="stable")  # common words get small numbers
+    name = np.empty(len(words), dtype=np.uint32)
+    name[common] = np.arange(len(words), dtype=np.uint32)
     keys = pa.RecordBatch.from_arrays([rows.column(0)], names=["key"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, keys.schema) as out:
         out.write_batch(keys)
-    head = sink.getvalue().to_pybytes()
-    text = zstandard.ZstdCompressor(level=3).compress(buf[offsets[0] : offsets[-1]].tobytes())
-    sizes = pack(np.diff(offsets).astype(np.int64))
-    payload = b"".join(len(x).to_bytes(8, "little") + x for x in (head, sizes, text))
+    head = zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
+    payload = b"".join(len(x).to_bytes(8, "little") + x for x in (head, pack(counts.astype(np.uint32)), pack(words[common]), pack(name[word])))
     block = f"{TaskContext.get().partitionId()}-{number}-{hashlib.blake2b(payload, digest_size=8).hexdigest()}"
+    pairs, pair_counts = np.unique(pair_hashes(h, np.cumsum(counts) - counts), return_counts=True)
+    del word, name, h
     made = []
-    for n, hashes, counts in ((1, t.words, t.word_counts), (2, t.pairs, t.pair_counts)):
-        cut = np.searchsorted(part_of(hashes, parts), np.arange(parts + 1))
+    for n, hashes, times, top in ((1, words, many, 64), (2, pairs, pair_counts, PAIR_BITS)):
+        cut = np.searchsorted(part_of(hashes << np.uint64(64 - top), parts), np.arange(parts + 1))
         for part in np.flatnonzero(np.diff(cut)).tolist():
             some = slice(cut[part], cut[part + 1])
-            asked = hashes[some] if n == 1 else hashes[some] >> np.uint64(64 - bits)
-            made.append((part, block, kind, n, part, pack_sorted(asked), pack(counts[some].astype(np.uint32)), None))
-    made.append((number % parts, block, kind, 0, len(made), None, None, payload))
-    kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    names = [x.split()[0] for x in _ASKED.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
+            made.append((part, block, kind, n, part, None, pack_sorted(hashes[some]), pack(times[some].astype(np.uint32))))
+    yield _batch(made, _ASKED)
+    there = int(hashlib.blake2b(block.encode(), digest_size=4).hexdigest(), 16) % parts
+    yield _batch([(there, block, kind, 0, i, len(made), payload[at : at + PAYLOAD_BYTES], None) for i, at in enumerate(range(0, len(payload), PAYLOAD_BYTES))], _ASKED)
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    names = [x.split()[0] for x in _ANSWER.split(", ")]
-
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    asked: dict[int, list[tuple]] = {1: [], 2: []}
+    """Totals of a part's hashes to every block that asked, over the part's words a row of sums, and tokens as they came."""
+    asked: dict[int, list[pa.RecordBatch]] = {1: [], 2: []}
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["n"]:
-                asked[row["n"]].append((row["block"], row["kind"], row["part"], unpack_sorted(row["hashes"]), unpack(row["counts"], np.uint32)))
-            else:
-                yield packed([(row["block"], row["kind"], 0, row["part"], None, None, row["payload"])])
-    for n, rows in asked.items():
-        if not rows:
+        kind_of_row = batch.column(2).to_numpy()
+        for n in (0, 1, 2):
+            some = batch.filter(pa.array(kind_of_row == n))
+            if some.num_rows and n:
+                asked[n].append(some)
+            elif some.num_rows:
+                yield pa.RecordBatch.from_arrays([*some.columns[:6], pa.nulls(some.num_rows, pa.binary())], names=[f.split()[0] for f in _ANSWER.split(", ")])
+    for n, held in asked.items():
+        if not held:
             continue
-        distinct, number = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
-        cut = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])])
-        total = np.zeros(len(distinct), dtype=np.int64)
-        deleted = np.zeros(len(distinct), dtype=np.int64)
-        for i, (_, kind, _, _, counts) in enumerate(rows):  # a block asks for a hash once
+        rows = [(b, i) for b in held for i in range(b.num_rows)]
+        every = [unpack_sorted(b.column(5)[i].as_py()) for b, i in rows]
+        distinct = np.concatenate(every)
+        del every
+        distinct.sort()
+        distinct = distinct[np.concatenate([[True], distinct[1:] != distinct[:-1]])]
+        total, deleted = np.zeros(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=np.int64)
+        for b, i in rows:  # a block asks for a hash once
+            kind = b.column(1)[i].as_py()
             if kind != HELD:
-                total[number[cut[i] : cut[i + 1]]] += counts
-            if kind == DEV:
-                deleted[number[cut[i] : cut[i + 1]]] += counts
-        for i, (block, kind, part, _, _) in enumerate(rows):
-            own = number[cut[i] : cut[i + 1]]
-            yield packed([(block, kind, n, part, pack(total[own]), pack(deleted[own]) if kind == DEV else None, None)])
+                at, counts = np.searchsorted(distinct, unpack_sorted(b.column(5)[i].as_py())), unpack(b.column(6)[i].as_py(), np.uint32)
+                total[at] += counts
+                if kind == DEV:
+                    deleted[at] += counts
+        for b, i in rows:
+            block, kind, _, seq, _ = (b.column(c)[i].as_py() for c in range(5))
+            at = np.searchsorted(distinct, unpack_sorted(b.column(5)[i].as_py()))
+            yield _batch([(block, kind, n, seq, None, pack(total[at]), pack(deleted[at]) if kind == DEV else None)], _ANSWER)
         if n == 1:
             sums = np.array([(total > 0).sum(), total.sum(), (total > deleted).sum(), deleted.sum()], dtype=np.int64)
-            yield packed([(None, None, -1, 0, sums.tobytes(), None, None)])
-        del distinct, number, total, deleted
-        rows.clear()
+            yield _batch([(None, -1, -1, 0, None, sums.tobytes(), None)], _ANSWER)
+        del distinct, total, deleted, rows
+        held.clear()
+        release()
+
+
+def _blocks(answers: DataFrame, parts: int) -> DataFrame:
+    """Every block's tokens and answers, in one partition."""
+    return answers.where("n >= 0").repartition(parts, "block")
+
+
+class Block:
+    """A block's keys, tokens, distinct words and pairs, and the counts that were answered, in the order of sorted hashes."""
+
+    def __init__(self, rows: list[dict]):
+        data, self.kind = b"".join(r["total"] for r in rows if r["n"] == 0), rows[0]["kind"]
+        given = [r for r in rows if r["n"]]
+        if rows[0]["n"] or len(given) != rows[0]["answers"]:
+            raise RuntimeError("a block lacks tokens or answers")
+        fields, at = [], 0
+        for _ in range(4):
+            size = int.from_bytes(data[at : at + 8], "little")
+            fields.append(data[at + 8 : at + 8 + size])
+            at += 8 + size
+        self.keys = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(fields[0])).read_all().column(0).combine_chunks()
+        self.counts = unpack(fields[1], np.uint32).astype(np.int64)
+        self.first = np.cumsum(self.counts) - self.counts
+        words, name = unpack(fields[2], np.uint64), unpack(fields[3], np.uint32)
+        order = np.argsort(words)
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.words, self.word = words[order], place[name]
+        self.pair = np.unique(pair_hashes(words[name], self.first), return_inverse=True)[1].astype(np.int32)
+        self.total, self.deleted = ([np.concatenate([unpack(r[c], np.int64) for r in given if r["n"] == n and r[c]] or [np.zeros(0, np.int64)]) for n in (1, 2)] for c in ("total", "deleted"))
+
+
+def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """The blocks of a partition, which are about as many bytes as a part's, one after another."""
+    rows: dict[str, list[tuple]] = {}
+    for batch in batches:
+        block, n, seq = (batch.column(i).to_pylist() for i in (0, 2, 3))
+        for i, name in enumerate(block):
+            rows.setdefault(name, []).append((n[i], seq[i], batch.slice(i, 1)))
+    for name in list(rows):
+        yield Block([r for _, _, piece in sorted(rows.pop(name), key=lambda x: x[:2]) for r in piece.to_pylist()])
         release()
 
 
-def _blocks(answers: DataFrame) -> DataFrame:
-    """A row for each block: its payload and its answers."""
-    return answers.where("n >= 0").groupBy("block").agg(
-        F.first("kind").alias("kind"),
-        F.max(F.struct(F.col("payload").isNotNull(), "payload")).getField("payload").alias("payload"),
-        F.max(F.when(F.col("n") == 0, F.col("part"))).alias("answers"),
-        F.collect_list(F.when(F.col("n") > 0, F.struct("n", "part", "total", "deleted"))).alias("given"),
-    )
-
-
-def _restore(row: dict, bits: int) -> tuple[pa.Array, Tokens, list[np.ndarray], list[np.ndarray]]:
-    """(keys, tokens, totals and deleted counts of the block's words and pairs)."""
-    data, fields, at = row["payload"], [], 0
-    for _ in range(3):
-        size = int.from_bytes(data[at : at + 8], "little")
-        fields.append(data[at + 8 : at + 8 + size])
-        at += 8 + size
-    keys = pa.ipc.open_stream(fields[0]).read_all().column(0).combine_chunks()
-    offsets = np.concatenate([[0], np.cumsum(unpack(fields[1], np.int64))])
-    t = Tokens(np.frombuffer(zstandard.ZstdDecompressor().decompress(fields[2], max_output_size=int(offsets[-1])), np.uint8), offsets, bits, True)
-    given = sorted(row["given"], key=lambda g: (g["n"], g["part"]))
-    if len(given) != row["answers"]:
-        raise RuntimeError("a block lacks answers: it was cut otherwise when a lost task ran again")
-    both = [[np.concatenate([unpack(g[c], np.int64) for g in given if g["n"] == n and g[c]] or [np.zeros(0, np.int64)]) for n in (1, 2)] for c in ("total", "deleted")]
-    return keys, t, both[0], both[1]
-
-
-def _context(t: Tokens, words: np.ndarray) -> np.ndarray:
+def _context(t: Block, words: np.ndarray) -> np.ndarray:
     """How often each token's context was counted; a document's start as often as its end."""
     count = words[t.word]
     out = np.concatenate([[0], count[:-1]])
@@ -209,20 +232,17 @@ def _level(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.round(-np.log(np.maximum(p, 1e-300)) / STEP), -1).astype(np.int64)
 
 
-def _evidence(kept: float, bits: int):
+def _evidence(kept: int):
     """(bucket, pair level, word level, tokens) of deleted documents under the counts without them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                _, t, total, deleted = _restore(batch.slice(i, 1).to_pylist()[0], bits)
-                words, pairs = total[0] - deleted[0], total[1] - deleted[1]
-                context = _context(t, words)
-                pair = pairs[t.pair] / np.maximum(context, 1)
-                code = (bucket_of(context) << 40) | ((_level(pair) + 1) << 20) | (_level(words[t.word] / max(kept, 1)) + 1)
-                some, n = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n, pa.int64())], names=["code", "tokens"])
-            release()
+        for t in _each_block(batches):
+            words, pairs = t.total[0] - t.deleted[0], t.total[1] - t.deleted[1]
+            context = _context(t, words)
+            pair = pairs[t.pair] / np.maximum(context, 1)
+            code = (bucket_of(context) << 40) | ((_level(pair) + 1) << 20) | (_level(words[t.word] / max(kept, 1)) + 1)
+            some, n = np.unique(code, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n, pa.int64())], names=["code", "tokens"])
 
     return run
 
@@ -245,64 +265,67 @@ def learn_weights(bucket: np.ndarray, pair: np.ndarray, word: np.ndarray, tokens
     return np.array([fit(bucket == b) if tokens[bucket == b].sum() >= 100 else whole for b in range(BUCKETS)])
 
 
-def _score(weights: np.ndarray, n: int, v: int, bits: int):
+def _score(weights: np.ndarray, n: int, v: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                keys, t, (words, pairs), _ = _restore(row, bits)
-                count, context = words[t.word], _context(t, words)
-                w = weights[bucket_of(context)]
-                p = w[:, 0] * pairs[t.pair] / np.maximum(context, 1) + w[:, 1] * count / max(n, 1) + w[:, 2] / (v + 1)
-                base = np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        keys,
-                        pa.array(np.full(len(keys), row["kind"] == HELD)),
-                        pa.array(t.counts, pa.int64()),
-                        pa.array(np.add.reduceat((count > 0).astype(np.int64), t.first), pa.int64()),
-                        pa.array(np.full(len(keys), n), pa.int64()),
-                        pa.array(np.add.reduceat(base, t.first), pa.float64()),
-                        pa.array(np.add.reduceat(np.log10(p), t.first), pa.float64()),
-                    ],
-                    names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-                del t, words, pairs, count, context, w, p, base
-                release()
+        for t in _each_block(batches):
+            words, pairs = t.total
+            count, context = words[t.word], _context(t, words)
+            w = weights[bucket_of(context)]
+            p = w[:, 0] * pairs[t.pair] / np.maximum(context, 1) + w[:, 1] * count / max(n, 1) + w[:, 2] / (v + 1)
+            base = np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    t.keys,
+                    pa.array(np.full(len(t.keys), t.kind == HELD)),
+                    pa.array(t.counts, pa.int64()),
+                    pa.array(np.add.reduceat((count > 0).astype(np.int64), t.first), pa.int64()),
+                    pa.array(np.full(len(t.keys), n), pa.int64()),
+                    pa.array(np.add.reduceat(base, t.first), pa.float64()),
+                    pa.array(np.add.reduceat(np.log10(p), t.first), pa.float64()),
+                ],
+                names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+            del t, words, pairs, count, context, w, p, base
 
     return run
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of ``docs``.
-
-    Documents whose crc32(key as text) mod 10 is 0 are held out; all others train, and those with
-    remainder 1 are deleted when the weights are learned. Tokens are lower-cased (A-Z) words without
-    ASCII white space and one end. A null text counts as empty and has its end only; a row with a null
-    key trains. Repeated rows count as often as they occur. Extra columns are not read. An empty table
-    gives an empty result.
-    """
+def train(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray, int, int]:
+    """(blocks with their answers, weights of (pair, word, uniform) by bucket, training tokens, distinct ones)."""
     spark = docs.sparkSession
     ship(spark)
-    parts = 2 * partitions(spark)
     fold = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(10)), F.lit(9)).cast("int")
     rows = docs.select(F.col(key).alias("key"), fold.alias("fold"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(64, SPARE_BITS + max(24, size.bit_length()))
-    asked = rows.mapInArrow(_ask(parts, bits), _ASKED)
-    answers = stored(asked.repartition(parts, "dest").drop("dest").select(*(x.split()[0] for x in _ASKED.split(", ")[1:])).mapInArrow(_answer, _ANSWER), "counts")
+    parts = max(partitions(spark), -(-size // PART_BYTES))
+    asked = rows.mapInArrow(_ask(parts), _ASKED).repartition(parts, "part").drop("part")
+    answers = stored(asked.mapInArrow(_answer, _ANSWER).coalesce(-(-parts // PARTS_A_FILE)), "counts")
+    del asked
+    swept(spark)
     sums = np.array([np.frombuffer(r[0], np.int64) for r in answers.where("n = -1").select("total").collect()], dtype=np.int64).reshape(-1, 4).sum(axis=0)
     v, n, kept_v, deleted = (int(x) for x in sums)
-    evidence = _blocks(answers.where(F.col("kind") == DEV)).mapInArrow(_evidence(n - deleted, bits), "code long, tokens long")
+    evidence = _blocks(answers.where(F.col("kind") == DEV), parts).mapInArrow(_evidence(n - deleted), "code long, tokens long")
     seen = evidence.groupBy("code").agg(F.sum("tokens")).collect()  # at most buckets times levels squared
     code = np.array([r[0] for r in seen], dtype=np.int64)
-    tokens = np.array([r[1] for r in seen], dtype=np.float64)
+    tokens_seen = np.array([r[1] for r in seen], dtype=np.float64)
     back = lambda level: np.where(level > 0, np.exp(-(level - 1) * STEP), 0.0)
-    weights = learn_weights(code >> 40, back((code >> 20) & 0xFFFFF), back(code & 0xFFFFF), tokens, 1 / (kept_v + 1))
-    kind = rows.schema["key"].dataType.simpleString()
-    out = _blocks(answers).mapInArrow(
-        _score(weights, n, v, bits), f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
+    weights = learn_weights(code >> 40, back((code >> 20) & 0xFFFFF), back(code & 0xFFFFF), tokens_seen, 1 / (kept_v + 1))
+    return _blocks(answers, parts), weights, n, v
+
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of ``docs``.
+
+    Documents whose crc32(key as text) mod 10 is 0 are held out; all others train, and those with
+    remainder 1 are deleted when the weights are learned. Tokens are lower-cased (A-Z) words without
+    ASCII white space and one end. A null text counts as empty and has its end only; a row with a null
+    key trains. Repeated rows count as often as they occur. Extra columns are not read. An empty table
+    gives an empty result. A block is at least a document: a task holds about a hundred bytes for each
+    byte of its longest text.
+    """
+    blocks, weights, n, v = train(docs, key, text)
+    kind = docs.schema[key].dataType.simpleString()
+    out = blocks.mapInArrow(_score(weights, n, v), f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("key", key)
 
 

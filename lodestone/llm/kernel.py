@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..storage import dropped, shared_folder, stored  # noqa: F401  (the operators take them from here)
+from ..storage import dropped, shared_folder, stored, swept  # noqa: F401  (the operators take them from here)
 
 PIECE_BYTES = 1 << 20
 
@@ -199,11 +199,17 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes of a batch on its way to a Python worker, unless the session sets its own limit.
+BATCH_BYTES = 1 << 24
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _shipped: dict[str, bool] = {}
 
 
 def ship(spark: SparkSession) -> None:
     """Give executors this package, so that functions pickled by reference can be imported there."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
