@@ -21,6 +21,14 @@ def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def local_bitmap(h: np.ndarray) -> np.ndarray:
+    """A bitmap of hashes that are at hand, as ``bitmap`` makes it."""
+    at = h >> np.uint64(SHIFT)
+    out = np.zeros(BITMAP // 8, dtype=np.uint8)
+    np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    return out
+
+
 def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = (h >> np.uint64(SHIFT)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

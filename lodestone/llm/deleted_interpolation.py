@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import SPACED, Words, _gram_factor, hash_word, mix, part_of, partitions, pieces, read, release, ship, stored, swept, text_column
+from .kernel import SPACED, Words, _gram_factor, hash_word, mix, pack, pack_sorted, part_of, partitions, pieces, read, release, ship, stored, swept, text_column, unpack, unpack_sorted
 
 BLOCK_BYTES = 3 << 20
 #: Bytes of texts for each part of the hash space, and of a row with some of a block's tokens.
@@ -39,26 +39,6 @@ STEP = 0.25
 PAIR_BITS = 56
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Byte planes of an integer array, compressed: small numbers in wide integers cost little."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T) if len(values) else np.zeros(0, np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpack(data: bytes, dtype) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    wide = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(wide, -1).T).view(dtype).ravel() if len(raw) else np.zeros(0, dtype)
-
-
-def pack_sorted(values: np.ndarray) -> bytes:
-    return pack(np.diff(values, prepend=np.uint64(0)))
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
-
-
 def pair_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Of every token with the one before it, or with a start; ``first`` has the documents' first tokens."""
     before = np.concatenate([[np.uint64(START)], h[:-1]]) if len(h) else h
