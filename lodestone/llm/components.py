@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import stored
+from .kernel import dropped, stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def components(links: DataFrame) -> DataFrame:
         stamp = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if stamp == before or not stamp[0]:
             break
-        before = stamp
+        before, old = stamp, edges
         edges = stored(_small(_large(edges)).where("a > b").distinct(), "links")
+        dropped(old)
     roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .bitmap import bitmap, in_bitmap
 from .components import components
-from .kernel import SPACED, Words, gathered, grams, mix, part_of, partitions, pieces, read, scatter, ship, signed, stored, text_column
+from .kernel import SPACED, Words, dropped, gathered, grams, mix, part_of, partitions, pieces, read, scatter, ship, signed, stored, swept, text_column
 
 DEPTH = 8
 BLOCK = 64
@@ -227,6 +227,7 @@ def classes(docs: DataFrame, key: str, text: str, n: int, share: int) -> DataFra
     texts = docs.select("text")
     prefixes = texts.mapInArrow(_emit_prefixes(n, share, common, parts), "part int, tokens binary, classes binary, sizes binary")
     shared = stored(prefixes.repartition(parts, "part").mapInArrow(_shared, "token long, class long, n int"), "matrix")
+    common.destroy()
 
     # groups: each class goes to the smallest class of the token lists in which it meets most others of it
     enough = F.least(F.lit(DEPTH), F.ceil(F.col("n") * share / 100))
@@ -241,6 +242,7 @@ def classes(docs: DataFrame, key: str, text: str, n: int, share: int) -> DataFra
     named = F.xxhash64(F.coalesce("centre", "class"), "bucket")
     placed = shared.withColumn("bucket", bucket).join(own, "class", "left").select("token", "class", "n", "bucket", named.alias("own"))
     placed = stored(placed, "placed")
+    dropped(shared)
     matrix = placed.groupBy("token", F.col("own").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     visits = (
         placed.join(matrix, "token")
@@ -257,10 +259,12 @@ def classes(docs: DataFrame, key: str, text: str, n: int, share: int) -> DataFra
     busy = busy.join(sizes, "own").select("own", F.ceil(F.col("size") / BLOCK).cast("long").alias("salts"))
     salt = F.pmod(F.xxhash64("class"), F.col("salts"))
     member = stored(member.join(busy, "own").select("class", F.col("own").alias("group"), "salts", salt.alias("salt")), "groups")
+    dropped(placed)
     wanted = member.select("class").union(visits.select("class")).distinct()
     bits = sc.broadcast(bitmap(wanted, "class"))
     sets = texts.mapInArrow(_emit_sets(n, bits), "class long, tokens binary").groupBy("class").agg(F.first("tokens").alias("tokens"))
     sets = stored(sets.join(wanted, "class", "left_semi"), "sets")
+    bits.destroy()
 
     def blocks(comps: DataFrame | None) -> DataFrame:
         rows = with_comps(member.join(sets, "class"), comps)
@@ -296,6 +300,8 @@ def classes(docs: DataFrame, key: str, text: str, n: int, share: int) -> DataFra
     foreign = with_comps(visits, comps).join(main, "group").where("comp <> main or comps > 1").select("class", "group")
     more = stored(visited(apart.union(foreign).join(salts, "group"), comps), "joined")
     every = stored(components(links.union(more)), "components")
+    dropped(visits, member, sets, links, comps, more)
+    swept(spark)
     return info.join(every.withColumnRenamed("node", "class"), "class", "left").select("key", "n", "class", F.coalesce("component", "class").alias("component"))
 
 
