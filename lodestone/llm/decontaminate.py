@@ -2,8 +2,8 @@
 
 A seed is a mask over consecutive tokens; tokens under a 0 are ignored, so a hit survives substitutions
 there. Seeds of the benchmark and of the documents are joined on their hashes. Each hit fixes an item
-and a diagonal; the item is laid over the document there and the best stretch of agreeing tokens, in
-which a disagreement costs ``MISMATCH`` agreements, decides.
+and a diagonal; the item is laid over the document there, and a stretch decides in which enough tokens, and
+a large enough share of them, agree.
 
 The benchmark is read in blocks of at most ``BLOCK_TOKENS`` tokens. The seed tables of one block are
 broadcast, so what a task holds is bounded whatever the benchmark's size; each further block is one more
@@ -21,14 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .kernel import SPACED, Words, _gram_factor, mix, pieces, read, ship, text_column, widened
+from .kernel import SPACED, Words, _gram_factor, mix, pieces, read, ship, stored, text_column, widened
 
 #: Each mask keeps seven of nine to twelve tokens.
 MASKS = ("1101110101", "111011011", "110100110111", "101111011")
 BLOCK_TOKENS = 1 << 19
 MIN_MATCH = 13
+#: Items of fewer tokens occur in clean texts by chance and are left out.
+MIN_ITEM = 5
 MIN_SHARE = 0.8
-MISMATCH = 3
 
 
 def seeds(h: np.ndarray, mask: str) -> np.ndarray:
@@ -91,24 +92,30 @@ class SeedTable:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.unique(np.concatenate(out, axis=1), axis=1))
 
-    def verify(self, w: Words, document: int, item: int, diagonal: int) -> tuple[int, int, int, int]:
-        """(agreeing tokens, tokens, first token in the document, item length) of the best stretch."""
+    def verify(self, w: Words, document: int, item: int, diagonal: int, min_match: int, min_share: float) -> tuple[int, int, int, int] | None:
+        """(agreeing tokens, tokens, first token in the document, item length) of the stretch with most agreement that counts, if any."""
         a, b = self.first[item], self.first[item + 1]
         lo = max(diagonal, w.first[document])
         hi = min(diagonal + b - a, w.first[document + 1])
         same = w.hash[lo:hi] == self.hash[a + lo - diagonal : a + hi - diagonal]
-        total = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
-        lowest = np.minimum.accumulate(total)
-        end = int(np.argmax(total - lowest))
-        start = int(np.argmin(total[: end + 1]))
-        return int(same[start:end].sum()), end - start, int(lo + start - w.first[document]), int(b - a)
-
-
-def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[list, list[str]]]:
+        agree = np.concatenate([[0], np.cumsum(same)])
+        over = agree - min_share * np.arange(len(agree))  # a stretch agrees enough if this does not fall over it
+        lowest = np.minimum.accumulate(over)
+        start = np.searchsorted(-lowest, -over - 1e-9, side="left")  # the longest such stretch to each end
+        hits = agree - agree[start]
+        end = int(np.argmax(hits))
+        if hits[end] < max(1, min(min_match, min_share * (b - a))):
+            return None
+        return int(hits[end]), end - int(start[end]), int(lo + start[end] - w.first[document]), int(b - a)
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str, min_item: int) -> Iterator[tuple[list, list[str]]]:
     """Items in blocks of a bounded number of tokens, fetched one partition at a time."""
     ids, texts, held = [], [], 0
     for row in benchmark.select(item, F.lower(text).alias(text)).where(F.col(text).isNotNull()).toLocalIterator():
         n = len(row[1].split())
+        if n < min_item:
+            continue
         if ids and held + n > BLOCK_TOKENS:
             yield ids, texts
             ids, texts, held = [], [], 0
@@ -128,14 +135,19 @@ def find(
     masks: tuple[str, ...] = MASKS,
     min_match: int = MIN_MATCH,
     min_share: float = MIN_SHARE,
+    min_item: int = MIN_ITEM,
 ) -> DataFrame:
     """(key, item, n_match, n_tokens, first_token, item_tokens), one row for each document row and item.
 
     A stretch counts if it has ``min_match`` agreeing tokens, or ``min_share`` of a shorter item's, and
     ``min_share`` of its tokens agree. Texts and items are lower-cased by Unicode; tokens end at ASCII white space. Null or
-    empty texts and items match nothing; repeated rows are reported as often as they occur; ties between
-    stretches go to the earliest. Empty tables give an empty result.
+    empty texts and items match nothing, nor do items of fewer than ``min_item`` tokens; repeated rows are
+    reported as often as they occur; ties between stretches go to the earliest. Empty tables give an empty
+    result, extra columns are not read, and an ``item`` named like ``key`` is refused. A document is worked on
+    as a whole: a task holds about a hundred bytes for each byte of its longest text.
     """
+    if item.lower() == key.lower():
+        raise ValueError(f"key and item are both named {key}: rename one")
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(key).alias("key"), F.lower(text).alias("text"))
@@ -152,8 +164,8 @@ def find(
                     w = Words(buf, offsets[lo : hi + 1], SPACED)
                     best: dict[tuple[int, int], tuple[int, ...]] = {}
                     for d, i, diagonal in zip(*table.hits(w), strict=True):
-                        match, n, start, size = table.verify(w, d, i, diagonal)
-                        if match >= min(min_match, min_share * size) and match >= min_share * n:
+                        if stretch := table.verify(w, d, i, diagonal, min_match, min_share):
+                            match, n, start, size = stretch
                             found = (match, -n, -start, size)
                             best[d, i] = max(best.get((d, i), found), found)
                     if best:
@@ -167,20 +179,27 @@ def find(
 
         return run
 
-    found = [
-        docs.mapInArrow(scanner(spark.sparkContext.broadcast(SeedTable(ids, texts, tuple(masks)))), schema)
-        for ids, texts in _blocks(benchmark, item, text)
-    ]
+    found: list[DataFrame] = []
+    blocks = _blocks(benchmark, item, text, min_item)
+    block = next(blocks, None)
+    while block:
+        table = spark.sparkContext.broadcast(SeedTable(*block, tuple(masks)))
+        hits = docs.mapInArrow(scanner(table), schema)
+        block = next(blocks, None)
+        if block or found:  # one block's table at a time is on its way
+            hits = stored(hits, "overlaps")
+            table.destroy()
+        found.append(hits)
     out = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
     return out.withColumnsRenamed({"key": key, "item": item})
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **more) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", **more) -> DataFrame:
     """One row for each key with a benchmark overlap: its items and its longest one. Null keys are one group."""
-    found = find(docs, benchmark, key=key, **more)
+    found = find(docs, benchmark, key=key, item=item, **more)
     return found.groupBy(key).agg(
-        F.countDistinct("item_id").alias("n_items"),
-        F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("item_ids"),
+        F.countDistinct(item).alias("n_items"),
+        F.array_join(F.array_sort(F.collect_set(item)), ",").alias("item_ids"),
         F.max("n_match").alias("n_match"),
     )
 

@@ -255,7 +255,8 @@ def _send_surroundings(lengths: tuple[int, ...], gram: int, parts: int, common):
                 )
             )
         out += [(None, SETTLED, None, None, None, None, key, np.concatenate(r).tobytes()) for key, r in settled.items()]
-        yield _sent(out)
+        if out:
+            yield _sent(out)
         common_ones = [(names[i][1], names[i][2], strings[names[i]][0][0]) for i in np.flatnonzero(hot).tolist()]
         for lo, hi in pieces(np.concatenate([[0], np.cumsum([len(x[0]) for x in common_ones])]), PIECE):
             if rows := list(_windows(common_ones[lo:hi], lengths, parts)):

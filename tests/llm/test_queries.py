@@ -141,8 +141,11 @@ def test_jaccard(spark, sf, n, share):
     assert by_id(tuple(r) for r in got.collect()) == want
 
 
-@pytest.mark.parametrize("length", [400, 60])
-def test_suffix_dedup(spark, sf, length):
+@pytest.mark.parametrize(("length", "hot"), [(400, None), (60, None), (60, 0)])
+def test_suffix_dedup(spark, sf, length, hot, monkeypatch):
+    """With and without the way that splits hot grams, and with clashing names."""
+    if hot is not None:
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
     data = [(r[1] or "").encode() for r in ROWS]
     seen = collections.Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
     want = []
@@ -153,11 +156,67 @@ def test_suffix_dedup(spark, sf, length):
                 gone[i : i + length] = b"\1" * length
         spans = len(re.findall(b"\1+", bytes(gone)))
         want.append((r[0], sum(gone), spans, bytes(x for x, g in zip(d, gone, strict=True) if not g)))
-    got = suffix_dedup.deduplicate(spark.read.parquet(f"{sf}/documents.parquet"), length=length)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("row_key", F.lit(1)).withColumn("row", F.lit(2)).withColumn("ranges", F.lit("x"))
+    got = suffix_dedup.deduplicate(docs, length=length, marked=30)
+    assert {(r.row_key, r.row, r.ranges) for r in got.collect()} == {(1, 2, "x")}
+    marked = []
+    short = collections.Counter(d[i : i + 30] for d in data for i in range(len(d) - 29))
+    for r, d in zip(ROWS, data, strict=True):
+        there = bytearray(len(d))
+        for i in range(len(d) - 29):
+            if short[d[i : i + 30]] > 1:
+                there[i : i + 30] = b"\1" * 30
+        marked.append((r[0], sum(there)))
+    assert by_id(tuple(r) for r in got.select("doc_id", "n_marked").collect()) == by_id(marked)
     rows = got.select("doc_id", "n_removed", F.size("removed_spans"), "kept").collect()
     assert by_id((a, b, c, bytes(d)) for a, b, c, d in rows) == by_id(want)
 
 
+def test_suffix_array_decides(spark, sf, monkeypatch):
+    """Without the order of the suffixes, repeated windows are missed."""
+    rnd = random.Random(2)
+    words = prose(rnd, 400, ["the", "er", "on", "and", "ing"]).split()
+    strings = []
+    for i in range(30):
+        copy = list(words)
+        for at in rnd.sample(range(400), 12):
+            copy[at] = f"x{i}"
+        strings.append(" ".join(copy).encode())
+    owned = np.array([len(x) for x in strings])
+    count = collections.Counter(x[i : i + 60] for x in strings for i in range(len(x) - 59))
+    want = [[i for i in range(len(x) - 59) if count[x[i : i + 60]] > 1] for x in strings]
+    assert [f.tolist() for f in suffix_dedup.repeated_starts(strings, owned, (60,))[0]] == want
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda symbols: np.arange(len(symbols)))
+    assert [f.tolist() for f in suffix_dedup.repeated_starts(strings, owned, (60,))[0]] != want
+
+
+def test_interpolation_scores(spark, sf, monkeypatch):
+    """Scores are the mixture with the learned weights, worked out plainly; blocks and parts do not matter."""
+    learned = []
+    learn = deleted_interpolation.learn_weights
+    monkeypatch.setattr(deleted_interpolation, "learn_weights", lambda *a: learned.append(learn(*a)) or learned[-1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = by_id((r.doc_id, r.score) for r in deleted_interpolation.score(docs).collect())
+    words, pairs, context = collections.Counter(), collections.Counter(), collections.Counter()
+    texts = [(r[0], [None, *WORDS.findall((r[1] or "").translate(LOWER)), None]) for r in ROWS]
+    for k, w in texts:
+        if k is None or zlib.crc32(str(k).encode()) % 10:
+            words.update(w[1:])
+            pairs.update(zip(w[:-1], w[1:], strict=True))
+            context.update(w[:-1])
+    n, v, want = sum(words.values()), len(words), []
+    for k, w in texts:
+        total, first = 0.0, True
+        for a, b in zip(w[:-1], w[1:], strict=True):
+            c = words[None] if first else words[a]
+            x, y, z = learned[0][int(deleted_interpolation.bucket_of(np.array([c]))[0])]
+            total += math.log10(x * (pairs[a, b] / c if c else 0) + y * words[b] / n + z / (v + 1))
+            first = False
+        want.append((k, total))
+    for (k, x), (i, y) in zip(got, by_id(want), strict=True):
+        assert k == i and x == pytest.approx(y)
+
+
 def test_interpolation(spark, sf):
     docs = [(r[0], [*WORDS.findall((r[1] or "").translate(LOWER)), None]) for r in ROWS]
     held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 10 == 0
@@ -229,8 +288,13 @@ def test_decontamination(spark, sf):
     assert {r.doc_id for r in decontaminate.contaminated(docs, items).collect()} == want and 8 in want
     passage[5] = passage[14] = "other"
     changed = spark.createDataFrame([(1, "x y " + " ".join(passage)), (2, "short one"), (3, " ".join(passage[:8])), (None, "y short one z")], "doc_id long, text string")
-    found = decontaminate.find(changed, items)
+    found = decontaminate.find(changed, items, min_item=1)
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 0), (2, 3), (None, 3)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find(changed, items).collect()} == {(1, 0)}  # two words say nothing
+    named = decontaminate.contaminated(changed, items.withColumnRenamed("item_id", "id"), item="id").collect()
+    assert [(r.doc_id, r.n_items, r.item_ids) for r in named] == [(1, 1, "0")]
+    with pytest.raises(ValueError, match="rename"):
+        decontaminate.find(changed, items, key="doc_id", item="doc_id")
 
 
 def test_decontamination_of_capitals(spark, sf):
@@ -265,6 +329,37 @@ def test_blocks_of_a_benchmark(spark, sf, monkeypatch):
     assert by_id(map(tuple, decontaminate.find(docs, items).collect())) == by_id(map(tuple, whole))
 
 
+def overlap(a, b):
+    """Whether laying item ``a`` over text ``b`` on some diagonal gives a stretch that counts, found without seeds."""
+    for d in range(1 - len(a), len(b)):
+        same = [a[j - d] == b[j] for j in range(max(0, d), min(len(b), d + len(a)))]
+        for lo in range(len(same)):
+            hits = 0
+            for hi in range(lo, len(same)):
+                hits += same[hi]
+                if hits >= min(13, 0.8 * len(a)) and hits >= 0.8 * (hi - lo + 1):
+                    return True
+    return False
+
+
+def test_decontamination_recall(spark):
+    """Passages with substitutions at every rate, against every item on every diagonal."""
+    rnd = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [[rnd.choice(vocabulary) for _ in range(rnd.randint(14, 40))] for _ in range(12)]
+    texts = []
+    for i in range(120):
+        words = list(items[i % 12])
+        for at in rnd.sample(range(len(words)), int(len(words) * (i % 7) / 24)):
+            words[at] = rnd.choice(vocabulary)
+        texts.append([rnd.choice(vocabulary) for _ in range(rnd.randint(0, 30))] + words[rnd.randint(0, 4) :] + [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 30))])
+    want = {(t, i) for t, b in enumerate(texts) for i, a in enumerate(items) if overlap(a, b)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, benchmark).collect()}
+    assert len(want) > 60 and len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
 def test_neighbours(spark, sf):
     rows = pq.read_table(f"{sf}/embeddings.parquet").to_pylist()[:300]
     x = np.array([r["embedding"] for r in rows], dtype=np.float64)
@@ -391,6 +486,17 @@ def test_pipeline(spark, sf, empty):
     assert corpus_pipeline.run(spark, sf).count() > 10
 
 
+def test_pipeline_near_duplicates_of_one_id(spark, sf):
+    """Different texts of one id stay; equal rows are reduced to one; of linked rows that with the smallest id stays."""
+    import corpus_pipeline
+
+    a, b, c = (prose(random.Random(i), 60, ["the", "er", "on", "and", "ing"]) for i in (1, 2, 3))
+    rows = [(1, a), (1, b), (2, b), (2, c), (None, c), (None, None), (3, None), (1, a)]
+    docs = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = by_id((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect())
+    assert got == by_id([(1, a), (1, b), (2, c), (None, None), (3, None)])
+
+
 def test_pipeline_contaminated_rows_without_an_id(spark, sf):
     """A null id does not keep a row that holds an item, nor does a clean row go with it."""
     import corpus_pipeline
