@@ -7,12 +7,12 @@ overlap with each group; only groups that can reach the threshold are opened and
 * Tokens are ordered, common ones last (a fixed-size bitmap of tokens met often), then by hash. Two linked
   sets share at least ``min(DEPTH, needed overlap)`` tokens within their first ``n - needed + DEPTH``, so
   only those are exchanged, as arrays, one row for each batch and part.
-* A class joins the group of the smallest class with which it shares most of these tokens, apart by size.
-  Large groups are salted into blocks of about ``BLOCK`` classes, so a hot group never meets in one task.
-* Blocks are compared inside and with their group's first block; then one class of every group that holds a
-  token visits the first block of the least of these groups, so groups of much the same documents become one
-  component. Only classes that other components may link with visit these groups' blocks, packed in blocks
-  themselves. A visitor opens a block if its overlap with the block's token union is enough.
+* A class joins the group of the smallest class with which it shares most of these tokens, or of that one's
+  smallest and so on, apart by size, and visits the groups whose sizes it can link to and with which it shares enough of them. Large groups are salted into blocks of about
+  ``BLOCK`` classes, so a hot group never meets in one task.
+* Blocks are compared inside, then with their group's first block, then only classes that are still apart
+  visit the other blocks, packed in blocks themselves. A visitor opens a block if its overlap with the
+  block's token union is enough.
 
 Links inside a known component add nothing, so they are not sought: the output grows with the documents,
 and no link between different components is lost.
@@ -235,26 +235,52 @@ def classes(docs: DataFrame, key: str, text: str, n: int, share: int) -> DataFra
     centre = shared.groupBy("token").agg(F.min("class").alias("centre"))
     joined = shared.join(centre, "token").groupBy("class", "n", "centre").agg(F.count("*").alias("both"))
     own = (
-        joined.where(2 * F.col("both") >= enough)
+        joined.where(4 * F.col("both") >= enough)
         .groupBy("class")
         .agg(F.max_by("centre", F.struct("both", -F.col("centre").cast("decimal(20,0)"))).alias("centre"))
     )
+    # a centre's own centre, twice: chains of much the same documents become one group
+    own = stored(own, "centres")
+    first = own
+    for _ in range(2):
+        above = first.select(F.col("class").alias("centre"), F.col("centre").alias("above"))
+        own = own.join(above, "centre", "left").select("class", F.coalesce("above", "centre").alias("centre"))
     named = F.xxhash64(F.coalesce("centre", "class"), "bucket")
     # a class without enough tokens that others hold links with none
-    live = shared.groupBy("class", "n").agg(F.count("*").alias("both")).where(F.col("both") >= enough).select("class", bucket.alias("bucket"))
-    owned = live.join(own, "class", "left").select("class", named.alias("group"))
-    sizes = owned.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("salts"), F.count("*").alias("size"))
+    live = shared.groupBy("class").agg(F.count("*").alias("both"), F.first("n").alias("n")).where(F.col("both") >= enough).select("class")
+    placed = shared.join(live, "class").withColumn("bucket", bucket).join(own, "class", "left").select("token", "class", "n", "bucket", named.alias("own"))
+    placed = stored(placed, "placed")
+    dropped(shared, first)
+    # only tokens of several groups lead to others, and a visitor needs enough of them
+    several = placed.groupBy("token").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("token")
+    opened = placed.join(several, "token")
+    able = opened.groupBy("class").agg(F.count("*").alias("both"), F.first("n").alias("n")).where(F.col("both") >= enough).select("class")
+    opened = stored(opened.join(able, "class").select("token", "class", "n", "own"), "opened")
+    matrix = opened.groupBy("token", F.col("own").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    visits = (
+        opened.join(matrix, "token")
+        .where(f"group <> own and 100 * n >= {share} * least and {share} * n <= 100 * most")
+        .groupBy("class", "n", "group")
+        .agg(F.count("*").alias("both"))
+        .where(F.col("both") >= enough)
+        .select("class", "group")
+    )
+    visits = stored(visits, "visits")
+    member = placed.select("class", "own").distinct()
+    sizes = member.groupBy("own").agg(F.count("*").alias("size"))
+    busy = sizes.where("size > 1").select("own").union(visits.select(F.col("group").alias("own"))).distinct()
+    busy = busy.join(sizes, "own").select("own", F.ceil(F.col("size") / BLOCK).cast("long").alias("salts"))
     salt = F.pmod(F.xxhash64("class"), F.col("salts"))
-    member = stored(owned.join(sizes, "group").select("class", "group", "salts", "size", salt.alias("salt")), "groups")
-    placed = stored(shared.join(member.select("class", "group", "salts"), "class"), "placed")
-    dropped(shared)
-    bits = sc.broadcast(bitmap(member.select("class"), "class"))
+    member = stored(member.join(busy, "own").select("class", F.col("own").alias("group"), "salts", salt.alias("salt")), "groups")
+    dropped(placed)
+    wanted = member.select("class").union(visits.select("class")).distinct()
+    bits = sc.broadcast(bitmap(wanted, "class"))
     sets = texts.mapInArrow(_emit_sets(n, bits), "class long, tokens binary").groupBy("class").agg(F.first("tokens").alias("tokens"))
-    sets = stored(sets.join(member.select("class"), "class", "left_semi"), "sets")
+    sets = stored(sets.join(wanted, "class", "left_semi"), "sets")
     bits.destroy()
 
-    def blocks(comps: DataFrame | None, some: DataFrame) -> DataFrame:
-        rows = with_comps(some.join(sets, "class"), comps)
+    def blocks(comps: DataFrame | None) -> DataFrame:
+        rows = with_comps(member.join(sets, "class"), comps)
         return rows.groupBy("group", "salt").agg(F.collect_list(F.struct("class", "comp", "tokens")).alias("members"))
 
     def with_comps(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -272,36 +298,22 @@ def classes(docs: DataFrame, key: str, text: str, n: int, share: int) -> DataFra
         rows = with_comps(rows.join(sets, "class"), comps)
         packs = rows.groupBy("group", "pack", "salts").agg(F.collect_list(F.struct("class", "comp", "tokens")).alias("visitors"))
         packs = packs.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "visitors")
-        return packs.join(blocks(comps, member.join(asked.select("group").distinct(), "group", "left_semi")), ["group", "salt"]).select("members", "visitors").mapInArrow(_links(share), "a long, b long")
-
-    inner = blocks(None, member.where("size > 1")).select("members", F.lit(None).cast(empty).alias("visitors")).mapInArrow(_links(share), "a long, b long")
-    once = F.lit(1).cast("long").alias("salts")
-    links = stored(inner.union(visited(member.where("salt > 0").select("class", "group", once), None)), "joined")
-    # of each token's groups, one class visits the first block of the least: groups of much the same documents become one component
-    matrix = placed.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.struct("class", "n")).alias("one"))
-    least = matrix.groupBy("token").agg(F.min(F.struct("group", "least", "most")).alias("first"))
-    reach = lambda size, low, high: (100 * size >= share * low) & (share * size <= 100 * high)
-    bridges = matrix.join(least, "token").where((F.col("group") != F.col("first.group")) & reach(F.col("one.n"), F.col("first.least"), F.col("first.most")))
-    bridges = bridges.select(F.col("one.class").alias("class"), F.col("first.group").alias("group"), once).distinct()
-    links = stored(links.union(visited(bridges, None)), "bridged")
+        return packs.join(blocks(comps), ["group", "salt"]).select("members", "visitors").mapInArrow(_links(share), "a long, b long")
+
+    inner = blocks(None).select("members", F.lit(None).cast(empty).alias("visitors")).mapInArrow(_links(share), "a long, b long")
+    links = stored(inner.union(visited(member.where("salt > 0").select("class", "group", F.lit(1).cast("long").alias("salts")), None)), "joined")
     comps = stored(components(links), "components")
 
-    # classes visit the groups in which other components hold enough of their tokens
-    labelled = stored(with_comps(placed, comps), "labelled")
-    matrix = labelled.groupBy("token", F.col("group").alias("to"), F.col("comp").alias("other"), F.col("salts").alias("blocks")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    visits = (
-        labelled.join(matrix, "token")
-        .where((F.col("comp") != F.col("other")) & ((F.col("group") != F.col("to")) | (F.col("salts") > 1)) & reach(F.col("n"), F.col("least"), F.col("most")))
-        .groupBy("class", "n", "to", "other", "blocks")
-        .agg(F.count("*").alias("both"))
-        .where(F.col("both") >= enough)
-        .select("class", F.col("to").alias("group"), F.col("blocks").alias("salts"))
-        .distinct()
-    )
-    visits = stored(visits, "visits")
-    more = stored(visited(visits, comps), "joined")
+    # who is still apart: members outside their group's main component, and visitors from other groups
+    labelled = with_comps(member, comps)
+    count = labelled.groupBy("group", "comp").agg(F.count("*").alias("many"))
+    main = count.groupBy("group").agg(F.max_by("comp", "many").alias("main"), F.count("*").alias("comps"))
+    salts = member.groupBy("group").agg(F.first("salts").alias("salts"))
+    apart = labelled.where("salts > 1").join(main, "group").where("comp <> main").select("class", "group")
+    foreign = with_comps(visits, comps).join(main, "group").where("comp <> main or comps > 1").select("class", "group")
+    more = stored(visited(apart.union(foreign).join(salts, "group"), comps), "joined")
     every = stored(components(links.union(more)), "components")
-    dropped(placed, labelled, visits, member, sets, links, comps, more)
+    dropped(opened, visits, member, sets, links, comps, more)
     swept(spark)
     return info.join(every.withColumnRenamed("node", "class"), "class", "left").select("key", "n", "class", F.coalesce("component", "class").alias("component"))
 
