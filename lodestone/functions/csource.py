@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import kept_lines, strip
+from .text import kept_lines, let, strip
 
 #: Literals and comments, function heads, words that are no function names, header lines.
-LITERALS = r"""(?sm)//.*?$|/\*.*?\*/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'"""
+LITERALS = r"""(?sm)//.*?$|/\*.*?\*/|"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+'"""
 HEAD = r"(?m)\b([A-Za-z_][A-Za-z0-9_]*)\s*\([^;{)]*\)\s*\{"
 KEYWORDS = (
     "break", "case", "continue", "default", "do", "else", "enum", "for", "goto", "if", "return", "sizeof", "struct", "switch", "typedef", "union", "while",
@@ -41,34 +41,42 @@ def _heads(masked: Column) -> Column:
     return F.aggregate(rows, start, step, lambda acc: acc["found"])
 
 
-def _close(masked: Column, open_at: Column) -> Column:
-    """Offset of the brace that closes the one at ``open_at``, or -1."""
-    state = "struct<at:int,depth:int,close:int>"
+def _closes(masked: Column) -> Column:
+    """Map from the offset of each brace that closes to that of its closing brace, in one pass with a stack."""
+    state = "struct<at:int,stack:array<int>,open:array<int>,close:array<int>>"
 
     def step(acc: Column, piece: Column) -> Column:
-        inside = (acc["at"] >= open_at) & (acc["close"] < 0)
         brace = F.substring(piece, 1, 1)
-        depth = acc["depth"] + F.when(inside & (brace == "{"), 1).when(inside & (brace == "}"), -1).otherwise(0)
-        close = F.when(inside & (brace == "}") & (depth == 0), acc["at"]).otherwise(acc["close"])
-        return F.struct((acc["at"] + F.length(piece)).alias("at"), depth.alias("depth"), close.alias("close")).cast(state)
+        pops = (brace == "}") & (F.size(acc["stack"]) > 0)
+        stack = F.when(brace == "{", F.concat(F.array(acc["at"]), acc["stack"])).when(pops, F.slice(acc["stack"], 2, F.size(acc["stack"]))).otherwise(acc["stack"])
+        opened = F.when(pops, F.concat(acc["open"], F.slice(acc["stack"], 1, 1))).otherwise(acc["open"])
+        closed = F.when(pops, F.concat(acc["close"], F.array(acc["at"]))).otherwise(acc["close"])
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), stack.alias("stack"), opened.alias("open"), closed.alias("close")).cast(state)
 
-    pieces = F.split(masked, r"(?=[{}])", -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(-1).alias("close")).cast(state)
-    return F.aggregate(pieces, start, step, lambda acc: acc["close"])
+    start = F.struct(F.lit(0).alias("at"), F.array().alias("stack"), F.array().alias("open"), F.array().alias("close")).cast(state)
+    return F.aggregate(F.split(masked, r"(?=[{}])", -1), start, step, lambda acc: F.map_from_arrays(acc["open"], acc["close"]))
+
+
+#: So many characters before a head usually hold the lines that are looked at; else all are taken.
+NEAR = 1000
 
 
 def _begin(code: Column, at: Column) -> Column:
     """Where the signature begins: its line, and up to three lines above that end no statement and are not blank."""
-    before = F.substring(code, F.lit(1), at)
-    above = F.slice(F.reverse(F.split(before, "\n", -1)), 2, LOOK_BACK)
+    near = F.substring(code, F.greatest(F.lit(1), at - NEAR + 1), F.least(at, F.lit(NEAR)))
     part = lambda x: strip(x).rlike(r"[^;}]$")
-    wanted = F.aggregate(
-        above,
-        F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")),
-        lambda acc, x: F.struct((acc["on"] & part(x)).alias("on"), (acc["n"] + F.when(acc["on"] & part(x), F.length(x) + 1).otherwise(0)).alias("n")),
-        lambda acc: acc["n"],
-    )
-    return at - F.length(F.regexp_extract(before, r"[^\n]*$", 0)) - wanted
+
+    def back(lines: Column) -> Column:
+        wanted = F.aggregate(
+            F.slice(lines, 2, LOOK_BACK),
+            F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")),
+            lambda acc, x: F.struct((acc["on"] & part(x)).alias("on"), (acc["n"] + F.when(acc["on"] & part(x), F.length(x) + 1).otherwise(0)).alias("n")),
+            lambda acc: acc["n"],
+        )
+        return F.length(lines[0]) + wanted
+
+    lines = lambda x: F.reverse(F.split(x, "\n", -1))
+    return at - let(lines(near), lambda x: F.when(F.size(x) > LOOK_BACK + 1, back(x)).otherwise(let(lines(F.substring(code, F.lit(1), at)), back)))
 
 
 def functions(code: Column) -> Column:
@@ -77,18 +85,25 @@ def functions(code: Column) -> Column:
     Heads are sought with comments and literals masked; control words are no names, and a function
     whose braces never close is left out.
     """
-    masked = mask(code)
-    heads = F.filter(_heads(masked), lambda h: ~h["name"].isin(*KEYWORDS))
-    placed = F.transform(
-        heads, lambda h: F.struct(h["name"].alias("name"), _begin(code, h["at"]).alias("at"), _close(masked, h["open"]).alias("close"))
-    )
-    closed = F.filter(placed, lambda h: h["close"] >= 0)
-    names = F.transform(closed, lambda h: h["name"])
-    first = F.filter(closed, lambda h, i: F.array_position(names, h["name"]) == i + 1)
-    return F.transform(
-        first,
-        lambda h: F.struct(h["name"].alias("name"), F.substring(code, h["at"] + 1, h["close"] - h["at"] + 1).alias("code"), h["at"].alias("at")),
-    )
+
+    def closed(masked: Column, closes: Column) -> Column:
+        heads = F.filter(_heads(masked), lambda h: ~h["name"].isin(*KEYWORDS))
+        placed = F.transform(heads, lambda h: F.struct(h["name"].alias("name"), h["at"].alias("head"), closes[h["open"]].alias("close")))
+        return F.filter(placed, lambda h: h["close"].isNotNull())
+
+    def chosen(heads: Column, names: Column) -> Column:
+        first = F.filter(heads, lambda h, i: F.array_position(names, h["name"]) == i + 1)
+        placed = F.transform(first, lambda h: F.struct(h["name"].alias("name"), _begin(code, h["head"]).alias("at"), h["close"].alias("close")))
+        return F.transform(
+            placed, lambda h: F.struct(h["name"].alias("name"), F.substring(code, h["at"] + 1, h["close"] - h["at"] + 1).alias("code"), h["at"].alias("at"))
+        )
+
+    def of(masked: Column) -> Column:
+        return let(
+            let(_closes(masked), lambda closes: closed(masked, closes)), lambda heads: let(F.transform(heads, lambda h: h["name"]), lambda names: chosen(heads, names))
+        )
+
+    return let(mask(code), of)
 
 
 def header_part(code: Column) -> Column:

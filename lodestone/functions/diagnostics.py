@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 #: Message layouts, kinds in order of precedence, prefixes and paths to remove.
 STRUCTURED = r"^([^\s:]+\.c(?:pp)?):(\d+):(\d+):\s*(error|warning|note):\s*(.+)"
@@ -115,10 +115,12 @@ def line_key(line: Column) -> Column:
 
 def remove_duplicate_lines(message: Column) -> Column:
     """Of duplicate lines the first stays; blank lines all stay."""
-    cut = F.split(message, "\n", -1)
-    keys = F.transform(cut, line_key)
-    kept = F.filter(F.arrays_zip(cut.alias("x"), keys.alias("k"), F.sequence(F.lit(1), F.size(cut)).alias("i")), lambda r: (r["k"] == "") | (F.array_position(keys, r["k"]) == r["i"]))
-    return F.array_join(F.transform(kept, lambda r: r["x"]), "\n")
+
+    def first_ones(cut: Column, keys: Column) -> Column:
+        kept = F.filter(F.arrays_zip(cut.alias("x"), keys.alias("k")), lambda r, i: (r["k"] == "") | (F.array_position(keys, r["k"]) == i + 1))
+        return F.array_join(F.transform(kept, lambda r: r["x"]), "\n")
+
+    return let(F.split(message, "\n", -1), lambda cut: let(F.transform(cut, line_key), lambda keys: first_ones(cut, keys)))
 
 
 def kind_of(line: Column) -> Column:
@@ -130,8 +132,11 @@ def kind_of(line: Column) -> Column:
 
 
 def categorize_line(line: Column) -> Column:
-    kind = kind_of(line)
-    return F.when(kind.isNotNull() & ~F.lower(line).contains(kind), F.concat(F.lit("["), F.upper(kind), F.lit("] "), line)).otherwise(line)
+
+    def named(kind: Column) -> Column:
+        return F.when(kind.isNotNull() & ~F.lower(line).contains(kind), F.concat(F.lit("["), F.upper(kind), F.lit("] "), line)).otherwise(line)
+
+    return let(kind_of(line), named)
 
 
 def add_categories(message: Column) -> Column:

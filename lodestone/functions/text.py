@@ -76,3 +76,8 @@ def strip_code_fence(x: Column) -> Column:
     """Without a fence at the very start and end; fences inside stay."""
     opened = F.regexp_replace(strip(x), r"^```[a-zA-Z0-9]*\s*", "")
     return strip(F.regexp_replace(opened, r"```$", ""))
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]

@@ -180,3 +180,25 @@ def test_response_pick(spark):
     body = '{"output":[{"type":"x"},{"type":"message","role":"assistant","content":[{"type":"output_text","text":"hi"}]}]}'
     assert one(spark, body, text.first_response_text) == "hi"
     assert one(spark, "not json", text.first_response_text) == ""
+
+
+def test_long_literals_and_comments(spark):
+    code = 'int f() { char *s = "' + "x\\\\" * 300_000 + '"; /*' + "y*" * 500_000 + "*/ char c = '" + "z" * 100_000 + "'; }"
+    masked = one(spark, code, csource.mask)
+    assert len(masked) == len(code) and masked.split() == ["int", "f()", "{", "char", "*s", "=", ";", "char", "c", "=", ";", "}"]
+
+
+def test_many_functions_in_linear_time(spark):
+    import time
+
+    code = "".join(f"int f{i % 900}(int a)\n{{\n  if (a) {{ return {i}; }}\n  return a;\n}}\n\n" for i in range(1000))
+    one(spark, code[:200], csource.functions)
+    began = time.time()
+    found = one(spark, code, csource.functions)
+    assert time.time() - began < 6 and [f["name"] for f in found] == [f"f{i}" for i in range(900)]
+    assert found[5]["code"].startswith("int f5(int a)") and found[5]["code"].endswith("return a;\n}")
+
+
+def test_many_diagnostic_lines(spark):
+    message = "\n".join(f"a.c:{i}: error: thing {'x' * (i % 50)}" for i in range(1000))
+    assert len(one(spark, message, diagnostics.remove_duplicate_lines).split("\n")) == 50
