@@ -18,11 +18,14 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 #: Seconds until a call counts as failed, and the compiler's levels.
 TOOL_TIMEOUT, COMPILE_TIMEOUT, DISASSEMBLE_TIMEOUT, GENERATE_TIMEOUT = 10, 60, 60, 600
+DECOMPILE_TIMEOUT, EXTRACT_TIMEOUT = 120, 180
 LEVELS = ("O0", "O1", "O2", "O3")
 
 
@@ -236,6 +239,98 @@ def compile_all(sources: DataFrame, compiler=None, object_only: bool = False) ->
     return rows.mapInPandas(run, "path string, opt_level string, status boolean, message string")
 
 
+def compile_directory(
+    spark: SparkSession, folder: str, compiler=None, levels: tuple[str, ...] = LEVELS[:1], recursive: bool = True, always_cpp: bool = False, object_only: bool = False, out: str = "out"
+) -> DataFrame:
+    """(path, opt_level, output_path, status, message) of every C and C++ source below a folder at every level."""
+    from . import files
+
+    found = compile_matrix(files.sources(spark, folder, recursive, always_cpp), levels, folder=out)
+    return found.select("path", "opt_level", "output_path").join(compile_all(found, compiler, object_only), ["path", "opt_level"])
+
+
+def outcome_counts(compiled: DataFrame) -> DataFrame:
+    """(opt_level, total, succeeded, failed) of compiled sources."""
+    return compiled.groupBy("opt_level").agg(F.count("*").alias("total"), F.count_if("status").alias("succeeded"), F.count_if(~F.col("status")).alias("failed"))
+
+
+def renderings(binaries: DataFrame, disassembler=disassemble, strict: bool = True) -> DataFrame:
+    """(program_id, raw, cleaned, formatted) of the binaries that could be disassembled."""
+    from ..functions import asm
+    from ..operators import listing
+
+    raw = stored(disassembler(binaries).where("status").select("program_id", F.col("text").alias("raw")), "listings")
+    formatted = listing.formatted_listing(listing.extract_functions(raw, text="raw", strict=strict))
+    cleaned = raw.select("program_id", "raw", asm.clean_assembly(F.col("raw"), strict).alias("cleaned"))
+    return cleaned.join(formatted, "program_id", "left").withColumn("formatted", F.coalesce("formatted", F.lit("")))
+
+
+def disassemble_directory(spark: SparkSession, folder: str, out: str, recursive: bool = True, raw: bool = True, cleaned: bool = True, formatted: bool = True, disassembler=disassemble) -> dict[str, str]:
+    """Write up to three renderings of the files without a suffix below a folder; where each was written, nothing without any listing."""
+    from . import files
+
+    found = stored(renderings(files.executables(spark, folder, recursive), disassembler), "renderings")
+    return {} if found.isEmpty() else files.write_listings(found, out, raw, cleaned, formatted)
+
+
+@dataclass
+class Decompiler:
+    """An external tool that writes files about a binary; ``{binary}``, ``{out}`` and ``{what}`` in the command are filled in.
+
+    ``what`` is code (files .c), cfg (.json) or calls (.dot). A call that fails, or writes nothing, is a
+    status and a message.
+    """
+
+    command: tuple[str, ...]
+    suffixes: dict[str, str] = field(default_factory=lambda: {"code": ".c", "cfg": ".json", "calls": ".dot"})
+
+    def extract(self, content: bytes, what: str) -> tuple[bool, dict[str, str]]:
+        with tempfile.TemporaryDirectory() as folder:
+            binary, out = os.path.join(folder, "binary"), os.path.join(folder, "out")
+            os.mkdir(out)
+            with open(binary, "wb") as f:
+                f.write(content)
+            command = [x.format(binary=binary, out=out, what=what) for x in self.command]
+            try:
+                done = subprocess.run(command, capture_output=True, text=True, timeout=DECOMPILE_TIMEOUT if what == "code" else EXTRACT_TIMEOUT)
+            except (OSError, subprocess.SubprocessError) as e:
+                return False, {"": str(e)}
+            made = {}
+            for name in sorted(os.listdir(out)):
+                if name.endswith(self.suffixes[what]):
+                    with open(os.path.join(out, name), errors="replace") as f:
+                        made[name[: -len(self.suffixes[what])]] = f.read()
+        return (True, made) if done.returncode == 0 and made else (False, {"": done.stderr})
+
+
+@dataclass
+class StubDecompiler:
+    """Deterministic: files as a function of the content."""
+
+    files: Callable[[bytes, str], dict[str, str]] = lambda content, what: {}
+
+    def extract(self, content: bytes, what: str) -> tuple[bool, dict[str, str]]:
+        made = self.files(content, what)
+        return bool(made), made or {"": "nothing made"}
+
+
+def decompile(binaries: DataFrame, decompiler, what: str = "code") -> DataFrame:
+    """(program_id, status, stem, text): a row for each file that a decompiler makes of a binary, or one with why there is none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for program, content in zip(frame["program_id"], frame["content"], strict=True):
+                try:
+                    ok, made = decompiler.extract(bytes(content), what)
+                except Exception as e:  # one binary's failure is its row
+                    ok, made = False, {"": str(e)}
+                rows += [(program, ok, stem, text) for stem, text in made.items()]
+            yield pd.DataFrame(rows, columns=["program_id", "status", "stem", "text"])
+
+    return binaries.select("program_id", "content").mapInPandas(run, "program_id string, status boolean, stem string, text string")
+
+
 def generate(prompts: DataFrame, generator: Generator, prompt: str = "prompt", result: str = "generated") -> DataFrame:
     """Every row with the generator's text; one call a row."""
     schema = prompts.select("*", F.lit("").alias(result)).schema

@@ -94,8 +94,9 @@ def dot_lines(spark: SparkSession, path: str, program_id: str | None = None) ->
 
 
 def write_program(program: DataFrame, folder: str) -> None:
-    """Final text and the whole nested record of each program."""
-    program.select("optimized_code").write.mode("overwrite").text(f"{folder}/final_program_code")
+    """Final text, in a folder for each program, and the whole nested record of each."""
+    named = program.select("executable_name", F.col("optimized_code").alias("value"))
+    named.write.mode("overwrite").partitionBy("executable_name").text(f"{folder}/final_program_code")
     program.write.mode("overwrite").json(f"{folder}/enriched_data")
 
 

@@ -170,3 +170,104 @@ def test_streaming(spark, tmp_path):
     arrivals.functions_sink(rows, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out")).first()
     assert (got.program_id, got.name, got.instructions) == ("p", "f", ["ret"])
+
+
+LISTING = """
+0000000000001000 <main>:
+    1000:\t55                   \tpush   rbp
+    1001:\tc3                   \tret
+
+0000000000001010 <max>:
+    1010:\t55                   \tpush   rbp
+"""
+C_CODE = "int max(int a)\n{\n  return a;\n}\n\nint main(void)\n{\n  return max(1);\n}\n"
+
+
+def made(content, what):
+    if content != b"good":
+        return {}
+    cfg_text = '{"function_name": "%s", "entry": "00001000", "blocks": [], "edges": []}'
+    return {"code": {"binary": C_CODE}, "cfg": {n: cfg_text % n for n in ("main", "max")}, "calls": {"call_graph": "digraph g {\nmain -> max;\n}"}}[what]
+
+
+def listed(binaries):
+    return binaries.select("program_id", (F.col("content") == b"good").alias("status"), F.lit(LISTING).alias("text"))
+
+
+def test_from_executables_to_program_texts(spark, tmp_path):
+    """The whole way with stub tools; an executable whose tools fail is left out."""
+    from lodestone.plans import programs
+    from lodestone.sources.external import StubDecompiler
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "prog").write_bytes(b"good")
+    (tmp_path / "in" / "broken").write_bytes(b"bad")
+    (tmp_path / "in" / "notes.txt").write_bytes(b"good")
+    answer = StubGenerator(lambda p: "int max(int a)\n{\n  return a + 0;\n}\n" if "max(1)" not in p else C_CODE)
+    got = programs.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), StubDecompiler(made), answer, StubCompiler(), listed).collect()
+    assert [r.executable_name for r in got] == ["prog"] and [f["f_name"] for f in got[0].functions] == ["main", "max"]
+    assert got[0].functions[0]["asm"] == ["push   rbp", "ret"] and got[0].callgraph == {"main": ["max"]} and got[0].optimization_status
+    texts = spark.read.text(str(tmp_path / "out" / "final_program_code"), wholetext=True).collect()
+    assert [(r.value.strip(), r.executable_name) for r in texts] == [(got[0].optimized_code.strip(), "prog")]
+    back = spark.read.json(str(tmp_path / "out" / "enriched_data")).collect()
+    assert [r.executable_name for r in back] == ["prog"] and len(back[0].functions) == 2
+
+
+def test_directories_of_binaries_and_sources(spark, tmp_path):
+    from lodestone.sources.external import compile_directory, disassemble_directory, outcome_counts
+
+    (tmp_path / "prog").write_bytes(b"good")
+    (tmp_path / "a.c").write_text("int main(){}")
+    (tmp_path / "b.cpp").write_text("bad")
+    where = disassemble_directory(spark, str(tmp_path), str(tmp_path / "out"), cleaned=False, disassembler=listed)
+    assert sorted(where) == ["formatted", "raw"]
+    assert "<FUNC> main at " in spark.read.text(where["formatted"], wholetext=True).first().value
+    (tmp_path / "prog").write_bytes(b"bad")
+    assert disassemble_directory(spark, str(tmp_path), str(tmp_path / "none"), disassembler=listed) == {}
+    compiler = StubCompiler(lambda code: (code != "bad", "Compilation failed: x"))
+    done = compile_directory(spark, str(tmp_path), compiler, ("O0", "O2"))
+    assert {(r.path.rsplit("/", 1)[1], r.opt_level, r.status, r.output_path) for r in done.collect()} == {
+        ("a.c", "O0", True, "out/a_O0"), ("a.c", "O2", True, "out/a_O2"), ("b.cpp", "O0", False, "out/b_O0"), ("b.cpp", "O2", False, "out/b_O2")
+    }
+    assert {tuple(r) for r in outcome_counts(done).collect()} == {("O0", 2, 1, 1), ("O2", 2, 1, 1)}
+
+
+def test_tools_on_the_path(spark, tmp_path, monkeypatch):
+    """A compiler, a disassembler and a decompiler that are scripts: processes, failures and outputs as they come."""
+    import os
+
+    from lodestone.sources.external import Decompiler, decompile
+
+    for name, text in {
+        "gcc": 'grep -q bad "$1" && { echo "$1:1: error: bad" >&2; exit 1; }\nexit 0',
+        "objdump": "echo listing of \"$@\"",
+        "decomp": 'grep -q good "$1" || { echo no binary >&2; exit 1; }\necho "int f() { }" > "$2/f.c"',
+    }.items():
+        (tmp_path / name).write_text(f"#!/bin/sh\n{text}\n")
+        (tmp_path / name).chmod(0o755)
+    compiler = Compiler(c=str(tmp_path / "gcc"))
+    assert compiler.compile("int x;") == (True, "Compilation successful")
+    ok, message = compiler.compile("bad")
+    assert not ok and message.startswith("Compilation failed: ") and "error: bad" in message
+    assert not Compiler(c=str(tmp_path / "nowhere")).compile("x")[0]
+    binaries = spark.createDataFrame([("p", bytearray(b"good")), ("q", bytearray(b"none"))], "program_id string, content binary")
+    got = {r.program_id: r for r in disassemble(binaries, tool=str(tmp_path / "objdump")).collect()}
+    assert got["p"].status and got["p"].text.startswith("listing of -d -M intel -C ")
+    found = {r.program_id: r for r in decompile(binaries, Decompiler((str(tmp_path / "decomp"), "{binary}", "{out}"))).collect()}
+    assert (found["p"].status, found["p"].stem, found["p"].text.strip()) == (True, "f", "int f() { }")
+    assert not found["q"].status and "no binary" in found["q"].text
+    assert not decompile(binaries, Decompiler((os.path.join(str(tmp_path), "nowhere"),))).where("status").count()
+
+
+def test_logs_and_parameters(spark, tmp_path):
+    from lodestone import logs
+
+    log = logs.logger("lodestone-test", str(tmp_path))
+    assert logs.logger("lodestone-test", str(tmp_path)) is log and len(log.handlers) == 2
+    log.debug("whole")
+    (file,) = tmp_path.glob("lodestone-test_????????_??????.log")
+    assert "whole" in file.read_text()
+    at = spark.sql("select timestamp '2024-03-05 06:07:08' as t").select(logs.stamp(F.col("t")).alias("s")).first().s
+    assert at == "20240305_060708"
+    (tmp_path / "p.json").write_text('{"a": 1}')
+    assert logs.parameters(str(tmp_path / "p.json"), {"a": 0, "b": 2}) == {"a": 1, "b": 2}
