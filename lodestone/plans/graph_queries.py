@@ -167,7 +167,7 @@ _DAYS = """d AS (SELECT o_custkey AS k, min(date_diff('day', DATE '1970-01-01',
         max(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))) AS hi FROM orders GROUP BY 1),
     f AS (SELECT c_mktsegment AS program_id, c_name AS name, lo, hi FROM customer JOIN d ON c_custkey = k),
     b AS (SELECT m * 30 AS "start", m * 30 + 29 AS "end" FROM range(480) AS t(m)),
-    o AS (SELECT program_id, name, "start", 'B' || (row_number() OVER (PARTITION BY program_id, name ORDER BY "start") - 1) AS block
+    o AS MATERIALIZED (SELECT program_id, name, "start", 'B' || (row_number() OVER (PARTITION BY program_id, name ORDER BY "start") - 1) AS block
         FROM f JOIN b ON "start" <= hi AND "end" >= lo)"""
 
 
