@@ -1,5 +1,6 @@
 """Array kernels and the parts of operators that need no Spark, against brute force."""
 
+import collections
 import io
 import random
 
@@ -68,16 +69,15 @@ def test_repeated_starts(seed, n, spaced):
     length = 12
     texts = {"".join(rnd.choice("ab " if spaced else "ab") for _ in range(rnd.randint(12, 40))) for _ in range(n)}
     raw = [t.encode() for t in sorted(texts)]
-    begin = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     owned = np.array([rnd.randint(1, len(r) - length + 1) for r in raw])
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    h = suffix_dedup.window_hashes(data, begin, owned, np.zeros(len(raw), np.uint64), length)
-    again = suffix_dedup.values_met_again(h)
-    got = suffix_dedup.repeated_starts(data, begin, owned, h, again, length)
-    assert not (suffix_dedup.repeated_starts(data, begin, owned, h, again[:0], length) & ~got).any()
-    windows = [r[s : s + length] for r, k in zip(raw, owned, strict=True) for s in range(k)]
-    want = [windows.count(w) > 1 for w in windows]
-    assert got.tolist() == want
+    lengths = (length, length + 7)
+    got = suffix_dedup.repeated_starts(raw, owned, lengths)
+    settled = suffix_dedup.settle([(7, r, int(k)) for r, k in zip(raw, owned, strict=True)], [False] * len(raw), lengths)
+    for i, t in enumerate(lengths):
+        windows = collections.Counter(r[s : s + t] for r, k in zip(raw, owned, strict=True) for s in range(min(k, len(r) - t + 1)))
+        want = [[s for s in range(min(k, len(r) - t + 1)) if windows[r[s : s + t]] > 1] for r, k in zip(raw, owned, strict=True)]
+        assert [x.tolist() for x in got[i]] == want
+        assert [[] if x is None else x[i].tolist() for x in settled] == want
 
 
 def test_owners_of_equal_windows_are_equal():
@@ -146,8 +146,8 @@ def test_seeds_survive_substitutions():
     words[4] = words[15] = words[26] = "x"
     buf, offsets, _ = columns([None, "a b " + " ".join(words) + " c", "d e f"])
     w = kernel.Words(buf, offsets, kernel.SPACED)
-    found = {(d, i): table.verify(w, d, i, g) for d, i, g in zip(*table.hits(w), strict=True)}
-    assert set(found) == {(1, 0)} and found[1, 0] == (24, 26, 2, 30)
+    found = {(d, i): table.verify(w, d, i, g, 13, 0.8) for d, i, g in zip(*table.hits(w), strict=True)}
+    assert set(found) == {(1, 0)} and found[1, 0] == (27, 30, 2, 30)
 
 
 def test_blocks_open_exactly():
