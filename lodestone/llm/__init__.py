@@ -18,6 +18,9 @@ _MODULES = (
     "warc",
     "license_scan",
     "language_id",
+    "toxicity",
+    "filter_audit",
+    "token_alignment",
 )
 
 
