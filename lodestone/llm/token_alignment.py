@@ -30,8 +30,9 @@ from .kernel import pack, read, release, ship, stored, unpack
 
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text of a block, or one longer document; links of a slice that are written out at once.
-BLOCK_BYTES, SLICE_LINKS = 8 << 20, 1 << 22
-ENCODE_CHUNKS = 1 << 14
+BLOCK_BYTES, SLICE_LINKS = 6 << 20, 1 << 20
+#: Chunks that are given to the libraries as one text.
+ENCODE_CHUNKS = 1 << 9
 #: Bytes of group texts that leave a task at once, or one longer document's.
 OUT_BYTES = 1 << 22
 MARK = "▁"
@@ -88,15 +89,51 @@ class Tokenizers:
         #: An id's text within its side of a group, and as the last of it; of B also as the last of a chunk.
         self.name_a, self.name_b = names(self.bytes_a, ",|"), names(self.bytes_b, ",;\n")
 
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        many = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
-        a, b = [], []
-        for i in range(0, len(chunks), ENCODE_CHUNKS):
-            some = chunks[i : i + ENCODE_CHUNKS]
-            a += [e.ids for e in many([" " + c for c in some], add_special_tokens=False)]
-            b += self.b.encode(some, num_threads=1)
-        mark = [self.b.piece_to_id(MARK)]
-        return a, [ids or mark for ids in b]  # a last marker alone; the library adds none to an empty string
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
+        """(number of each chunk among those whose tokens have its bytes, or -1, and for A and B all ids and how many a chunk has).
+
+        Chunks that end in no white space are encoded many at a time, as one text, and cut where they end.
+        """
+        odd = np.array([not c or c[-1].isspace() for c in chunks], dtype=bool)
+        order = np.argsort(odd, kind="stable")
+        plain, found, same = len(chunks) - int(odd.sum()), [], np.zeros(len(chunks), dtype=bool)
+        for i in range(0, plain, ENCODE_CHUNKS):
+            where = order[i : i + ENCODE_CHUNKS].tolist() if i + ENCODE_CHUNKS <= plain else order[i:plain].tolist()
+            got = self._together([chunks[k] for k in where])
+            for k, part in zip([where] if got else [[k] for k in where], [got] if got else (self._alone(chunks[k]) for k in where), strict=True):
+                same[k] = part is not None
+                found += [part] * (part is not None)
+        for k in order[plain:].tolist():
+            part = self._alone(chunks[k])
+            same[k] = part is not None
+            found += [part] * (part is not None)
+        number = np.full(len(chunks), -1, dtype=np.int64)
+        number[order[same[order]]] = np.arange(int(same.sum()))
+        none = (np.zeros(0, np.int64),) * 4
+        return number, *(np.concatenate(x) for x in zip(none, *found, strict=True))
+
+    def _together(self, chunks: list[str]) -> tuple[np.ndarray, ...] | None:
+        """Ids of A, how many a chunk has, and the same of B; nothing if their bytes are not the chunks'."""
+        text = " ".join(chunks)
+        raw = b" " + text.encode()
+        end = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        out = []
+        for ids, entries, length in ((self.ids_a(text), self.bytes_a, self.length_a), (self.b.encode(text), self.bytes_b, self.length_b)):
+            if b"".join([entries[i] for i in ids]) != raw:
+                return None
+            flat = np.array(ids, dtype=np.int64)
+            to = np.searchsorted(np.cumsum(length[flat]), end) + 1  # a chunk's end is a token's
+            out += [flat, np.diff(to, prepend=0)]
+        return tuple(out)
+
+    def _alone(self, chunk: str) -> tuple[np.ndarray, ...] | None:
+        a, b = self.ids_a(chunk), self.b.encode(chunk) or [self.b.piece_to_id(MARK)]  # a last marker alone; the library adds none to an empty string
+        if not b"".join([self.bytes_a[i] for i in a]) == b" " + chunk.encode() == b"".join([self.bytes_b[i] for i in b]):
+            return None
+        return np.array(a, dtype=np.int64), np.array([len(a)]), np.array(b, dtype=np.int64), np.array([len(b)])
+
+    def ids_a(self, text: str) -> list[int]:
+        return self.a.encode(" " + text, add_special_tokens=False).ids
 
 
 def bitset(places: np.ndarray, size: int) -> np.ndarray:
@@ -125,21 +162,18 @@ def ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) + np.repeat(start - at, n)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting is faster here than numpy's hash table."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 class Chunks:
     """The alignment of distinct chunks, by chunk: numbers of tokens, groups and links, the groups' text, linked id pairs."""
 
     def __init__(self, tokens: Tokenizers, chunks: list[str]):
-        ids_a, ids_b = tokens.encode(chunks)
-        raw = [b" " + c.encode() for c in chunks]
-        same = [
-            b"".join([tokens.bytes_a[i] for i in a]) == x == b"".join([tokens.bytes_b[i] for i in b]) for a, b, x in zip(ids_a, ids_b, raw, strict=True)
-        ]
         #: A chunk's number among those whose tokens have its bytes, or -1.
-        self.number = np.where(same, np.cumsum(same) - 1, -1)
-        ids_a, ids_b = ([ids for ids, ok in zip(side, same, strict=True) if ok] for side in (ids_a, ids_b))
-        self.n_a, self.n_b = (np.array([len(ids) for ids in side], dtype=np.int64) for side in (ids_a, ids_b))
-        a, b = (np.fromiter(chain.from_iterable(side), dtype=np.int64, count=int(n.sum())) for side, n in ((ids_a, self.n_a), (ids_b, self.n_b)))
-        del ids_a, ids_b
+        self.number, a, self.n_a, b, self.n_b = tokens.encode(chunks)
         self._groups(tokens, a, b)
         self._pairs(a, b)
 
@@ -165,13 +199,13 @@ class Chunks:
         """Distinct linked pairs and, for each chunk, which of them it holds how often."""
         group = np.arange(len(self.many_a))
 
-        def distinct(ids: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        def counted(ids: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             code, times = np.unique(np.repeat(group, many) << 32 | ids, return_counts=True)
             n = np.bincount(code >> 32, minlength=len(group))
             return code & 0xFFFFFFFF, times, n, np.cumsum(n) - n
 
-        id_a, times_a, n_a, at_a = distinct(a, self.many_a)
-        id_b, times_b, n_b, at_b = distinct(b, self.many_b)
+        id_a, times_a, n_a, at_a = counted(a, self.many_a)
+        id_b, times_b, n_b, at_b = counted(b, self.many_b)
         links = np.cumsum(n_a * n_b)
         found, lo = [], 0
         while lo < len(group):  # slices of groups, or one larger group in slices of its A ids
@@ -196,7 +230,7 @@ class Chunks:
     def documents_of_pairs(self, sequence: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """For each distinct pair how many documents, given as sequences of chunks, hold it."""
         out = np.zeros(len(self.pairs), dtype=np.int64)
-        code = np.unique(np.repeat(np.arange(len(lengths)), lengths) * max(1, len(self.n_a)) + sequence)
+        code = distinct(np.repeat(np.arange(len(lengths)), lengths) * max(1, len(self.n_a)) + sequence)
         doc, chunk = code // max(1, len(self.n_a)), code % max(1, len(self.n_a))
         links, lo = np.cumsum(self.n_pairs[chunk]), 0
         while lo < len(doc):  # whole documents, of about a slice's links together
@@ -204,7 +238,7 @@ class Chunks:
             hi = int(np.searchsorted(doc, doc[min(max(hi, lo + 1), len(doc)) - 1], side="right"))
             some = chunk[lo:hi]
             held = self.pair[ragged(self.first_pair[some], self.n_pairs[some])]
-            held = np.unique(np.repeat(doc[lo:hi], self.n_pairs[some]) * len(self.pairs) + held) % len(self.pairs)
+            held = distinct(np.repeat(doc[lo:hi], self.n_pairs[some]) * len(self.pairs) + held) % len(self.pairs)
             out += np.bincount(held, minlength=len(self.pairs))
             lo = hi
         return out
