@@ -30,7 +30,7 @@ from .kernel import pack, read, release, ship, stored, unpack
 
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text of a block, or one longer document; links of a slice that are written out at once.
-BLOCK_BYTES, SLICE_LINKS = 6 << 20, 1 << 20
+BLOCK_BYTES, SLICE_LINKS = 4 << 20, 1 << 20
 #: Chunks that are given to the libraries as one text.
 ENCODE_CHUNKS = 1 << 9
 #: Bytes of group texts that leave a task at once, or one longer document's.
