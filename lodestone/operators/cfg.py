@@ -5,44 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
+
 
 def flatten_operands(operands: Column) -> Column:
     """The objects of all operands as one list of strings."""
     return F.transform(F.flatten(operands), lambda x: x.cast("string"))
 
 
-def blocks_of_functions(functions: DataFrame, blocks: DataFrame, program: str = "program_id", width: int = 0) -> DataFrame:
+def blocks_of_functions(functions: DataFrame, blocks: DataFrame, program: str = "program_id") -> DataFrame:
     """Blocks whose closed interval meets the function's: all columns of both and ``block``, B0, B1, ... by start.
 
-    ``functions``: program, name, lo, hi; ``blocks``: program, start, end (numbers). The program is an
-    equality key; with ``width`` both are also dealt to address buckets, which splits one huge program.
+    ``functions``: program, name, lo, hi; ``blocks``: program, start, end (numbers). A block that meets two
+    functions stands in both; functions without blocks, and blocks of none, have no row.
     """
-    meets = (F.col("start") <= F.col("hi")) & (F.col("end") >= F.col("lo"))
-    if width:
-        spread = lambda df, a, b: df.withColumn("__bucket", F.explode(F.sequence((F.col(a) / width).cast("long"), (F.col(b) / width).cast("long"))))
-        joined = spread(functions, "lo", "hi").join(spread(blocks, "start", "end"), [program, "__bucket"])
-        # the pair is kept in the first bucket that both reach
-        joined = joined.where(meets & (F.col("__bucket") == (F.greatest("lo", "start") / width).cast("long"))).drop("__bucket")
-    else:
-        joined = functions.join(blocks, program).where(meets)
-    number = F.row_number().over(Window.partitionBy(program, "name").orderBy("start")) - 1
+    joined = intervals.overlaps(functions, blocks, ("lo", "hi"), ("start", "end"), program)
+    number = F.row_number().over(Window.partitionBy(program, "name").orderBy("start", "end")) - 1
     return joined.withColumn("block", F.concat(F.lit("B"), number.cast("string")))
 
 
 def instructions_in_blocks(instructions: DataFrame, blocks: DataFrame, program: str = "program_id") -> DataFrame:
     """Instructions with the start of the block that holds their address; those in no block go.
 
-    Blocks of a program do not overlap, so the last block that begins at or before an address is the only
-    one that can hold it: one sort of both relations instead of a range join.
+    Blocks of a program do not overlap. Instructions of one program are dealt to many tasks by address.
     """
-    rest = [c for c in instructions.columns if c not in (program, "address")]
-    both = instructions.select(program, "address", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("end"), F.struct(*rest).alias("row")).unionByName(
-        blocks.select(program, F.col("start").alias("address"), F.lit(0).alias("kind"), F.col("end").cast("long").alias("end")), allowMissingColumns=True
-    )
-    frame = Window.partitionBy(program).orderBy("address", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("kind") == 0, F.struct(F.col("address").alias("start"), "end")), ignorenulls=True).over(frame)
-    found = both.withColumn("block", last).where("kind = 1 and address <= block.end")
-    return found.select(program, "address", "row.*", F.col("block.start").alias("block_start"))
+    spans = blocks.select(program, F.col("start").alias("block_start"), F.col("end").alias("__end"))
+    return intervals.holders(instructions, spans, "address", ("block_start", "__end"), program).select(*instructions.columns, "block_start")
 
 
 def edges_of_blocks(function_blocks: DataFrame, destinations: DataFrame, program: str = "program_id") -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, prompts, text
-from ..operators import cfg, enrich, graph, listing
+from ..operators import blocks, cfg, enrich, graph, listing
 from ..sources import files
 from ..sources.external import StubCompiler, StubGenerator, compile_matrix
+from ..storage import stored
 from . import repair
 from .registry import Tables, query
 
@@ -159,35 +160,33 @@ def _days(t: Tables) -> tuple[DataFrame, DataFrame]:
     spans = t.orders.groupBy("o_custkey").agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
     functions = t.customer.join(spans, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_mktsegment").alias("program_id"), F.col("c_name").alias("name"), "lo", "hi")
     month = F.explode(F.sequence(F.lit(0), F.lit(479))).alias("m")
-    blocks = t.customer.select(F.col("c_mktsegment").alias("program_id")).distinct().select("program_id", month)
-    return functions, blocks.select("program_id", (F.col("m") * 30).cast("long").alias("start"), (F.col("m") * 30 + 29).cast("long").alias("end"))
+    months = t.customer.select(F.col("c_mktsegment").alias("program_id")).distinct().select("program_id", month)
+    return functions, months.select("program_id", (F.col("m") * 30).cast("long").alias("start"), (F.col("m") * 30 + 29).cast("long").alias("end"))
 
 
 _DAYS = """d AS (SELECT o_custkey AS k, min(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))) AS lo,
         max(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))) AS hi FROM orders GROUP BY 1),
     f AS (SELECT c_mktsegment AS program_id, c_name AS name, lo, hi FROM customer JOIN d ON c_custkey = k),
-    b AS (SELECT m * 30 AS "start", m * 30 + 29 AS "end" FROM range(480) AS t(m)),
-    o AS MATERIALIZED (SELECT program_id, name, "start", 'B' || (row_number() OVER (PARTITION BY program_id, name ORDER BY "start") - 1) AS block
-        FROM f JOIN b ON "start" <= hi AND "end" >= lo)"""
+    o AS (SELECT program_id, name, m * 30 AS "start", 'B' || (m - lo // 30) AS block FROM (SELECT *, unnest(range(lo // 30, hi // 30 + 1)) AS m FROM f))"""
 
 
 @query(f'WITH {_DAYS} SELECT program_id, name, CAST("start" AS BIGINT) AS "start", block FROM o')
 def cfg_blocks_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks that meet each function, numbered, by address buckets."""
-    functions, blocks = _days(Tables(spark, sf_dir))
-    return cfg.blocks_of_functions(functions, blocks, width=360).select("program_id", "name", "start", "block")
+    functions, months = _days(Tables(spark, sf_dir))
+    return cfg.blocks_of_functions(functions, months).select("program_id", "name", "start", "block")
 
 
-@query(f"""WITH {_DAYS} SELECT s.program_id, s.name, s.block AS src, t.block AS dst, 'FALL_THROUGH' AS type
-    FROM o s JOIN o t ON s.program_id = t.program_id AND s.name = t.name AND t."start" = s."start" + CASE WHEN s."start" % 60 = 0 THEN 30 ELSE 90 END
-    WHERE s."start" % 120 <> 90""")
+@query(f"""WITH {_DAYS}, w AS (SELECT *, lead("start", CASE WHEN "start" % 60 = 0 THEN 1 ELSE 3 END) OVER (PARTITION BY program_id, name ORDER BY "start") AS next,
+        lead(block, CASE WHEN "start" % 60 = 0 THEN 1 ELSE 3 END) OVER (PARTITION BY program_id, name ORDER BY "start") AS dst FROM o)
+    SELECT program_id, name, block AS src, dst, 'FALL_THROUGH' AS type FROM w WHERE next IS NOT NULL AND "start" % 120 <> 90""")
 def cfg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows between blocks of one function; those that leave it or lead nowhere go."""
-    functions, blocks = _days(Tables(spark, sf_dir))
-    owned = cfg.blocks_of_functions(functions, blocks)
+    functions, months = _days(Tables(spark, sf_dir))
+    owned = cfg.blocks_of_functions(functions, months)
     at = F.col("start")
     to = F.when(at % 120 != 90, at + F.when(at % 60 == 0, 30).otherwise(90))
-    flows = blocks.select("program_id", at.alias("src_start"), to.alias("dst_start"), F.lit("FALL_THROUGH").alias("type"))
+    flows = months.select("program_id", at.alias("src_start"), to.alias("dst_start"), F.lit("FALL_THROUGH").alias("type"))
     return cfg.edges_of_blocks(owned, flows)
 
 
@@ -201,8 +200,8 @@ def cfg_instr_in_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     rows = t.events.select(F.col("event_type").alias("program_id"), F.unix_timestamp("ts").alias("address"), "event_id")
     start = (F.col("address") - F.col("address") % 3600).alias("start")
-    blocks = rows.select("program_id", start).distinct().withColumn("end", F.col("start") + 2999)
-    return cfg.instructions_in_blocks(rows, blocks).select("program_id", "event_id", "address", "block_start")
+    hours = rows.select("program_id", start).distinct().withColumn("end", F.col("start") + 2999)
+    return cfg.instructions_in_blocks(rows, hours).select("program_id", "event_id", "address", "block_start")
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS function_name, 'B' || (l_linenumber - 1) AS block, lower(to_hex(l_partkey)) AS address, l_returnflag AS mnemonic,
@@ -376,9 +375,97 @@ def program_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("code"), key.cast("string")).alias("ghidra_code"), F.lit("").alias("sog_dot"),
         F.array().cast("array<string>").alias("callers"), F.array().cast("array<string>").alias("callees"),
     )
-    from ..storage import stored
-
     full = stored(repair.enrich_functions(records, _stub(), _judge()), "enriched")
     good = full.groupBy("program_id").agg(F.count("*").alias("n_functions"), F.min("optimization_status").alias("all_good"))
     code = enrich.program_code(full).select("program_id", F.col("code").alias("program_code"))
     return good.join(code, "program_id").withColumnRenamed("program_id", "executable_name")
+
+
+# listings to blocks, flows and calls: an order is a function, a part of it an instruction of four bytes
+
+
+def _code_lines(t: Tables) -> DataFrame:
+    """Each customer's orders as a listing: (program_id, ln, line)."""
+    items = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"), F.max("l_suppkey").alias("supp"))
+    own = items.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("program_id"), F.col("l_orderkey").alias("f"), F.col("l_linenumber").cast("long").alias("n"), "part", "supp"
+    )
+    hexed = lambda x: F.lower(F.hex(x))
+    at = F.col("f") * 64
+    aim = F.when(F.col("part") % 5 == 2, at - F.col("supp") % 40 * 64 + 8).otherwise(at + F.col("part") % 8 * 4)
+    label = F.concat(F.lit(" <fn"), F.col("supp").cast("string"), F.lit("+0x8>"))
+    said = (
+        F.when(F.col("part") % 5 == 0, F.concat(F.lit("bnd jmp "), hexed(aim), label))
+        .when(F.col("part") % 5 == 1, F.concat(F.lit("je     "), hexed(aim), label))
+        .when(F.col("part") % 5 == 2, F.concat(F.lit("call   "), hexed(aim), label))
+        .when(F.col("part") % 5 == 3, F.when(F.col("supp") % 2 == 0, "ret").otherwise("jmp    rax"))
+        .otherwise(F.concat(F.lit("mov    rax,0x"), hexed(F.col("supp"))))
+    )
+    lines = own.select("program_id", (F.col("f") * 10 + F.col("n")).alias("ln"), F.concat(F.lit("  "), hexed(at + F.col("n") * 4), F.lit(":\t48 89 e5 90 \t"), said).alias("line"))
+    heads = own.select("program_id", "f").distinct().select(
+        "program_id", (F.col("f") * 10).alias("ln"), F.concat(F.lpad(hexed(F.col("f") * 64), 16, "0"), F.lit(" <order"), F.col("f").cast("string"), F.lit(">:")).alias("line")
+    )
+    return lines.unionByName(heads)
+
+
+_CODE = """c AS (SELECT o_custkey AS program_id, l_orderkey AS f, CAST(l_linenumber AS BIGINT) AS n, max(l_partkey) AS part, max(l_suppkey) AS supp
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3),
+    i AS (SELECT *, f * 64 + n * 4 AS address, CASE part % 5 WHEN 2 THEN f * 64 - supp % 40 * 64 + 8 ELSE f * 64 + part % 8 * 4 END AS aim FROM c),
+    g AS (SELECT DISTINCT program_id, aim FROM i WHERE part % 5 IN (0, 1)),
+    m AS (SELECT i.*, g.aim IS NOT NULL OR coalesce(lag(i.part % 5 IN (0, 1, 3)) OVER (PARTITION BY i.program_id, f ORDER BY i.address), true) AS leads,
+        lead(i.address) OVER (PARTITION BY i.program_id, f ORDER BY i.address) AS nxt
+        FROM i LEFT JOIN g ON i.program_id = g.program_id AND i.address = g.aim),
+    s AS (SELECT *, max(CASE WHEN leads THEN address END) OVER (PARTITION BY program_id, f ORDER BY address) AS start FROM m),
+    b AS (SELECT program_id, f, start, max(address) + 3 AS "end", arg_max(part, address) AS part, arg_max(aim, address) AS aim, arg_max(nxt, address) AS nxt FROM s GROUP BY 1, 2, 3)"""
+
+
+_CODE_EDGES = """e AS (SELECT program_id, f, start, aim AS dst, CASE part % 5 WHEN 0 THEN 'UNCONDITIONAL_JUMP' ELSE 'CONDITIONAL_JUMP' END AS type FROM b WHERE part % 5 IN (0, 1)
+        UNION ALL SELECT program_id, f, start, nxt, 'FALL_THROUGH' FROM b WHERE part % 5 IN (1, 2, 4) AND nxt IS NOT NULL)"""
+
+
+@query(f"""WITH {_CODE} SELECT program_id, 'order' || f AS name, start, "end",
+    'B' || (row_number() OVER (PARTITION BY program_id, f ORDER BY start) - 1) AS block FROM b""")
+def listing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basic blocks of listings, from jump targets and what stands behind jumps, joined to their functions."""
+    functions, found, _, _ = blocks.of_lines(_code_lines(Tables(spark, sf_dir)))
+    owned = cfg.blocks_of_functions(functions, found)
+    return owned.select("program_id", "name", "start", "end", "block")
+
+
+@query(f"""WITH {_CODE}, {_CODE_EDGES}
+    SELECT e.program_id, 'order' || e.f AS name, e.start AS src_start, e.dst AS dst_start, type FROM e JOIN b ON e.program_id = b.program_id AND e.f = b.f AND e.dst = b.start""")
+def listing_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows between the blocks of one function, by type, from listings alone."""
+    functions, found, _, flows = blocks.of_lines(_code_lines(Tables(spark, sf_dir)))
+    owned = cfg.blocks_of_functions(functions, found)
+    at = lambda end: owned.select("program_id", "name", F.col("block").alias(end), F.col("start").alias(f"{end}_start"))
+    made = cfg.edges_of_blocks(owned, flows).join(at("src"), ["program_id", "name", "src"]).join(at("dst"), ["program_id", "name", "dst"])
+    return made.select("program_id", "name", "src_start", "dst_start", "type")
+
+
+@query(f"""WITH {_CODE}, k AS (SELECT program_id, f, min(address) AS lo, max(address) + 3 AS hi FROM i GROUP BY 1, 2),
+    e AS (SELECT i.program_id, i.f * 10 + n AS ln, i.f AS src, coalesce('order' || k.f, 'fn' || supp) AS dst
+        FROM i LEFT JOIN k ON i.program_id = k.program_id AND aim BETWEEN lo AND hi AND aim // 64 = k.f WHERE part % 5 = 2)
+    SELECT program_id, min(ln) AS ln, 'order' || src AS src, dst FROM e GROUP BY program_id, src, dst""")
+def listing_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who calls whom, from the operands of call instructions and the functions' intervals."""
+    return blocks.call_edges(stored(blocks.instructions_of_lines(_code_lines(Tables(spark, sf_dir))), "instructions"))
+
+
+@query(f"""WITH {_CODE}, {_CODE_EDGES}, o AS (SELECT *, 'B' || (row_number() OVER (PARTITION BY program_id, f ORDER BY start) - 1) AS block FROM b),
+    t AS (SELECT s.program_id, s.f, o.block, s.address, CASE part5 WHEN 0 THEN 'jmp' WHEN 1 THEN 'je' WHEN 2 THEN 'call' WHEN 3 THEN CASE WHEN supp % 2 = 0 THEN 'ret' ELSE 'jmp' END ELSE 'mov' END AS mnemonic
+        FROM (SELECT *, part % 5 AS part5 FROM s) s JOIN o ON s.program_id = o.program_id AND s.f = o.f AND s.start = o.start),
+    code AS (SELECT program_id, f, string_agg(block || ' ' || lpad(lower(to_hex(address)), 8, '0') || ' ' || mnemonic, ';' ORDER BY address) AS code FROM t GROUP BY 1, 2),
+    arrow AS (SELECT e.program_id, e.f, string_agg(x.block || '>' || y.block || ' ' || type, ';' ORDER BY x.block, y.block, type) AS edges
+        FROM e JOIN o x ON e.program_id = x.program_id AND e.f = x.f AND e.start = x.start JOIN o y ON e.program_id = y.program_id AND e.f = y.f AND e.dst = y.start GROUP BY 1, 2)
+    SELECT code.program_id, 'order' || code.f AS function_name, (SELECT lpad(lower(to_hex(min(address))), 8, '0') FROM i WHERE i.program_id = code.program_id AND i.f = code.f) AS entry,
+        code, coalesce(edges, '') AS edges
+    FROM code LEFT JOIN arrow ON code.program_id = arrow.program_id AND code.f = arrow.f""")
+def listing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A control-flow document of every function of the listings, through its JSON text."""
+    docs = cfg.cfg_documents(*blocks.of_lines(_code_lines(Tables(spark, sf_dir))))
+    written = docs.select("program_id", F.to_json(F.struct("function_name", "entry", "blocks", "edges")).alias("document"))
+    back = written.select("program_id", F.from_json("document", files.CFG).alias("d")).select("program_id", "d.*")
+    lines = F.flatten(F.transform("blocks", lambda b: F.transform(b["instructions"], lambda i: F.concat_ws(" ", b["id"], i["address"], i["mnemonic"]))))
+    arrows = F.array_sort(F.transform("edges", lambda e: F.concat(e["src"], F.lit(">"), e["dst"], F.lit(" "), e["type"])))
+    return back.select("program_id", "function_name", "entry", F.array_join(lines, ";").alias("code"), F.array_join(arrows, ";").alias("edges"))

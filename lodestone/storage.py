@@ -48,9 +48,14 @@ def swept(spark: SparkSession) -> None:
         time.sleep(pause)
 
 
+def removed(spark: SparkSession, *folders: str) -> None:
+    """Delete folders of a file system that Spark reads."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete what ``stored`` wrote, once nothing that is still to be computed reads it."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        removed(df.sparkSession, df.stored_path)

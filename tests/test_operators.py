@@ -85,10 +85,9 @@ def program(spark):
     return f, b, i, d
 
 
-@pytest.mark.parametrize("width", [0, 7, 1000])
-def test_blocks(spark, width):
+def test_blocks(spark):
     f, b, _, d = program(spark)
-    owned = cfg.blocks_of_functions(f, b, width=width)
+    owned = cfg.blocks_of_functions(f, b)
     assert {(r.name, r.block, r.start) for r in owned.collect()} == {("f", "B0", 0), ("f", "B1", 10), ("g", "B0", 20)}
     assert [(r.name, r.src, r.dst) for r in cfg.edges_of_blocks(owned, d).collect()] == [("f", "B0", "B1")]
 
