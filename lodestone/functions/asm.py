@@ -45,6 +45,12 @@ def instruction(line: Column, strict: bool = True) -> Column:
     return F.nullif(strip_comment(found), F.lit(""))
 
 
+def line_error(line: Column, strict: bool = True) -> Column:
+    """Why a line that begins like an instruction or a header is none, or null."""
+    begun = line.rlike(r"^\s*[0-9a-fA-F]+:") & ~line.rlike(INSTRUCTION_STRICT if strict else INSTRUCTION) & ~line.rlike(r"^\s*[0-9a-fA-F]+:\t[0-9a-fA-F ]+$")
+    return F.when(begun, "damaged instruction").when(line.rlike(r"^[0-9a-fA-F]+\s+<") & ~is_header(line, strict), "damaged header")
+
+
 def clean_line(line: Column, strict: bool = True) -> Column:
     head = F.concat(header_address(line, strict), F.lit(" <"), header_name(line, strict), F.lit(">:"))
     return F.when(is_header(line, strict), head).otherwise(instruction(line, strict))

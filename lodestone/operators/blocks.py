@@ -52,7 +52,7 @@ def instructions_of_lines(rows: DataFrame, key: str = "program_id", order: str =
         F.trim(F.regexp_extract(bare, r"^\S+\s*(.*)$", 1)).alias("rest"),
     )
     flows = F.col("mnemonic").rlike(f"{CONDITIONAL}|{JUMP}|{CALL}")
-    ops = F.filter(F.transform(F.split("rest", ","), F.trim), lambda o: o != "")
+    ops = F.filter(F.transform(F.split("rest", ","), lambda o: F.trim(o)), lambda o: o != "")
     made = found.select(
         "*", ops.alias("ops"),
         F.when(flows, _number(F.regexp_extract("rest", TARGET, 1))).alias("target"),

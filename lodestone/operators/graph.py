@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import dropped, removed, shared_folder, stored
@@ -18,6 +18,13 @@ def edges_of_dot(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.where(x.contains("->")).select(*rest, F.trim(F.get(parts, F.lit(0))).alias("src"), F.trim(F.get(parts, F.lit(1))).alias("dst"))
 
 
+def dot_error(line: Column) -> Column:
+    """Why a DOT line with an arrow is no edge of two names, or null."""
+    parts = F.transform(F.split(F.regexp_replace(line, r"[{};]", ""), "->", -1), lambda x: F.trim(x))
+    bad = (F.size(parts) != 2) | F.exists(parts, lambda x: x == "")
+    return F.when(line.contains("->") & bad, "an arrow without two ends")
+
+
 def callees(edges: DataFrame, key: str = "program_id") -> DataFrame:
     """(key, src, callees, first_ln): repeated calls stay, in file order."""
     return edges.groupBy(key, "src").agg(ordered_list("ln", "dst").alias("callees"), F.min("ln").alias("first_ln"))
@@ -153,11 +160,17 @@ def context_summary(edges: DataFrame, key: str = "program_id") -> DataFrame:
     return each.groupBy(key).agg(ordered_concat(F.col("first_ln"), F.concat("src", F.lit(" calls "), said, F.lit("\n")), "").alias("context"))
 
 
+#: The texts of DOT files.
+CALLS_HEAD, CALL_LINE, DOT_END = "digraph CallGraph {\n", "{%s} -> {%s};\n", "}\n"
+BLOCKS_HEAD = 'digraph G {\nlabelloc="t";\nlabel="Function: %s\nEntry: %s";\n'
+BLOCK_LINE, FLOW_LINE = '"%s" [label="%s\\nend=%s\\nsize=%d\\nmnemonic=%s"];\n', '"%s" -> "%s";\n'
+
+
 def dot_of_edges(edges: DataFrame, key: str = "program_id") -> DataFrame:
     """(key, dot): the call graph as DOT text."""
-    line = F.format_string("{%s} -> {%s};\n", "src", "dst")
+    line = F.format_string(CALL_LINE, "src", "dst")
     body = ordered_concat(F.col("ln"), line, "")
-    return edges.groupBy(key).agg(F.concat(F.lit("digraph CallGraph {\n"), body, F.lit("}\n")).alias("dot"))
+    return edges.groupBy(key).agg(F.concat(F.lit(CALLS_HEAD), body, F.lit(DOT_END)).alias("dot"))
 
 
 def block_dot(nodes: DataFrame, edges: DataFrame, key: str = "function_name") -> DataFrame:
@@ -166,11 +179,11 @@ def block_dot(nodes: DataFrame, edges: DataFrame, key: str = "function_name") ->
     A missing size counts as 0, a missing mnemonic as empty.
     """
     label = F.format_string(
-        '"%s" [label="%s\\nend=%s\\nsize=%d\\nmnemonic=%s"];\n',
+        BLOCK_LINE,
         "start", "start", "end", F.coalesce("size", F.lit(0)), F.coalesce("mnemonic", F.lit("")),
     )
     drawn = nodes.groupBy(key).agg(F.max("entry").alias("entry"), ordered_concat(F.col("start"), label, "").alias("nodes"))
-    arrow = F.format_string('"%s" -> "%s";\n', "src", "dst")
+    arrow = F.format_string(FLOW_LINE, "src", "dst")
     lines = edges.groupBy(key).agg(ordered_concat(F.struct("src", "dst"), arrow, "").alias("arrows"))
-    head = F.format_string('digraph G {\nlabelloc="t";\nlabel="Function: %s\nEntry: %s";\n', key, "entry")
-    return drawn.join(lines, key, "left").select(key, F.concat(head, "nodes", F.coalesce("arrows", F.lit("")), F.lit("}\n")).alias("dot"))
+    head = F.format_string(BLOCKS_HEAD, key, "entry")
+    return drawn.join(lines, key, "left").select(key, F.concat(head, "nodes", F.coalesce("arrows", F.lit("")), F.lit(DOT_END)).alias("dot"))

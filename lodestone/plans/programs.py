@@ -14,16 +14,21 @@ from . import repair
 
 
 def records(binaries: DataFrame, decompiler, disassembler=disassemble) -> tuple[DataFrame, DataFrame]:
-    """(function records, call edges) of binaries (program_id, content); programs whose parts fail have fewer records."""
+    """(function records, call edges) of binaries (program_id, content); programs whose parts fail have fewer records.
+
+    What the tools say is stored, so each is called once for a binary and kind, whatever is computed from it.
+    Where several files of a binary have a function of one name, the first by file name and place counts.
+    """
     binaries = stored(binaries.select("program_id", "content"), "binaries")
-    listed = disassembler(binaries).where("status").select("program_id", "text")
+    listed = stored(disassembler(binaries), "listings").where("status").select("program_id", "text")
     asm = listing.extract_functions(listed)
-    code = decompile(binaries, decompiler, "code").where("status")
-    parts = code.select("program_id", F.explode(csource.functions(F.col("text"))).alias("f"))
-    decompiled = parts.select("program_id", F.col("f.name").alias("name"), F.col("f.code").alias("code"))
-    decompiled = decompiled.groupBy("program_id", "name").agg(F.min("code").alias("code"))
-    cfg = decompile(binaries, decompiler, "cfg").where("status").select("program_id", F.col("stem").alias("name"), F.col("text").alias("document"))
-    dots = decompile(binaries, decompiler, "calls").where("status and stem = 'call_graph'")
+    code = stored(decompile(binaries, decompiler, "code"), "decompiled").where("status")
+    parts = code.select("program_id", "stem", F.posexplode(csource.functions(F.col("text"))).alias("place", "f"))
+    named = parts.select("program_id", F.col("f.name").alias("name"), F.col("f.code").alias("code"), F.struct("stem", "place").alias("at"))
+    decompiled = listing.first_wins(named, "at", "program_id", "name").drop("at")
+    cfg = stored(decompile(binaries, decompiler, "cfg"), "documents").where("status")
+    cfg = cfg.select("program_id", F.col("stem").alias("name"), F.col("text").alias("document"))
+    dots = stored(decompile(binaries, decompiler, "calls"), "graphs").where("status and stem = 'call_graph'")
     lines = dots.select("program_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
     edges = stored(graph.edges_of_dot(lines), "calls")
     order = graph.topological_order(edges)

@@ -13,11 +13,14 @@ import shutil
 import subprocess
 import tempfile
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
+from urllib.parse import urlparse
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,9 @@ from ..storage import stored
 TOOL_TIMEOUT, COMPILE_TIMEOUT, DISASSEMBLE_TIMEOUT, GENERATE_TIMEOUT = 10, 60, 60, 600
 DECOMPILE_TIMEOUT, EXTRACT_TIMEOUT = 120, 180
 LEVELS = ("O0", "O1", "O2", "O3")
+#: What is said of a process's end.
+SUCCESSFUL, FAILED, TIMED_OUT, COMPILE_ERROR = "Compilation successful", "Compilation failed: ", "Compilation timed out", "Compilation error: "
+DISASSEMBLY_ERROR = "Disassembly error: "
 
 
 class Generator(Protocol):
@@ -156,20 +162,25 @@ class Compiler:
                 out += [flag, value]
         return [*out, *self.extra_flags]
 
-    def compile(self, code: str, is_cpp: bool = False, object_only: bool = False, level: str = "O0") -> tuple[bool, str]:
+    def build(self, code: str, is_cpp: bool = False, object_only: bool = False, level: str = "O0") -> tuple[bool, str, bytes | None]:
+        """Success, message and the compiled file's content."""
         with tempfile.TemporaryDirectory() as folder:
-            source = os.path.join(folder, "original.cpp" if is_cpp else "original.c")
+            source, output = os.path.join(folder, "original.cpp" if is_cpp else "original.c"), os.path.join(folder, "out")
             with open(source, "w") as f:
                 f.write(code)
             try:
-                done = subprocess.run(
-                    self.command(source, os.path.join(folder, "out"), is_cpp, object_only, level), capture_output=True, text=True, timeout=COMPILE_TIMEOUT
-                )
+                done = subprocess.run(self.command(source, output, is_cpp, object_only, level), capture_output=True, text=True, timeout=COMPILE_TIMEOUT)
+                if done.returncode:
+                    return False, f"{FAILED}{done.stderr}", None
+                with open(output, "rb") as f:
+                    return True, SUCCESSFUL, f.read()
             except subprocess.TimeoutExpired:
-                return False, "Compilation timed out"
+                return False, TIMED_OUT, None
             except OSError as e:
-                return False, f"Compilation error: {e}"
-        return (True, "Compilation successful") if done.returncode == 0 else (False, f"Compilation failed: {done.stderr}")
+                return False, f"{COMPILE_ERROR}{e}", None
+
+    def compile(self, code: str, is_cpp: bool = False, object_only: bool = False, level: str = "O0") -> tuple[bool, str]:
+        return self.build(code, is_cpp, object_only, level)[:2]
 
 
 @dataclass
@@ -177,6 +188,11 @@ class StubCompiler:
     """Deterministic: a function of the source text."""
 
     verdict: Callable[[str], tuple[bool, str]] = lambda code: (True, "")
+    binary: Callable[[str, str], bytes | None] = lambda code, level: None
+
+    def build(self, code: str, is_cpp: bool = False, object_only: bool = False, level: str = "O0") -> tuple[bool, str, bytes | None]:
+        ok, message = self.verdict(code)
+        return ok, message, self.binary(code, level) if ok else None
 
     def compile(self, code: str, is_cpp: bool = False, object_only: bool = False, level: str = "O0") -> tuple[bool, str]:
         return self.verdict(code)
@@ -205,7 +221,7 @@ def disassemble(binaries: DataFrame, intel: bool = True, demangle: bool = True,
             try:
                 done = subprocess.run(command, capture_output=True, text=True, timeout=DISASSEMBLE_TIMEOUT)
             except (OSError, subprocess.TimeoutExpired) as e:
-                return False, f"Disassembly error: {e}"
+                return False, f"{DISASSEMBLY_ERROR}{e}"
         return (True, done.stdout) if done.returncode == 0 else (False, done.stderr)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,24 +241,56 @@ def compile_matrix(sources: DataFrame, levels: tuple[str, ...] = LEVELS, path: s
 
 
 def compile_all(sources: DataFrame, compiler=None, object_only: bool = False) -> DataFrame:
-    """``sources`` (path, code, is_cpp, and opt_level if there are several) with ``status`` and ``message``."""
+    """``sources`` (path, code, is_cpp, and opt_level if there are several) with ``status`` and ``message``.
+
+    With a column ``output_path`` each compiled file is written there, aside first and then renamed, so that
+    a task that runs again, or twice, leaves one whole file; a file that cannot be written is a failure. The
+    result is stored: nothing is compiled again for what is computed from it.
+    """
     compiler = compiler or Compiler()
     if "opt_level" not in sources.columns:
         sources = sources.withColumn("opt_level", F.lit(LEVELS[0]))
-    rows = sources.select("path", "code", "is_cpp", "opt_level")
+    if "output_path" not in sources.columns:
+        sources = sources.withColumn("output_path", F.lit(None).cast("string"))
+    rows = sources.select("path", "code", "is_cpp", "opt_level", "output_path")
+
+    def one(row) -> tuple[bool, str]:
+        ok, message, content = compiler.build(row.code, row.is_cpp, object_only, row.opt_level)
+        if ok and content is not None and isinstance(row.output_path, str):
+            try:
+                delivered(content, row.output_path)
+            except OSError as e:
+                return False, f"{COMPILE_ERROR}{e}"
+        return ok, message
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [compiler.compile(r.code, r.is_cpp, object_only, r.opt_level) for r in frame.itertuples()]
+            found = [one(r) for r in frame.itertuples()]
             yield frame[["path", "opt_level"]].assign(status=[f[0] for f in found], message=[f[1] for f in found])
 
-    return rows.mapInPandas(run, "path string, opt_level string, status boolean, message string")
+    return stored(rows.mapInPandas(run, "path string, opt_level string, status boolean, message string"), "compiled")
+
+
+def delivered(content: bytes, path: str) -> None:
+    """Write a file that anybody may run: under another name first, which a rename then makes the file, old or new."""
+    url = path if urlparse(path).scheme else f"file://{os.path.abspath(path)}"
+    where, name = fs.FileSystem.from_uri(url)
+    where.create_dir(os.path.dirname(name), recursive=True)
+    aside = f"{name}.{uuid.uuid4().hex}"
+    with where.open_output_stream(aside) as f:
+        f.write(content)
+    if isinstance(where, fs.LocalFileSystem):
+        os.chmod(aside, 0o777)
+    where.move(aside, name)
 
 
 def compile_directory(
     spark: SparkSession, folder: str, compiler=None, levels: tuple[str, ...] = LEVELS[:1], recursive: bool = True, always_cpp: bool = False, object_only: bool = False, out: str = "out"
 ) -> DataFrame:
-    """(path, opt_level, output_path, status, message) of every C and C++ source below a folder at every level."""
+    """(path, opt_level, output_path, status, message) of every C and C++ source below a folder at every level.
+
+    Compiled files are written to ``output_path``, so ``out`` must be a folder that all executors share.
+    """
     from . import files
 
     found = compile_matrix(files.sources(spark, folder, recursive, always_cpp), levels, folder=out)

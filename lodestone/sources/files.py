@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import stem, suffix
+from ..storage import stored
 
 #: Suffixes of sources in listing order; all but the first are C++.
 SOURCE_SUFFIXES = (".c", ".cpp", ".cc", ".cxx", ".c++")
@@ -18,6 +19,8 @@ CFG = (
     "edges ARRAY<STRUCT<src:STRING,dst:STRING,type:STRING>>"
 )
 
+CORRUPT = "_corrupt_record"
+
 
 def _files(spark: SparkSession, folder: str, pattern: str, recursive: bool, content: bool) -> DataFrame:
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
@@ -57,7 +60,10 @@ def texts(spark: SparkSession, paths) -> DataFrame:
 
 
 def cfg_documents(spark: SparkSession, folder: str, program_id: str | None = None) -> DataFrame:
-    """(program_id, stem, document, parsed) of the JSON files below a folder, names that begin with ``_`` too.
+    """(program_id, stem, document, parsed, error) of the JSON files below a folder, names that begin with ``_`` too.
+
+    A file that cannot be read, is no UTF-8, or holds no document of this layout is a row with why, and the
+    others stay; ``isolated`` takes such rows out.
 
     Spark's listings hide such names, so they are listed and read by their full names, a task for some
     files each. Of files with one stem the last by path counts. Folders that only Spark can list
@@ -75,16 +81,46 @@ def cfg_documents(spark: SparkSession, folder: str, program_id: str | None = Non
         import pandas as pd
 
         for frame in batches:
-            texts = []
+            rows = []
             for path in frame["path"]:
-                there, name = fs.FileSystem.from_uri(root + path)
-                with there.open_input_stream(unquote(name)) as f:
-                    texts.append(f.read().decode())
-            yield pd.DataFrame({"path": frame["path"], "document": texts})
-
-    read = names.mapInPandas(run, "path string, document string")
-    last = read.groupBy(stem(F.col("path")).alias("stem")).agg(F.max_by("document", "path").alias("document"))
-    return last.select(F.lit(program_id).alias("program_id"), "stem", "document", F.from_json("document", CFG).alias("parsed"))
+                try:
+                    there, name = fs.FileSystem.from_uri(root + path)
+                    with there.open_input_stream(unquote(name)) as f:
+                        rows.append((path, f.read().decode(), None))
+                except (OSError, ValueError) as e:  # one file's failure is its row
+                    rows.append((path, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "document", "error"], dtype=object)
+
+    read = names.mapInPandas(run, "path string, document string, error string")
+    last = read.groupBy(stem(F.col("path")).alias("stem")).agg(F.max_by(F.struct("document", "error"), "path").alias("x"))
+    rows = last.select(F.lit(program_id).alias("program_id"), "stem", "x.document", "x.error")
+    return rows.select("program_id", "stem", "document", parsed_cfg(F.col("document")).alias("parsed"), F.coalesce("error", cfg_error(F.col("document"))).alias("error"))
+
+
+def parsed_cfg(document: Column) -> Column:
+    """A control-flow document's text as a struct, null where ``cfg_error`` says why."""
+    return F.when(cfg_error(document).isNull(), F.from_json(document, CFG))
+
+
+def cfg_error(document: Column) -> Column:
+    """Why a text is no control-flow document, or null."""
+    read = F.from_json(document, f"{CFG}, {CORRUPT} STRING", {"columnNameOfCorruptRecord": CORRUPT})
+    return (
+        F.when(document.isNull(), "no text").when(read[CORRUPT].isNotNull() | read.isNull(), "no JSON document of this layout")
+        .when(read["function_name"].isNull(), "no function name").when(read["blocks"].isNull(), "no blocks")
+    )
+
+
+def isolated(rows: DataFrame, bad: str, error: str | Column = "error") -> DataFrame:
+    """The rows without an error, without that column; the others are added to the JSON files of the folder ``bad``.
+
+    ``error`` is a column or its name. Rows are stored first, so what made them is not asked again.
+    """
+    marked = rows if isinstance(error, str) else rows.withColumn("error", error)
+    name = error if isinstance(error, str) else "error"
+    kept = stored(marked, "rows")
+    kept.where(F.col(name).isNotNull()).write.mode("append").json(bad)
+    return kept.where(F.col(name).isNull()).drop(name)
 
 
 def dot_lines(spark: SparkSession, path: str, program_id: str | None = None) -> DataFrame:

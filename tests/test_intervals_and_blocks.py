@@ -105,6 +105,7 @@ Disassembly of section .plt.sec:
     1498:\te8 cc fc ff ff       \tcall   1169 <max>
     149d:\te8 cc fc ff ff       \tcall   1169 <max>
     14a2:\tff d0                \tcall   rax
+    14a3:\t90                   \tmov    eax, 0x10
     14a4:\t74 05                \tje     14ab <main+0x13>
     14a6:\te8 b5 fb ff ff       \tcall   1060 <__stack_chk_fail@plt>
     14ab:\te8 00 00 00 00       \tcall   9000 <far>
@@ -120,11 +121,12 @@ def test_blocks_of_a_listing(spark):
     docs = {r.function_name: r for r in cfg.cfg_documents(functions, found, code, flows).collect()}
     shape = {n: [(b["id"], b["start"], [i["mnemonic"] for i in b["instructions"]]) for b in d.blocks] for n, d in docs.items()}
     assert shape["max"] == [("B0", "00001169", ["push", "cmp", "jle"]), ("B1", "0000116f", ["jmp"]), ("B2", "00001171", ["mov"]), ("B3", "00001174", ["pop", "ret"])]
-    assert shape["main"] == [("B0", "00001498", ["call", "call", "call", "je"]), ("B1", "000014a6", ["call"]), ("B2", "000014ab", ["call", "jmp"])]
+    assert shape["main"] == [("B0", "00001498", ["call", "call", "call", "mov", "je"]), ("B1", "000014a6", ["call"]), ("B2", "000014ab", ["call", "jmp"])]
     arrows = {n: {(e["src"], e["dst"], e["type"]) for e in d.edges} for n, d in docs.items()}
     assert arrows["max"] == {("B0", "B2", "CONDITIONAL_JUMP"), ("B0", "B1", "FALL_THROUGH"), ("B1", "B3", "UNCONDITIONAL_JUMP"), ("B2", "B3", "FALL_THROUGH")}
     assert arrows["main"] == {("B0", "B2", "CONDITIONAL_JUMP"), ("B0", "B1", "FALL_THROUGH")}  # the guard's call never returns
     assert [i["ops"] for i in docs["max"].blocks[0]["instructions"]] == [["rbp"], ["DWORD PTR [rbp-0x4]", "eax"], ["1171 <max+0x8>"]]
+    assert docs["main"].blocks[0]["instructions"][3]["ops"] == ["eax", "0x10"]
     calls = blocks.call_edges(code).orderBy("ln").collect()
     assert [(r.src, r.dst) for r in calls] == [("main", "max"), ("main", "__stack_chk_fail@plt"), ("main", "far")]
     assert blocks.of_lines(rows.limit(0))[1].count() == 0
