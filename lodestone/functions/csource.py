@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import kept_lines, let, strip
+from .text import kept_lines
 
 #: Literals and comments, function heads, words that are no function names, header lines.
 LITERALS = r"""(?sm)//.*?$|/\*.*?\*/|"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+'"""
-HEAD = r"(?m)\b([A-Za-z_][A-Za-z0-9_]*)\s*\([^;{)]*\)\s*\{"
+HEAD = r"\b([A-Za-z_][A-Za-z0-9_]*)[ \t\n\x0b\f\r]*\([^;{)]*\)[ \t\n\x0b\f\r]*\{"
+BLANKS = " \t\n\x0b\f\r"
 KEYWORDS = (
     "break", "case", "continue", "default", "do", "else", "enum", "for", "goto", "if", "return", "sizeof", "struct", "switch", "typedef", "union", "while",
 )
 HEADER_LINE = r"^\s*(?:#include|typedef|struct|enum)"
 LOOK_BACK = 3
+_HEAD = re.compile(HEAD)
 
 
 def mask(code: Column) -> Column:
@@ -24,86 +29,53 @@ def mask(code: Column) -> Column:
     return F.array_join(F.zip_with(gaps, blanks, lambda g, b: F.concat(g, F.coalesce(b, F.lit("")))), "")
 
 
-def _heads(masked: Column) -> Column:
-    """array(struct(name, at, open)): where heads begin and where their brace is, counted from 0."""
-    names, whole = (F.regexp_extract_all(masked, F.lit(HEAD), F.lit(i)) for i in (1, 0))
-    state = "struct<at:int,found:array<struct<name:string,at:int,open:int>>>"
-    rows = F.arrays_zip(F.split(masked, HEAD, -1).alias("gap"), whole.alias("whole"), names.alias("name"))
-
-    def step(acc: Column, r: Column) -> Column:
-        at = acc["at"] + F.length(r["gap"])
-        end = at + F.length(F.coalesce(r["whole"], F.lit("")))
-        head = F.struct(r["name"].alias("name"), at.alias("at"), (end - 1).alias("open"))
-        found = F.when(r["whole"].isNotNull(), F.concat(acc["found"], F.array(head))).otherwise(acc["found"])
-        return F.struct(end.cast("int").alias("at"), found.alias("found")).cast(state)
-
-    start = F.struct(F.lit(0).alias("at"), F.array().alias("found")).cast(state)
-    return F.aggregate(rows, start, step, lambda acc: acc["found"])
-
-
-def _closes(masked: Column) -> Column:
-    """Map from the offset of each brace that closes to that of its closing brace, in one pass with a stack."""
-    state = "struct<at:int,stack:array<int>,open:array<int>,close:array<int>>"
-
-    def step(acc: Column, piece: Column) -> Column:
-        brace = F.substring(piece, 1, 1)
-        pops = (brace == "}") & (F.size(acc["stack"]) > 0)
-        stack = F.when(brace == "{", F.concat(F.array(acc["at"]), acc["stack"])).when(pops, F.slice(acc["stack"], 2, F.size(acc["stack"]))).otherwise(acc["stack"])
-        opened = F.when(pops, F.concat(acc["open"], F.slice(acc["stack"], 1, 1))).otherwise(acc["open"])
-        closed = F.when(pops, F.concat(acc["close"], F.array(acc["at"]))).otherwise(acc["close"])
-        return F.struct((acc["at"] + F.length(piece)).alias("at"), stack.alias("stack"), opened.alias("open"), closed.alias("close")).cast(state)
-
-    start = F.struct(F.lit(0).alias("at"), F.array().alias("stack"), F.array().alias("open"), F.array().alias("close")).cast(state)
-    return F.aggregate(F.split(masked, r"(?=[{}])", -1), start, step, lambda acc: F.map_from_arrays(acc["open"], acc["close"]))
+def _closing(masked: str) -> dict[int, int]:
+    """Where each opening brace that closes does so."""
+    out, stack = {}, []
+    for brace in re.finditer("[{}]", masked):
+        if brace[0] == "{":
+            stack.append(brace.start())
+        elif stack:
+            out[stack.pop()] = brace.start()
+    return out
 
 
-#: So many characters before a head usually hold the lines that are looked at; else all are taken.
-NEAR = 1000
+def _begin(code: str, at: int) -> int:
+    """Where the signature begins: its line, and up to three lines above that end no statement and are not blank."""
+    begin = code.rfind("\n", 0, at) + 1
+    for _ in range(LOOK_BACK):
+        above = code.rfind("\n", 0, max(begin - 1, 0)) + 1
+        line = code[above : max(begin - 1, 0)].strip(BLANKS)
+        if not begin or not line or line[-1] in ";}":
+            break
+        begin = above
+    return begin
 
 
-def _begin(code: Column, at: Column) -> Column:
-    """Where the signature begins: its line, and up to three lines above that end no statement and are not blank."""
-    near = F.substring(code, F.greatest(F.lit(1), at - NEAR + 1), F.least(at, F.lit(NEAR)))
-    part = lambda x: strip(x).rlike(r"[^;}]$")
+def _functions_of(code: str, masked: str) -> list[dict]:
+    closing, found = _closing(masked), {}
+    for head in _HEAD.finditer(masked):
+        close = closing.get(head.end() - 1)
+        if head[1] not in KEYWORDS and close is not None and head[1] not in found:
+            begin = _begin(code, head.start())
+            found[head[1]] = {"name": head[1], "code": code[begin : close + 1], "at": begin}
+    return list(found.values())
 
-    def back(lines: Column) -> Column:
-        wanted = F.aggregate(
-            F.slice(lines, 2, LOOK_BACK),
-            F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")),
-            lambda acc, x: F.struct((acc["on"] & part(x)).alias("on"), (acc["n"] + F.when(acc["on"] & part(x), F.length(x) + 1).otherwise(0)).alias("n")),
-            lambda acc: acc["n"],
-        )
-        return F.length(lines[0]) + wanted
 
-    lines = lambda x: F.reverse(F.split(x, "\n", -1))
-    return at - let(lines(near), lambda x: F.when(F.size(x) > LOOK_BACK + 1, back(x)).otherwise(let(lines(F.substring(code, F.lit(1), at)), back)))
+def _batch(code: pd.Series, masked: pd.Series) -> pd.Series:
+    found = [_functions_of(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(code, masked, strict=True)]
+    return pd.Series(found, dtype=object)
 
 
 def functions(code: Column) -> Column:
     """array(struct(name, code, at)) of the functions of a source, the first of each name, in order.
 
     Heads are sought with comments and literals masked; control words are no names, and a function
-    whose braces never close is left out.
+    whose braces never close is left out. Braces are paired by a stack, which built-in functions have only
+    as arrays that are copied at every step, so this one step is a batch function; it is linear in the text.
     """
-
-    def closed(masked: Column, closes: Column) -> Column:
-        heads = F.filter(_heads(masked), lambda h: ~h["name"].isin(*KEYWORDS))
-        placed = F.transform(heads, lambda h: F.struct(h["name"].alias("name"), h["at"].alias("head"), closes[h["open"]].alias("close")))
-        return F.filter(placed, lambda h: h["close"].isNotNull())
-
-    def chosen(heads: Column, names: Column) -> Column:
-        first = F.filter(heads, lambda h, i: F.array_position(names, h["name"]) == i + 1)
-        placed = F.transform(first, lambda h: F.struct(h["name"].alias("name"), _begin(code, h["head"]).alias("at"), h["close"].alias("close")))
-        return F.transform(
-            placed, lambda h: F.struct(h["name"].alias("name"), F.substring(code, h["at"] + 1, h["close"] - h["at"] + 1).alias("code"), h["at"].alias("at"))
-        )
-
-    def of(masked: Column) -> Column:
-        return let(
-            let(_closes(masked), lambda closes: closed(masked, closes)), lambda heads: let(F.transform(heads, lambda h: h["name"]), lambda names: chosen(heads, names))
-        )
-
-    return let(mask(code), of)
+    made = F.pandas_udf(_batch, "array<struct<name:string,code:string,at:int>>")
+    return made(code, mask(code))
 
 
 def header_part(code: Column) -> Column:

@@ -114,13 +114,15 @@ def line_key(line: Column) -> Column:
 
 
 def remove_duplicate_lines(message: Column) -> Column:
-    """Of duplicate lines the first stays; blank lines all stay."""
+    """Of duplicate lines the first stays; blank lines all stay. Lines are sorted by key and place, so no line is sought among all."""
 
-    def first_ones(cut: Column, keys: Column) -> Column:
-        kept = F.filter(F.arrays_zip(cut.alias("x"), keys.alias("k")), lambda r, i: (r["k"] == "") | (F.array_position(keys, r["k"]) == i + 1))
-        return F.array_join(F.transform(kept, lambda r: r["x"]), "\n")
+    def first_ones(rows: Column) -> Column:
+        kept = F.filter(rows, lambda r, i: (r["k"] == "") | (i == 0) | (F.get(rows, i - 1)["k"] != r["k"]))
+        back = F.array_sort(F.transform(kept, lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x"))))
+        return F.array_join(F.transform(back, lambda r: r["x"]), "\n")
 
-    return let(F.split(message, "\n", -1), lambda cut: let(F.transform(cut, line_key), lambda keys: first_ones(cut, keys)))
+    rows = F.transform(F.split(message, "\n", -1), lambda x, i: F.struct(line_key(x).alias("k"), i.alias("i"), x.alias("x")))
+    return let(F.array_sort(rows), first_ones)
 
 
 def kind_of(line: Column) -> Column:

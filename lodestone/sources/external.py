@@ -163,7 +163,7 @@ class Compiler:
         return [*out, *self.extra_flags]
 
     def build(self, code: str, is_cpp: bool = False, object_only: bool = False, level: str = "O0") -> tuple[bool, str, bytes | None]:
-        """Success, message and the compiled file's content."""
+        """Success, message and the compiled file's content, if the compiler wrote any."""
         with tempfile.TemporaryDirectory() as folder:
             source, output = os.path.join(folder, "original.cpp" if is_cpp else "original.c"), os.path.join(folder, "out")
             with open(source, "w") as f:
@@ -172,6 +172,8 @@ class Compiler:
                 done = subprocess.run(self.command(source, output, is_cpp, object_only, level), capture_output=True, text=True, timeout=COMPILE_TIMEOUT)
                 if done.returncode:
                     return False, f"{FAILED}{done.stderr}", None
+                if not os.path.exists(output):
+                    return True, SUCCESSFUL, None
                 with open(output, "rb") as f:
                     return True, SUCCESSFUL, f.read()
             except subprocess.TimeoutExpired:

@@ -199,6 +199,21 @@ def test_many_functions_in_linear_time(spark):
     assert found[5]["code"].startswith("int f5(int a)") and found[5]["code"].endswith("return a;\n}")
 
 
+@pytest.mark.parametrize("n", [1000, 4000, 16000])
+def test_functions_and_lines_of_any_number(spark, n):
+    """Time follows the text: what took seconds for a thousand must not take minutes for sixteen thousand."""
+    import time
+
+    code = "".join(f"/* {{ */ static int\nf{i}(int a)\n{{\n  if (a) {{ return \"}}\"[0]; }}\n}}\n\n" for i in range(n))
+    message = "\n".join(f"a{'x' * (i % 97)}.c:{i}: error {i}" for i in range(n))
+    one(spark, code[:200], csource.functions)
+    began = time.time()
+    found = one(spark, code, csource.functions)
+    assert len(found) == n and found[-1]["name"] == f"f{n - 1}" and found[-1]["code"].startswith("/* { */ static int\n")
+    assert len(one(spark, message, diagnostics.remove_duplicate_lines).split("\n")) == 97
+    assert time.time() - began < 4 + n / 1000
+
+
 def test_many_diagnostic_lines(spark):
     message = "\n".join(f"a.c:{i}: error: thing {'x' * (i % 50)}" for i in range(1000))
     assert len(one(spark, message, diagnostics.remove_duplicate_lines).split("\n")) == 50
