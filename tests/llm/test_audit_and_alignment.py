@@ -175,7 +175,7 @@ def test_toxicity_scores(spark, monkeypatch):
 
 def test_word_grams():
     grams, n = toxicity.word_grams(["Ab", "x"])
-    assert n.tolist() == [3 + 2 + 1, 2 + 1] and len(set(grams.tolist())) == 9
+    assert n.tolist() == [3 + 2 + 1, 2 + 1] and len(set(grams.tolist())) == 9  # of 4 and 3 characters with the marks
     assert toxicity.word_grams(["aB"])[0].tolist() == grams[:6].tolist() and toxicity.word_grams([])[0].tolist() == []
 
 
