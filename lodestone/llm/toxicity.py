@@ -72,7 +72,8 @@ class Model:
 
     def place(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash among the n-grams, or -1."""
-        out = self.slots[h >> np.uint64(64 - SLOT_BITS)] - 1
+        out = self.slots[h >> np.uint64(64 - SLOT_BITS)]
+        out -= 1
         other = np.flatnonzero(out >= 0)
         other = other[self.grams[out[other]] != h[other]]
         at = np.minimum(np.searchsorted(self.grams, h[other]), len(self.grams) - 1)
@@ -124,13 +125,15 @@ def train(texts: list[str], toxic: list[int], share: float | None = None, rounds
         w = Words(raw, np.array([0, len(raw)]), SPACED, lower=False)
         data, at = raw.tobytes(), np.unique(w.hash, return_index=True)[1]
         sets.append(np.unique(word_grams([data[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])[0]))
-    grams, texts_with = np.unique(np.concatenate(sets), return_counts=True)
+    every, row = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+    del sets
+    grams, texts_with = np.unique(every, return_counts=True)
     grams = grams[texts_with >= LEAST_TEXTS]
+    del texts_with
     if not len(grams):
         return Model(grams, np.zeros(0), prior)
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    place = Model(grams, np.zeros(0)).place(np.concatenate(sets))
-    del sets
+    place = Model(grams, np.zeros(0)).place(every)
+    del every
     place, row = place[place >= 0], row[place >= 0]
     held = [np.bincount(place, weights=(y == k).astype(float)[row], minlength=len(grams)) + SMOOTHING for k in (0, 1)]
     ratio = np.log(held[1] / held[1].sum()) - np.log(held[0] / held[0].sum())
