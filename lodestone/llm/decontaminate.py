@@ -30,6 +30,10 @@ MIN_MATCH = 13
 #: Items of fewer tokens occur in clean texts by chance and are left out.
 MIN_ITEM = 5
 MIN_SHARE = 0.8
+#: Tokens on diagonals that are compared at once.
+VERIFIED_TOKENS = 1 << 20
+#: Shares are compared as whole numbers of this unit.
+SHARE_UNITS = 10**6
 
 
 def seeds(h: np.ndarray, mask: str) -> np.ndarray:
@@ -44,8 +48,26 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct rows of some columns, in order."""
+    order = np.lexsort(columns[::-1])
+    columns = tuple(c[order] for c in columns)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return tuple(c[new] for c in columns)
+
+
+def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers lo .. lo + n - 1 of each range, one after another."""
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class SeedTable:
-    """The seeds of a block of benchmark items. Items too short for a mask are one exact seed."""
+    """The seeds of a block of benchmark items. Items too short for a mask are one exact seed.
+
+    What a seed leads to is a list of (item, place) relative to its first place. The seeds of a passage that
+    many items share have one list, so a document that holds the passage meets the list once a place.
+    """
 
     def __init__(self, ids: list, texts: list[str], masks: tuple[str, ...]):
         raw = [t.encode() for t in texts]
@@ -64,9 +86,21 @@ class SeedTable:
             if k >= len(masks):
                 keep &= w.counts[item] == len(mask)
             found.append((h[keep], item[keep], at[keep] - w.first[item[keep]]))
-        h, item, place = (np.concatenate([f[i] for f in found]) for i in range(3))
-        order = np.argsort(h, kind="stable")
-        self.seed, self.item, self.place = h[order], item[order], place[order]
+        h, item, place = _distinct(*(np.concatenate([f[i] for f in found]) for i in range(3)))
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        many = np.diff(np.append(starts, len(h)))
+        #: Distinct seeds, the place that their list is relative to, and the list: its first entry and length.
+        self.seed, self.base = h[starts], place[starts]
+        self.item, self.offset = item, place - np.repeat(self.base, many)
+        self.entry, self.many = starts.copy(), many
+        lists: dict[bytes, int] = {}
+        for k in np.flatnonzero(many > 1):
+            lo, hi = starts[k], starts[k] + many[k]
+            self.entry[k] = lists.setdefault(self.item[lo:hi].tobytes() + self.offset[lo:hi].tobytes(), int(lo))
+        alone = many == 1  # an item's seeds that no other has share a list too
+        first = np.full(len(ids), -1, dtype=np.int64)
+        first[self.item[starts[alone]][::-1]] = starts[alone][::-1]
+        self.entry[alone] = first[self.item[starts[alone]]]
         bits = max(16, int(len(h)).bit_length() + 6)
         self.shift = np.uint64(64 - min(bits, 27))
         self.seen = np.zeros(1 << min(bits, 27), dtype=bool)
@@ -74,46 +108,72 @@ class SeedTable:
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (document, item, diagonal); the diagonal is where the item's first token would lie."""
-        out = []
-        for mask in self.every:
+        out = [(np.zeros(0, np.int64),) * 4]
+        for mask in self.every if len(self.seed) else ():
             h = seeds(w.hash, mask)
             at = np.flatnonzero(self.seen[(h >> self.shift).astype(np.int64)])
-            lo = np.searchsorted(self.seed, h[at], side="left")
-            n = np.searchsorted(self.seed, h[at], side="right") - lo
-            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-            if not len(at):
-                continue
+            k = np.minimum(np.searchsorted(self.seed, h[at]), len(self.seed) - 1)
+            met = self.seed[k] == h[at]
+            at, k = at[met], k[met]
             document = np.searchsorted(w.first, at, side="right") - 1
             inside = at + len(mask) <= w.first[document + 1]
-            at, lo, n, document = at[inside], lo[inside], n[inside], document[inside]
-            k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append(np.stack([np.repeat(document, n), self.item[k], np.repeat(at, n) - self.place[k]]))
-        if not out:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.unique(np.concatenate(out, axis=1), axis=1))
-
-    def verify(self, w: Words, document: int, item: int, diagonal: int, min_match: int, min_share: float) -> tuple[int, int, int, int] | None:
-        """(agreeing tokens, tokens, first token in the document, item length) of the stretch with most agreement that counts, if any."""
-        a, b = self.first[item], self.first[item + 1]
-        lo = max(diagonal, w.first[document])
-        hi = min(diagonal + b - a, w.first[document + 1])
-        same = w.hash[lo:hi] == self.hash[a + lo - diagonal : a + hi - diagonal]
-        agree = np.concatenate([[0], np.cumsum(same)])
-        over = agree - min_share * np.arange(len(agree))  # a stretch agrees enough if this does not fall over it
-        lowest = np.minimum.accumulate(over)
-        start = np.searchsorted(-lowest, -over - 1e-9, side="left")  # the longest such stretch to each end
+            at, k, document = at[inside], k[inside], document[inside]
+            out.append((document, self.entry[k], self.many[k], at - self.base[k]))
+        document, entry, many, base = _distinct(*(np.concatenate(c) for c in zip(*out, strict=True)))
+        k = _ranges(entry, many)
+        return _distinct(np.repeat(document, many), self.item[k], np.repeat(base, many) - self.offset[k])
+
+    def stretches(self, w: Words, min_match: int, min_share: float) -> tuple[np.ndarray, ...]:
+        """(document, item, agreeing tokens, tokens, first token in the document, item length), the best of each document and item."""
+        document, item, diagonal = self.hits(w)
+        size = self.first[item + 1] - self.first[item]
+        lo = np.maximum(diagonal, w.first[document])
+        n = np.minimum(diagonal + size, w.first[document + 1]) - lo
+        ends = np.cumsum(n + 1)
+        found, i = [(np.zeros(0, np.int64),) * 6], 0
+        while i < len(n):  # some diagonals at a time, laid one behind the other
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + VERIFIED_TOKENS)))
+            match, length, start = self._best(w.hash, lo[i:j], self.first[item[i:j]] + lo[i:j] - diagonal[i:j], n[i:j], min_share)
+            enough = match >= np.maximum(1, np.minimum(min_match, min_share * size[i:j]))
+            columns = (document[i:j], item[i:j], match, length, lo[i:j] + start - w.first[document[i:j]], size[i:j])
+            found.append(tuple(c[enough] for c in columns))
+            i = j
+        document, item, match, length, start, size = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((start, length, -match, item, document))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (document[order][1:] != document[order][:-1]) | (item[order][1:] != item[order][:-1])
+        return tuple(c[order[new]] for c in (document, item, match, length, start, size))
+
+    def _best(self, tokens: np.ndarray, lo: np.ndarray, at: np.ndarray, n: np.ndarray, min_share: float) -> tuple[np.ndarray, ...]:
+        """(agreeing tokens, tokens, start) of the stretch with most agreement on each diagonal, the earliest end first.
+
+        A diagonal is ``n`` tokens from ``lo`` in the document and from ``at`` in the items. A stretch agrees enough
+        if the agreement less ``min_share`` of the tokens does not fall over it, so the longest one to an end begins
+        where that difference first was as low. All diagonals are searched at once: each is moved below those before.
+        """
+        first = np.cumsum(n + 1) - (n + 1)
+        same = np.zeros(int((n + 1).sum()), dtype=np.int64)
+        inner = _ranges(first + 1, n)
+        same[inner] = tokens[_ranges(lo, n)] == self.hash[_ranges(at, n)]
+        agree = np.cumsum(same)
+        agree -= np.repeat(agree[first], n + 1)
+        place = _ranges(np.zeros(len(n), np.int64), n + 1)
+        over = SHARE_UNITS * agree - round(SHARE_UNITS * min_share) * place
+        over -= np.repeat(SHARE_UNITS * (2 * first + n + 1), n + 1)
+        start = np.searchsorted(-np.minimum.accumulate(over), -over, side="left")
         hits = agree - agree[start]
-        end = int(np.argmax(hits))
-        if hits[end] < max(1, min(min_match, min_share * (b - a))):
-            return None
-        return int(hits[end]), end - int(start[end]), int(lo + start[end] - w.first[document]), int(b - a)
+        most = np.maximum.reduceat(hits, first)
+        top = np.flatnonzero(hits == np.repeat(most, n + 1))
+        end = top[np.searchsorted(top, first)]
+        return most, end - start[end], start[end] - first
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, min_item: int) -> Iterator[tuple[list, list[str]]]:
     """Items in blocks of a bounded number of tokens, fetched one partition at a time."""
     ids, texts, held = [], [], 0
     for row in benchmark.select(item, F.lower(text).alias(text)).where(F.col(text).isNotNull()).toLocalIterator():
-        n = len(row[1].split())
+        raw = np.frombuffer(row[1].encode(), dtype=np.uint8)
+        n = int(Words(raw, np.array([0, len(raw)]), SPACED).counts[0])
         if n < min_item:
             continue
         if ids and held + n > BLOCK_TOKENS:
@@ -162,18 +222,12 @@ def find(
                 buf, offsets, _ = text_column(batch, "text")
                 for lo, hi in pieces(offsets):
                     w = Words(buf, offsets[lo : hi + 1], SPACED)
-                    best: dict[tuple[int, int], tuple[int, ...]] = {}
-                    for d, i, diagonal in zip(*table.hits(w), strict=True):
-                        if stretch := table.verify(w, d, i, diagonal, min_match, min_share):
-                            match, n, start, size = stretch
-                            found = (match, -n, -start, size)
-                            best[d, i] = max(best.get((d, i), found), found)
-                    if best:
-                        rows = sorted(best)
+                    document, item, *numbers = table.stretches(w, min_match, min_share)
+                    if len(item):
                         columns = [
-                            batch.column(0).take(pa.array([lo + d for d, _ in rows], pa.int64())),
-                            pa.array([table.ids[i] for _, i in rows], to_arrow_type(kind)),
-                            *(pa.array([sign * best[r][c] for r in rows], pa.int32()) for c, sign in enumerate((1, -1, -1, 1))),
+                            batch.column(0).take(pa.array(lo + document)),
+                            pa.array([table.ids[i] for i in item], to_arrow_type(kind)),
+                            *(pa.array(c, pa.int32()) for c in numbers),
                         ]
                         yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 

@@ -6,7 +6,8 @@ overlap with each group; only groups that can reach the threshold are opened and
 
 * Tokens are ordered, common ones last (a fixed-size bitmap of tokens met often), then by hash. Two linked
   sets share at least ``min(DEPTH, needed overlap)`` tokens within their first ``n - needed + DEPTH``, so
-  only those are exchanged, as arrays, one row for each batch and part.
+  only those are exchanged, as arrays, one row for each batch and part. Sets of much the same size must share
+  more of them (``promised``), so only tokens that enough others follow lead to a group.
 * A class joins the group of the smallest class with which it shares most of these tokens, or of that one's
   smallest and so on, apart by size, and visits the groups whose sizes it can link to and with which it shares enough of them. Large groups are salted into blocks of about
   ``BLOCK`` classes, so a hot group never meets in one task.
@@ -32,6 +33,8 @@ from .components import components
 from .kernel import SPACED, Words, dropped, gathered, grams, mix, part_of, partitions, pieces, read, scatter, ship, signed, stored, swept, text_column
 
 DEPTH = 8
+#: A class visits a group if they share this many of the tokens that can come first in what they must share.
+LEADING = 3
 BLOCK = 64
 #: A token is common if this many documents of one batch hold it.
 COMMON_IN_BATCH = 2
@@ -42,6 +45,16 @@ def needed(n, share: int):
     return -(-share * n // 100)
 
 
+def promised(n, m, share: int):
+    """Columns of sizes of two sets that link: least number of tokens that their exchanged first tokens share.
+
+    A set exchanges all but its last ``needed - DEPTH`` tokens. Of the set whose exchanged tokens end earlier in the
+    order, no more than those last tokens of the overlap are missing.
+    """
+    overlap = F.ceil(share * (n + m) / (100 + share))
+    return overlap - F.greatest(F.lit(0), F.ceil(share * F.greatest(n, m) / 100) - DEPTH)
+
+
 def shingle_sets(w: Words, n: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document; a shorter document is one shingle."""
     g = grams(w.hash, n)
@@ -94,7 +107,7 @@ def _emit_prefixes(n: int, share: int, common, parts: int):
         for batch in batches:
             buf, offsets, _ = text_column(batch)
             seen: set[int] = set()
-            tokens, owners, sizes = [], [], []
+            tokens, owners, sizes, leads = [], [], [], []
             for lo, hi in pieces(offsets):
                 for s in shingle_sets(Words(buf, offsets[lo : hi + 1], SPACED), n):
                     if not len(s) or (who := fingerprint(s)) in seen:
@@ -108,40 +121,41 @@ def _emit_prefixes(n: int, share: int, common, parts: int):
                     tokens.append(first)
                     owners.append(np.full(len(first), who, dtype=np.int64))
                     sizes.append(np.full(len(first), len(s), dtype=np.int32))
+                    leads.append(np.arange(len(first), dtype=np.int32)[::-1])
             if tokens:
                 t = np.concatenate(tokens)
-                rows = list(scatter(part_of(t, parts), t, np.concatenate(owners), np.concatenate(sizes)))
+                rows = list(scatter(part_of(t, parts), t, *(np.concatenate(c) for c in (owners, sizes, leads))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))],
-                    names=["part", "tokens", "classes", "sizes"],
+                    [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4))],
+                    names=["part", "tokens", "classes", "sizes", "leads"],
                 )
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, class, n) of the tokens that more than one class holds."""
+    """(token, class, n, lead) of the tokens that more than one class holds; ``lead`` others follow in the class's list."""
     got = list(batches)
     if not got:
         return
     table = pa.Table.from_batches(got)
     token = gathered(table["tokens"], np.uint64)
-    owner, size = gathered(table["classes"], np.int64), gathered(table["sizes"], np.int32)
+    owner, size, lead = gathered(table["classes"], np.int64), gathered(table["sizes"], np.int32), gathered(table["leads"], np.int32)
     del table, got
     order = np.lexsort((owner, token))
-    token, owner, size = token[order], owner[order], size[order]
+    token, owner, size, lead = token[order], owner[order], size[order], lead[order]
     if not len(token):
         return
     new = np.ones(len(token), dtype=bool)
     new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-    token, owner, size = token[new], owner[new], size[new]
+    token, owner, size, lead = token[new], owner[new], size[new], lead[new]
     same = np.zeros(len(token) + 1, dtype=bool)
     same[1:-1] = token[1:] == token[:-1]
     keep = same[1:] | same[:-1]
-    token, owner, size = signed(token[keep]), owner[keep], size[keep]
+    token, owner, size, lead = signed(token[keep]), owner[keep], size[keep], lead[keep]
     for lo in range(0, len(token), 1 << 16):
         hi = lo + (1 << 16)
-        yield pa.RecordBatch.from_arrays([pa.array(token[lo:hi]), pa.array(owner[lo:hi]), pa.array(size[lo:hi])], names=["token", "class", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[lo:hi]) for c in (token, owner, size, lead)], names=["token", "class", "n", "lead"])
 
 
 def _emit_sets(n: int, wanted):
@@ -225,8 +239,8 @@ def classes(docs: DataFrame, key: str, text: str, n: int, share: int) -> DataFra
     common = sc.broadcast(bitmap(described.where("common is not null").select("common"), "common"))
 
     texts = docs.select("text")
-    prefixes = texts.mapInArrow(_emit_prefixes(n, share, common, parts), "part int, tokens binary, classes binary, sizes binary")
-    shared = stored(prefixes.repartition(parts, "part").mapInArrow(_shared, "token long, class long, n int"), "matrix")
+    prefixes = texts.mapInArrow(_emit_prefixes(n, share, common, parts), "part int, tokens binary, classes binary, sizes binary, leads binary")
+    shared = stored(prefixes.repartition(parts, "part").mapInArrow(_shared, "token long, class long, n int, lead int"), "matrix")
     common.destroy()
 
     # groups: each class goes to the smallest class of the token lists in which it meets most others of it
@@ -248,21 +262,27 @@ def classes(docs: DataFrame, key: str, text: str, n: int, share: int) -> DataFra
     named = F.xxhash64(F.coalesce("centre", "class"), "bucket")
     # a class without enough tokens that others hold links with none
     live = shared.groupBy("class").agg(F.count("*").alias("both"), F.first("n").alias("n")).where(F.col("both") >= enough).select("class")
-    placed = shared.join(live, "class").withColumn("bucket", bucket).join(own, "class", "left").select("token", "class", "n", "bucket", named.alias("own"))
+    placed = shared.join(live, "class").withColumn("bucket", bucket).join(own, "class", "left").select("token", "class", "n", "lead", "bucket", named.alias("own"))
     placed = stored(placed, "placed")
     dropped(shared, first)
     # only tokens of several groups lead to others, and a visitor needs enough of them
     several = placed.groupBy("token").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("token")
     opened = placed.join(several, "token")
     able = opened.groupBy("class").agg(F.count("*").alias("both"), F.first("n").alias("n")).where(F.col("both") >= enough).select("class")
-    opened = stored(opened.join(able, "class").select("token", "class", "n", "own"), "opened")
-    matrix = opened.groupBy("token", F.col("own").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    opened = stored(opened.join(able, "class").select("token", "class", "n", "lead", "own"), "opened")
+    matrix = opened.groupBy("token", F.col("own").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("lead").alias("before"))
+    # what is promised grows up to equal sizes and falls after them, so it is least at an end of the group's sizes
+    smallest = F.greatest("least", F.ceil(share * F.col("n") / 100))
+    largest = F.least("most", F.floor(100 * F.col("n") / share))
+    due = F.greatest(F.lit(1), F.least(promised(F.col("n"), smallest, share), promised(F.col("n"), largest, share)) - 1)  # 1 less, as sizes are rounded
+    leads = F.least("lead", "before") >= due - LEADING
     visits = (
         opened.join(matrix, "token")
         .where(f"group <> own and 100 * n >= {share} * least and {share} * n <= 100 * most")
-        .groupBy("class", "n", "group")
-        .agg(F.count("*").alias("both"))
-        .where(F.col("both") >= enough)
+        .where(leads)
+        .groupBy("class", "group")
+        .agg(F.count("*").alias("both"), F.min(F.least(F.lit(LEADING), due)).alias("due"))
+        .where("both >= due")
         .select("class", "group")
     )
     visits = stored(visits, "visits")

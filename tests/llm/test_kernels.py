@@ -3,6 +3,7 @@
 import collections
 import io
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -146,8 +147,56 @@ def test_seeds_survive_substitutions():
     words[4] = words[15] = words[26] = "x"
     buf, offsets, _ = columns([None, "a b " + " ".join(words) + " c", "d e f"])
     w = kernel.Words(buf, offsets, kernel.SPACED)
-    found = {(d, i): table.verify(w, d, i, g, 13, 0.8) for d, i, g in zip(*table.hits(w), strict=True)}
-    assert set(found) == {(1, 0)} and found[1, 0] == (27, 30, 2, 30)
+    assert [c.tolist() for c in table.stretches(w, 13, 0.8)] == [[1], [0], [27], [30], [2], [30]]
+
+
+def plain_stretch(a, b, diagonal, least, share):
+    """(agreeing, tokens, first token) of the stretch with most agreement on a diagonal, all stretches tried."""
+    lo, hi = max(0, diagonal), min(len(b), diagonal + len(a))
+    best = None
+    for end in range(lo, hi + 1):
+        for start in range(lo, end + 1):
+            hits = sum(a[j - diagonal] == b[j] for j in range(start, end))
+            if 100 * hits >= 100 * share * (end - start) - 1e-6 and (best is None or hits > best[0]):
+                best = hits, end - start, start
+    return best if best and best[0] >= max(1, min(least, share * len(a))) else None
+
+
+@pytest.mark.parametrize("at_once", [1, 50, 1 << 20])
+def test_stretches_of_items_with_a_common_prompt(at_once, monkeypatch):
+    """Every diagonal that a seed hits, against all stretches on it."""
+    monkeypatch.setattr(decontaminate, "VERIFIED_TOKENS", at_once)
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randint(0, 30)}"
+    prompt = [word() for _ in range(14)]
+    items = [prompt + [word() for _ in range(rnd.randint(0, 12))] for _ in range(6)] + [[word() for _ in range(6)], prompt[3:9] + [word()] * 9]
+    texts = [[], prompt * 2, [word() for _ in range(9)] + items[2] + prompt[2:], items[4][:11] + [word()] + items[4][12:], items[6] + items[7]]
+    table = decontaminate.SeedTable(list(range(len(items))), [" ".join(i) for i in items], decontaminate.MASKS)
+    buf, offsets, _ = columns([" ".join(t) for t in texts])
+    w = kernel.Words(buf, offsets, kernel.SPACED)
+    want = {}
+    for d, i, diagonal in zip(*table.hits(w), strict=True):
+        if found := plain_stretch(items[i], texts[d], diagonal - w.first[d], 13, 0.8):
+            match, n, start = found
+            want[d, i] = max(want.get((d, i), (0,)), (match, -n, -start))
+    got = {(d, i): (match, -n, -start) for d, i, match, n, start, _ in zip(*table.stretches(w, 13, 0.8), strict=True)}
+    assert got == want and len(want) >= 20
+
+
+def test_common_prompt_is_met_once_a_place():
+    """A thousand items with one prompt and a text that holds it fifty times."""
+    rnd = random.Random(3)
+    word = lambda: f"v{rnd.randint(0, 10**6)}"
+    prompt = [word() for _ in range(30)]
+    items = [" ".join(prompt + [word() for _ in range(20)]) for _ in range(1000)]
+    table = decontaminate.SeedTable(list(range(1000)), items, decontaminate.MASKS)
+    assert len(set(table.entry[table.many > 1].tolist())) == 1
+    buf, offsets, _ = columns([" ".join(" ".join([*prompt, word()]) for _ in range(50))])
+    w = kernel.Words(buf, offsets, kernel.SPACED)
+    began = time.perf_counter()
+    found = table.stretches(w, 13, 0.8)
+    assert time.perf_counter() - began < 3
+    assert found[1].tolist() == list(range(1000)) and set(zip(*(c.tolist() for c in found[2:]), strict=True)) == {(30, 30, 0, 50)}
 
 
 def test_blocks_open_exactly():

@@ -141,6 +141,37 @@ def test_jaccard(spark, sf, n, share):
     assert by_id(tuple(r) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("leading", [1, 3, 8])
+def test_jaccard_of_a_cluster_at_the_threshold(spark, leading, monkeypatch):
+    """Near copies of every length, most pairs a little below the threshold, against all pairs."""
+    monkeypatch.setattr(ngram_join, "LEADING", leading)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        words = base[rnd.randint(0, 12) : 150 - rnd.randint(0, 12)]
+        for at in rnd.sample(range(len(words)), rnd.randint(1, 7)):
+            words[at] = f"x{rnd.randint(0, 10**9)}"
+        rows.append((i, " ".join(words)))
+    sets = [shingles(t, 4) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 85 * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), n=4, share=85)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: root(i) for i in range(len(rows))}
+    assert 10 < len({root(i) for i in range(len(rows))}) < 150
+
+
 @pytest.mark.parametrize(("length", "hot"), [(400, None), (60, None), (60, 0)])
 def test_suffix_dedup(spark, sf, length, hot, monkeypatch):
     """With and without the way that splits hot grams, and with clashing names."""
