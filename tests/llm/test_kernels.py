@@ -185,13 +185,11 @@ def test_stretches_of_items_with_a_common_prompt(at_once, monkeypatch):
 
 def test_common_prompt_is_met_once_a_place():
     """A thousand items with one prompt and a text that holds it fifty times."""
-    rnd = random.Random(3)
-    word = lambda: f"v{rnd.randint(0, 10**6)}"
-    prompt = [word() for _ in range(30)]
-    items = [" ".join(prompt + [word() for _ in range(20)]) for _ in range(1000)]
+    prompt = [f"p{i}" for i in range(30)]
+    items = [" ".join(prompt + [f"v{i} {j}" for j in range(10)]) for i in range(1000)]
     table = decontaminate.SeedTable(list(range(1000)), items, decontaminate.MASKS)
     assert len(set(table.entry[table.many > 1].tolist())) == 1
-    buf, offsets, _ = columns([" ".join(" ".join([*prompt, word()]) for _ in range(50))])
+    buf, offsets, _ = columns([" ".join(" ".join([*prompt, f"t{i}"]) for i in range(50))])
     w = kernel.Words(buf, offsets, kernel.SPACED)
     began = time.perf_counter()
     found = table.stretches(w, 13, 0.8)
