@@ -492,6 +492,17 @@ def test_quality_sample_and_margin(spark, monkeypatch):
     assert len(limits) == 1 and any(limits.copy().pop() / r.perplexity == pytest.approx(1.15) for r in rows)
 
 
+def test_quality_learns_from_all(spark, monkeypatch, tmp_path):
+    """In the query every trusted document, however long, either trains or sets thresholds."""
+    seen = []
+    monkeypatch.setattr(kneser_ney, "fit", lambda trusted, text="text": seen.append((trusted.count(), trusted.where("length(text) > 20000").count())) or trusted.limit(0))
+    docs = spark.range(6000).selectExpr("id as doc_id", "repeat(concat('a b c d ', id % 7), if(id % 2 = 0, 3000, 1)) as text", "'en' as lang")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.selectExpr("doc_id", "1 as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    assert kneser_ney.op4_quality(spark, str(tmp_path)).count() == 6000
+    assert seen[0] == (pytest.approx(3000, rel=0.1), pytest.approx(1500, rel=0.1))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 30), (40, 40), (50, 45)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "x long, y long")).collect()}
