@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have an end only, which is judged like any text; repeated rows are judged alike; a
     null language has the threshold over all; without trusted documents all rows stay.
     """
-    judged = kneser_ney.classify(docs, read(spark, sf_dir, "labels"))
+    judged = kneser_ney.classify(docs, read(spark, sf_dir, "labels"), train_documents=None)
     return judged.where(F.coalesce("keep", F.lit(True))).select(*COLUMNS)
 
 
