@@ -63,6 +63,7 @@ def topological_order(edges: DataFrame, key: str = "program_id", small: int = SM
     kind = edges.schema[key].dataType.simpleString()
     if large.isEmpty():
         return edges.groupBy(key).applyInPandas(_in_order(key), f"{key} {kind}, node string, level int, pos long")
+    large = F.broadcast(large)  # few: each has more than ``small`` calls; a shuffle by key would bring each into one task
     rest = edges.join(large, key, "left_anti").groupBy(key).applyInPandas(_in_order(key), f"{key} {kind}, node string, level int, pos long")
     return rest.unionByName(_by_levels(edges.join(large, key, "left_semi"), key, rank_rows))
 
@@ -145,11 +146,11 @@ def _ranked(rows: DataFrame, key: str, level: int, parts: int, before: DataFrame
     earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = at.groupBy(key, part).agg(F.count("*").alias("n"), F.min("at").alias("first"))
     sizes = sizes.select(key, "part", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    out = at.withColumn("part", part).join(sizes, [key, "part"])
+    out = at.withColumn("part", part).join(F.broadcast(sizes), [key, "part"])
     if before is None:
         out = out.withColumn("base", F.lit(0))
     else:
-        out = out.join(before.groupBy(key).agg(F.max("pos").alias("base")), key)
+        out = out.join(F.broadcast(before.groupBy(key).agg(F.max("pos").alias("base"))), key)
     return out.select(key, "node", F.lit(level).alias("level"), (F.col("base") + F.col("offset") + F.col("at") - F.col("first") + 1).cast("long").alias("pos"))
 
 

@@ -270,3 +270,25 @@ def test_logs_and_parameters(spark, tmp_path):
     assert at == "20240305_060708"
     (tmp_path / "p.json").write_text('{"a": 1}')
     assert logs.parameters(str(tmp_path / "p.json"), {"a": 0, "b": 2}) == {"a": 1, "b": 2}
+
+
+def test_large_programs_stay_dealt(spark, monkeypatch):
+    """No step of the order by levels brings a whole program into one task."""
+    import re
+
+    plans = []
+    note = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    stored, ranked = graph.stored, graph._ranked
+    monkeypatch.setattr(graph, "stored", lambda df, what: note(df) or stored(df, what))
+    monkeypatch.setattr(graph, "_ranked", lambda *a: (lambda df: note(df) or df)(ranked(*a)))
+    monkeypatch.setattr(graph, "_by_levels", lambda edges, *a, f=graph._by_levels: note(edges) or f(edges, *a))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        edges = spark.range(40).selectExpr("'w' as program_id", "id as ln", "concat('n', id % 4) as src", "concat('m', id) as dst")
+        assert graph.topological_order(edges, small=3, rank_rows=5).count() == 44
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    bare = r"hashpartitioning\(program_id#\d+, \d+\), ENSURE_REQUIREMENTS"
+    rows = [x for p in plans for x in re.findall(rf"Exchange {bare}[^\n]*\n[^\n]*", p)]
+    assert plans and not [x for x in rows if "Aggregate" not in x]
