@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from . import intervals
 
 
@@ -44,9 +45,20 @@ def edges_of_blocks(function_blocks: DataFrame, destinations: DataFrame, program
     return b.join(known, [program, "src_start"]).join(t, [program, "name", "dst_start"]).select(program, "name", "src", "dst", "type")
 
 
+def _arrows() -> Column:
+    """The edges among a function's ``held`` blocks, in order. Where several begin at one address, each is an end."""
+    none = F.array().cast("array<struct<to:bigint,type:string>>")
+    starts = F.transform("held", lambda b: b["start"].cast("long"))
+    said = lambda b, f, to: F.struct(b["id"].alias("src"), to.alias("dst"), f["type"].alias("type"))
+    from_block = lambda each: F.flatten(F.transform("held", lambda b: F.flatten(F.transform(F.coalesce(b["flows"], none), lambda f: each(b, f)))))
+    one = from_block(lambda b, f: F.transform(F.filter(F.array(F.array_position(starts, f["to"])), lambda i: i > 0), lambda i: said(b, f, F.concat(F.lit("B"), (i - 1).cast("string")))))
+    every = from_block(lambda b, f: F.transform(F.filter("held", lambda t: t["start"] == f["to"]), lambda t: said(b, f, t["id"])))
+    made = F.when(F.size(F.array_distinct(starts)) == F.size(starts), one).otherwise(every)
+    return F.array_sort(made)
+
+
 def cfg_documents(functions: DataFrame, blocks: DataFrame, instructions: DataFrame, destinations: DataFrame, program: str = "program_id") -> DataFrame:
     """(program, function_name, entry, blocks, edges): one nested document a function, functions without blocks too."""
-    owned = blocks_of_functions(functions, blocks, program)
     lines = instructions_in_blocks(instructions, blocks, program)
     per_block = lines.groupBy(program, F.col("block_start").alias("start")).agg(
         F.transform(
@@ -54,21 +66,28 @@ def cfg_documents(functions: DataFrame, blocks: DataFrame, instructions: DataFra
             lambda i: F.struct(F.lpad(F.lower(F.hex(i["address"])), 8, "0").alias("address"), i["mnemonic"].alias("mnemonic"), i["proto"].alias("proto"), i["ops"].alias("ops")),
         ).alias("instructions")
     )
-    full = owned.join(per_block, [program, "start"], "left")
+    # what a block holds goes along when it meets its functions; then a function's blocks meet once
+    flows = destinations.where(F.col("dst_start").isNotNull()).groupBy(program, F.col("src_start").alias("start"))
+    flows = flows.agg(F.collect_list(F.struct(F.col("dst_start").cast("long").alias("to"), "type")).alias("flows"))
+    held = blocks.select(program, "start", "end").join(per_block, [program, "start"], "left").join(flows, [program, "start"], "left")
+    held = stored(held, "held")  # read for its levels, then joined; few blocks of many functions are broadcast
+    # where blocks are broadcast, functions dealt before the join need no shuffle of all they meet after it
+    parts = int(functions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = functions.select(program, "name", "lo", "hi").repartition(parts, program, "name")
+    owned = intervals.overlaps(dealt, held, ("lo", "hi"), ("start", "end"), program)
     none = F.array().cast("array<struct<address:string,mnemonic:string,proto:string,ops:array<string>>>")
-    listed = full.groupBy(program, "name").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("start", "block", F.coalesce("instructions", none).alias("instructions")))),
-            lambda b: F.struct(b["block"].alias("id"), F.lpad(F.lower(F.hex(b["start"])), 8, "0").alias("start"), b["instructions"].alias("instructions")),
-        ).alias("blocks")
-    )
-    arrows = edges_of_blocks(owned, destinations, program).groupBy(program, "name").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "type"))).alias("edges"))
+    content = F.coalesce("instructions", none).alias("instructions")
+    listed = owned.groupBy(program, "name").agg(F.array_sort(F.collect_list(F.struct("start", "end", content, "flows"))).alias("held"))
+    numbered = F.transform("held", lambda b, i: F.struct(F.concat(F.lit("B"), i.cast("string")).alias("id"), b["start"].alias("start"), b["instructions"].alias("instructions"), b["flows"].alias("flows")))
+    listed = listed.select(program, "name", numbered.alias("held"))
+    shown = F.transform("held", lambda b: F.struct(b["id"].alias("id"), F.lpad(F.lower(F.hex(b["start"])), 8, "0").alias("start"), b["instructions"].alias("instructions")))
+    listed = listed.select(program, "name", shown.alias("blocks"), _arrows().alias("edges"))
     entry = F.lpad(F.lower(F.hex("lo")), 8, "0")
-    out = functions.select(program, "name", entry.alias("entry")).join(listed, [program, "name"], "left").join(arrows, [program, "name"], "left")
+    out = functions.select(program, "name", entry.alias("entry")).join(listed, [program, "name"], "left")
     return out.select(
         program,
         F.col("name").alias("function_name"),
         "entry",
         F.coalesce("blocks", F.array().cast(listed.schema["blocks"].dataType)).alias("blocks"),
-        F.coalesce("edges", F.array().cast(arrows.schema["edges"].dataType)).alias("edges"),
+        F.coalesce("edges", F.array().cast(listed.schema["edges"].dataType)).alias("edges"),
     )

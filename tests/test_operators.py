@@ -292,3 +292,16 @@ def test_large_programs_stay_dealt(spark, monkeypatch):
     bare = r"hashpartitioning\(program_id#\d+, \d+\), ENSURE_REQUIREMENTS"
     rows = [x for p in plans for x in re.findall(rf"Exchange {bare}[^\n]*\n[^\n]*", p)]
     assert plans and not [x for x in rows if "Aggregate" not in x]
+
+
+def test_documents_meet_blocks_once(spark):
+    """Blocks are numbered and joined with their flows inside a function; two that begin at one address are both ends."""
+    functions = spark.createDataFrame([("w", "f", 0, 99)], "program_id string, name string, lo long, hi long")
+    found = spark.createDataFrame([("w", 0, 9), ("w", 10, 14), ("w", 10, 19)], "program_id string, start long, end long")
+    code = spark.createDataFrame([("w", 3, "nop", "nop", ["a"])], "program_id string, address long, mnemonic string, proto string, ops array<string>")
+    flows = spark.createDataFrame([("w", 0, 10, "X"), ("w", 10, 0, "Y"), ("w", 0, 77, "Z"), ("w", 0, None, "N")], "program_id string, src_start long, dst_start long, type string")
+    made = cfg.cfg_documents(functions, found, code, flows)
+    assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
+    row = made.collect()[0]
+    assert [(b.id, b.start, len(b.instructions)) for b in row.blocks] == [("B0", "00000000", 1), ("B1", "0000000a", 0), ("B2", "0000000a", 0)]
+    assert [tuple(e) for e in row.edges] == [("B0", "B1", "X"), ("B0", "B2", "X"), ("B1", "B0", "Y"), ("B2", "B0", "Y")]
