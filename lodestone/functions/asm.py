@@ -17,6 +17,7 @@ HEADER_STRICT = r"^\s*([0-9a-fA-F]+)\s+<(.+)>:\s*$"
 INSTRUCTION = r"^\s*([0-9a-fA-F]+):\s+([0-9a-fA-F\s]+)\s+(.+)$"
 INSTRUCTION_STRICT = r"^\s*([0-9a-fA-F]+):\t([0-9a-fA-F ]+)\t(.+)$"
 COMMENT = r"#.*$"
+WHITE = " \t\n\x0b\f\r"
 
 
 def _header(strict: bool) -> str:
@@ -41,8 +42,12 @@ def strip_comment(x: Column) -> Column:
 
 def instruction(line: Column, strict: bool = True) -> Column:
     """The instruction without its comment; null if the line holds none."""
-    found = F.regexp_extract(line, INSTRUCTION_STRICT if strict else INSTRUCTION, 3)
-    return F.nullif(strip_comment(found), F.lit(""))
+    return said(F.regexp_extract(line, INSTRUCTION_STRICT if strict else INSTRUCTION, 3))
+
+
+def said(found: Column) -> Column:
+    """``strip_comment`` of an instruction's part of a line, null for none; it has no line ends, so plain functions will do."""
+    return F.nullif(F.btrim(F.substring_index(found, "#", 1), F.lit(WHITE)), F.lit(""))
 
 
 def line_error(line: Column, strict: bool = True) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import dealt, stored
 from . import intervals
 
 
@@ -20,7 +20,8 @@ def blocks_of_functions(functions: DataFrame, blocks: DataFrame, program: str =
     ``functions``: program, name, lo, hi; ``blocks``: program, start, end (numbers). A block that meets two
     functions stands in both; functions without blocks, and blocks of none, have no row.
     """
-    joined = intervals.overlaps(functions, blocks, ("lo", "hi"), ("start", "end"), program)
+    joined, n = intervals.counted_overlaps(functions, blocks, ("lo", "hi"), ("start", "end"), program)
+    joined = dealt(joined, n, program, "name")
     number = F.row_number().over(Window.partitionBy(program, "name").orderBy("start", "end")) - 1
     return joined.withColumn("block", F.concat(F.lit("B"), number.cast("string")))
 
@@ -39,10 +40,20 @@ def edges_of_blocks(function_blocks: DataFrame, destinations: DataFrame, program
 
     ``destinations``: program, src_start, dst_start, type.
     """
+    return flows_of_functions(function_blocks, destinations, program).select(program, "name", "src", "dst", "type")
+
+
+def flows_of_functions(function_blocks: DataFrame, destinations: DataFrame, program: str = "program_id", rows: int = 0) -> DataFrame:
+    """``edges_of_blocks`` with where both ends start: (program, name, src, src_start, dst, dst_start, type).
+
+    ``rows``: how many blocks there are, where that is known, so that many are dealt to more tasks.
+    """
+    at, to = [program, "src_start"], [program, "name", "dst_start"]
     b = function_blocks.select(program, "name", F.col("start").alias("src_start"), F.col("block").alias("src"))
     t = function_blocks.select(program, "name", F.col("start").alias("dst_start"), F.col("block").alias("dst"))
     known = destinations.where(F.col("dst_start").isNotNull())
-    return b.join(known, [program, "src_start"]).join(t, [program, "name", "dst_start"]).select(program, "name", "src", "dst", "type")
+    left = dealt(b, rows, *at).join(dealt(known, rows, *at), at)
+    return dealt(left, rows, *to).join(dealt(t, rows, *to), to).select(program, "name", "src", "src_start", "dst", "dst_start", "type")
 
 
 def _arrows() -> Column:

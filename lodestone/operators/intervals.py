@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import dealt
+
 #: Bucket widths are 2 ** (first + i * step).
 FIRST_BITS, STEP_BITS, LAST_BITS = 4, 3, 61
 
@@ -30,9 +32,9 @@ def _bucket(x: Column, bits: Column) -> Column:
     return F.call_function("shiftright", x, bits)
 
 
-def _levels(df: DataFrame) -> list[int]:
-    """The levels that occur, at most as many as the ladder has."""
-    return sorted(r[0] for r in df.select("__level").distinct().collect())
+def _levels(df: DataFrame) -> dict[int, int]:
+    """How many rows each level has that occurs, at most as many as the ladder has."""
+    return dict(sorted(map(tuple, df.groupBy("__level").agg(F.count("*")).collect())))
 
 
 def _dealt(df: DataFrame, lo: str, hi: str, bits: Column) -> DataFrame:
@@ -41,7 +43,7 @@ def _dealt(df: DataFrame, lo: str, hi: str, bits: Column) -> DataFrame:
     return spread.withColumn("__bucket", F.explode(F.sequence(_bucket(F.col(lo), F.col("__bits")), _bucket(F.col(hi), F.col("__bits")))))
 
 
-def _higher(levels: list[int], or_equal: bool) -> Column:
+def _higher(levels: dict[int, int], or_equal: bool) -> Column:
     given = F.array(*(F.lit(x) for x in levels)) if levels else F.array().cast("array<int>")
     return F.filter(given, (lambda x: x >= F.col("__level")) if or_equal else (lambda x: x > F.col("__level")))
 
@@ -52,16 +54,24 @@ def overlaps(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], righ
     Ends are whole numbers; an interval that ends before it begins, or has a null end or key, meets none.
     Other columns of the two sides must have different names. Which levels occur is looked up first.
     """
+    return counted_overlaps(left, right, left_ends, right_ends, key)[0]
+
+
+def counted_overlaps(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], key: str = "program_id") -> tuple[DataFrame, int]:
+    """``overlaps``, and how many intervals the two sides have."""
     (a, b), (c, d) = left_ends, right_ends
+    bucket = [key, "__bits", "__bucket"]
     long = lambda df, lo, hi: df.withColumns({x: F.col(x).cast("long") for x in (lo, hi)}).where(F.col(lo) <= F.col(hi)).withColumn("__level", _level(F.col(lo), F.col(hi)))
     one, two = long(left, a, b), long(right, c, d)
     own = F.array("__level")
-    wide_left = _dealt(one, a, b, own).join(_dealt(two, c, d, _higher(_levels(one), True)).drop("__level"), [key, "__bits", "__bucket"])
-    wide_right = _dealt(one, a, b, _higher(_levels(two), False)).join(_dealt(two, c, d, own).drop("__level"), [key, "__bits", "__bucket"])
+    levels, others = _levels(one), _levels(two)
+    n = sum(levels.values()) + sum(others.values())
+    wide_left = dealt(_dealt(one, a, b, own), n, *bucket).join(dealt(_dealt(two, c, d, _higher(levels, True)).drop("__level"), n, *bucket), bucket)
+    wide_right = dealt(_dealt(one, a, b, _higher(others, False)), n, *bucket).join(dealt(_dealt(two, c, d, own).drop("__level"), n, *bucket), bucket)
     both = wide_left.unionByName(wide_right)
     # a pair is kept in the first bucket that both reach
     meets = (F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) & (F.col("__bucket") == _bucket(F.greatest(a, c), F.col("__bits")))
-    return both.where(meets).drop("__level", "__bits", "__bucket")
+    return both.where(meets).drop("__level", "__bits", "__bucket"), n
 
 
 def holders(points: DataFrame, intervals: DataFrame, at: str, ends: tuple[str, str], key: str = "program_id") -> DataFrame:
@@ -71,5 +81,6 @@ def holders(points: DataFrame, intervals: DataFrame, at: str, ends: tuple[str, s
     levels = _levels(two)
     probes = F.array(*(F.lit(x) for x in levels)) if levels else F.array().cast("array<int>")
     asked = points.withColumn("__bits", F.explode(probes)).withColumn("__bucket", _bucket(F.col(at).cast("long"), F.col("__bits")))
-    found = asked.join(_dealt(two, lo, hi, F.array("__level")).drop("__level"), [key, "__bits", "__bucket"])
+    bucket, n = [key, "__bits", "__bucket"], sum(levels.values())
+    found = dealt(asked, n, *bucket).join(dealt(_dealt(two, lo, hi, F.array("__level")).drop("__level"), n, *bucket), bucket)
     return found.where(F.col(at).between(F.col(lo), F.col(hi))).drop("__bits", "__bucket")

@@ -21,10 +21,17 @@ def ordered_concat(order: Column | str, value: Column | str, separator: str) ->
     return F.array_join(ordered_list(order, value), separator)
 
 
-def segments(rows: DataFrame, is_header: Column, order: str, *keys: str) -> DataFrame:
-    """Rows with ``segment``: the number of the last header at or above; rows above the first header go."""
+def segments(rows: DataFrame, is_header: Column, order: str, *keys: str, within: dict[str, Column] | None = None, where: Column | None = None) -> DataFrame:
+    """Rows with ``segment``: the number of the last header at or above; rows above the first header go.
+
+    ``within``: further columns, aggregates over the rows at or above; ``where`` chooses among the rows by what
+    they were before.
+    """
     frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("segment", F.sum(is_header.cast("int")).over(frame)).where("segment > 0")
+    made = {"segment": F.sum(is_header.cast("int")).over(frame)} | {n: c.over(frame) for n, c in (within or {}).items()}
+    if where is None:
+        return rows.withColumns(made).where("segment > 0")
+    return rows.withColumns({"__here": where} | made).where("__here and segment > 0").drop("__here")
 
 
 def functions_of_lines(rows: DataFrame, key: str = "program_id", order: str = "ln", line: str = "line", strict: bool = True) -> DataFrame:

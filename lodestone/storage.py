@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task sorts or joins at once, about: a few hundred bytes each.
+TASK_ROWS = 1 << 19
+
 
 def session(name: str = "lodestone", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC timestamps and adaptive execution; ``master`` only where none is configured."""
@@ -40,6 +43,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` over so many tasks that what one holds does not grow with ``rows``.
+
+    Few rows stay as they are: then Spark's own number of partitions will do.
+    """
+    parts = -(-rows // TASK_ROWS)
+    return df.repartition(parts, *keys) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def swept(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that nothing holds any more, rather than when the driver's memory fills."""
     for pause in (0.2, 0.2, 0):  # the first round only lets go of what Python held
