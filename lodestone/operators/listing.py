@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import asm
 from ..functions.diagnostics import line_key
 from ..functions.text import numbered_lines
+from ..storage import stored
 
 
 def ordered_list(order: Column | str, value: Column | str) -> Column:
@@ -57,6 +58,30 @@ def formatted_listing(functions: DataFrame, key: str = "program_id") -> DataFram
     return functions.groupBy(key).agg(ordered_concat(F.col("segment"), one, "\n").alias("formatted"))
 
 
+def rendered_lines(rows: DataFrame, key: str = "program_id", order: str = "ln", line: str = "line", strict: bool = True) -> DataFrame:
+    """(key, kind, ln, value): what each line adds to the raw, cleaned and formatted rendering of its program's listing.
+
+    The values of a kind in order, each with a line end, are the file of that rendering; a value may hold line
+    ends. No listing is held whole. A program's lines differ in ``order``; one without a function, or without
+    a line to keep, has an empty value there.
+    """
+    x = F.col("line")
+    said = rows.select(key, F.col(order).alias("ln"), F.col(line).alias("line"))
+    said = said.select(key, "ln", "line", asm.clean_line(x, strict).alias("clean"), asm.header_name(x, strict).alias("name"), asm.header_address(x, strict).alias("address"))
+    said = stored(said, "said")
+    first = F.min(F.when(F.col("name").isNotNull(), F.col("ln"))).alias("first")
+    ends = stored(said.groupBy(key).agg(first, F.max("ln").alias("last"), F.count("clean").alias("kept")), "ends")
+    at_end = F.col("ln") == F.col("last")
+    end = "<END_FUNC>\n\n"
+    head = F.concat(F.lit("<FUNC> "), "name", F.lit(" at "), "address")
+    inside = F.when(F.col("ln") >= F.col("first"), F.when(F.col("name").isNull(), F.col("clean")).when(F.col("ln") > F.col("first"), F.concat(F.lit(end + "\n"), head)).otherwise(head))
+    formatted = F.when(at_end, F.when(F.col("first").isNull(), "").otherwise(F.concat_ws("\n", inside, F.lit(end)))).otherwise(inside)
+    cleaned = F.when(at_end & (F.col("kept") == 0), "").otherwise(F.col("clean"))
+    kinds = F.array(*(F.struct(F.lit(n).alias("kind"), v.alias("value")) for n, v in (("raw", x), ("cleaned", cleaned), ("formatted", formatted))))
+    made = said.join(ends, key).select(key, "ln", F.inline(kinds))
+    return made.where(F.col("value").isNotNull()).select(key, "kind", "ln", "value")
+
+
 def first_wins(rows: DataFrame, order: str, *keys: str) -> DataFrame:
     """The first row of each key by ``order``."""
     return _edge(rows, F.min_by, order, keys)

@@ -8,8 +8,8 @@ from urllib.parse import unquote, urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import stem, suffix
-from ..storage import stored
+from ..functions.text import file_name, stem, suffix
+from ..storage import TASK_ROWS, stored
 
 #: Suffixes of sources in listing order; all but the first are C++.
 SOURCE_SUFFIXES = (".c", ".cpp", ".cc", ".cxx", ".c++")
@@ -150,6 +150,51 @@ def write_listings(listings: DataFrame, folder: str, raw: bool = True, cleaned:
     return out
 
 
+def write_rendered(rendered: DataFrame, folder: str) -> None:
+    """Rows (program_id, kind, ln, value) as text files below kind and program, which in the order of their names are the rendering.
+
+    Rows are sorted over all tasks: a long listing is a file of each of several tasks, and none holds it whole.
+    """
+    rows = stored(rendered, "rendered")
+    order = ["kind", "program_id", "ln"]
+    sorted_rows = rows.repartitionByRange(max(1, -(-rows.count() // TASK_ROWS)), *order).sortWithinPartitions(*order)
+    sorted_rows.select("kind", "program_id", "value").write.mode("overwrite").partitionBy("kind", "program_id").text(folder)
+
+
+def rendered_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(program_id, kind, digest): SHA-256 of each rendering that ``write_rendered`` wrote, without its last line end.
+
+    A listing's files are read one after the other, a megabyte at a time. The folder must be one that pyarrow opens.
+    """
+    found = spark.read.format("binaryFile").load(folder).select(F.col("program_id").cast("string").alias("program_id"), "kind", "path")
+    # a task's number leads a file's name: longer ones are later
+    paths = F.transform(F.array_sort(F.collect_list(F.struct(F.length(file_name(F.col("path"))).alias("n"), "path"))), lambda p: p["path"])
+    listings = stored(found.groupBy("program_id", "kind").agg(paths.alias("paths")), "paths")
+
+    def run(batches):
+        import hashlib
+        import re
+
+        import pandas as pd
+        from pyarrow import fs
+
+        where, _ = fs.FileSystem.from_uri(folder)
+        for frame in batches:
+            made = []
+            for paths in frame["paths"]:
+                digest, held = hashlib.sha256(), b""
+                for path in paths:
+                    with where.open_input_stream(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path)) as f:
+                        while piece := f.read(1 << 20):
+                            digest.update(held)
+                            held = piece
+                digest.update(held.removesuffix(b"\n"))
+                made.append(digest.hexdigest())
+            yield pd.DataFrame({"program_id": frame["program_id"], "kind": frame["kind"], "digest": made})
+
+    return listings.repartition(max(1, min(listings.count(), 1000))).mapInPandas(run, "program_id string, kind string, digest string")
+
+
 def file_index(paths: DataFrame, path: str = "path") -> DataFrame:
     """(stem, path): the last path of each stem."""
     return paths.groupBy(stem(F.col(path)).alias("stem")).agg(F.max(path).alias("path"))
