@@ -20,6 +20,7 @@ by exp(``SLACK`` / sqrt(n)). Languages without trusted documents get the quantil
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,16 @@ TRAIN_DOCUMENTS = 2500
 TRAIN_CHARS = 20_000
 BLOCK_BYTES = 3 << 20
 #: Bytes of texts for each shard of the model, the fewest shards, n-grams in a row of the model, bytes of a bitmap's row.
-SHARD_BYTES, SHARDS, ROW_GRAMS, SLICE = 16 << 20, 16, 1 << 16, 4096
+SHARD_BYTES, SHARDS, ROW_GRAMS, SLICE = 16 << 20, 16, 1 << 18, 4096
+#: Texts are scored in so many passes at most, each over as many bytes at least.
+PASSES, PASS_BYTES = 6, 32 << 20
 #: Questions leave out so many bits of a hash: of 10**9 n-grams in a model one in 10**7 others is taken for one of them.
 DROPPED_BITS = 8
 QUANTILE = 0.99
 MARGIN = 1.15
 SLACK = 5.0
 END = hash_word("\x00end")
+_MODEL = "slice int, grams binary, gains binary"
 
 
 def with_ends(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -108,22 +112,36 @@ def _contexts(rows: DataFrame, off: Column) -> DataFrame:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slice, grams, gains) rows of n-grams; and a task's bitmap of them in slices from 0 on."""
-    bits = np.zeros(BITMAP // 8, dtype=np.uint8)
+    """(slice, grams, gains) rows of n-grams, sorted, without the dropped bits and compressed."""
+
+    def row(held: list[tuple]) -> pa.RecordBatch:
+        h, x = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(h)
+        return _rows([(-1, pack_sorted(h[order] >> np.uint64(DROPPED_BITS)), pack(x[order].view(np.uint32)))], _MODEL)
+
+    held, n = [], 0
     for batch in batches:
         a, b = (batch.column(i).fill_null(0).to_numpy().view(np.uint64) for i in (0, 1))
         h = np.where(batch.column(1).is_valid().to_numpy(zero_copy_only=False), joined(a, b), a)
-        x = batch.column(2).to_numpy().astype(np.float32)
-        bits |= local_bitmap(h)
-        cuts = range(0, len(h), ROW_GRAMS)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(cuts), -1, np.int32)), pa.array([h[i : i + ROW_GRAMS].tobytes() for i in cuts], pa.binary()), pa.array([x[i : i + ROW_GRAMS].tobytes() for i in cuts], pa.binary())],
-            names=["slice", "grams", "gains"],
-        )
-    held = np.flatnonzero(bits.reshape(-1, SLICE).any(axis=1))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(held.astype(np.int32)), pa.array([bits[i * SLICE : (i + 1) * SLICE].tobytes() for i in held.tolist()], pa.binary()), pa.nulls(len(held), pa.binary())], names=["slice", "grams", "gains"]
-    )
+        held.append((h, batch.column(2).to_numpy().astype(np.float32)))
+        n += len(h)
+        if n >= ROW_GRAMS:
+            yield row(held)
+            held, n = [], 0
+    if n:
+        yield row(held)
+    release()
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's bitmap of the model's n-grams, in slices from 0 on."""
+    bits = np.zeros(BITMAP // 8, dtype=np.uint8)
+    for batch in batches:
+        for row in batch.column(0):
+            bits |= local_bitmap(unpack_sorted(row.as_py()) << np.uint64(DROPPED_BITS))
+    held = np.flatnonzero(bits.reshape(-1, SLICE).any(axis=1)).tolist()
+    if held:
+        yield _rows([(i, bits[i * SLICE : (i + 1) * SLICE].tobytes(), None) for i in held], _MODEL)
     release()
 
 
@@ -163,21 +181,49 @@ def fit(trusted: DataFrame, text: str = "text") -> DataFrame:
     share = (F.col("n") - off) / F.col("total") / F.col("gamma")
     p3 = kept(three.join(wide, "a").select("a", "b", share.cast("float").alias("share")), "shares", three)
     as_context = F.coalesce(F.log("gamma"), F.lit(0.0))
-    none, schema = F.lit(None).cast("long").alias("b"), "slice int, grams binary, gains binary"
+    none = F.lit(None).cast("long").alias("b")
     made = p3.join(p2.select(F.col("g").alias("b"), "p"), "b").select("a", "b", F.log1p(F.col("share") / F.col("p")).alias("gain"))
-    longest = kept(made.mapInArrow(_packed, schema), "packed", p3)
+    longest = kept(made.mapInArrow(_packed, _MODEL), "packed", p3)
     made = p2.join(wide.withColumnRenamed("a", "g"), "g", "left").select(F.col("g").alias("a"), none, (F.log(F.col("p") / F.col("lower")) + as_context).alias("gain"))
     made = made.union(p1.join(spans.withColumnRenamed("a", "g"), "g", "left").select("g", none, F.log(F.col("p") / floor) + as_context))
-    packed = longest.union(kept(made.mapInArrow(_packed, schema), "packed", one, spans, wide, p2))
-    bits = packed.where("slice >= 0").groupBy("slice").agg(F.bitmap_or_agg("grams").alias("grams")).select("slice", "grams", F.lit(None).cast("binary").alias("gains"))
+    packed = longest.union(kept(made.mapInArrow(_packed, _MODEL), "packed", one, spans, wide, p2))
+    bits = packed.select("grams").mapInArrow(_bits, _MODEL).groupBy("slice").agg(F.bitmap_or_agg("grams").alias("grams")).select("slice", "grams", F.lit(None).cast("binary").alias("gains"))
     unseen = spark.range(1).select(F.lit(-2).alias("slice"), F.lit(None).cast("binary").alias("grams"), F.lit(np.array([np.log(floor)]).tobytes()).alias("gains"))
-    return packed.where("slice = -1").union(stored(bits.union(unseen), "bitmap"))
+    return packed.union(kept(bits.union(unseen), "bitmap"))
 
 
 _ROW = "shard int, block string, docs int, grams binary, held binary, gains binary"
 _SUMS = "block string, docs int, ids binary, sums binary"
 
 
+def _holders(g: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The distinct n-grams of a sorted array, and which documents hold each of them how often: a document is the step from
+    the n-gram's last one, as frequent n-grams are in most documents."""
+    new = np.ones(len(g), dtype=bool)
+    new[1:] = g[1:] != g[:-1]
+    pair = new.copy()
+    pair[1:] |= who[1:] != who[:-1]
+    at = np.flatnonzero(pair)
+    step = who[at].astype(np.uint32)
+    step[1:] -= np.where(new[at[1:]], 0, who[at[:-1]]).astype(np.uint32)
+    times = np.diff(np.flatnonzero(new[at]), append=len(at))
+    often = np.diff(at, append=len(g))
+    return g[new], b"".join(len(z).to_bytes(8, "little") + z for z in (pack(x.astype(np.uint32)) for x in (times, step, often)))
+
+
+def _held(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(times, who, often) as ``_holders`` packed them: documents of each n-gram, which ones, occurrences in each."""
+    out, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 8], "little")
+        out.append(unpack(data[at + 8 : at + 8 + size], np.uint32).astype(np.int64))
+        at += 8 + size
+    times, step, often = out
+    summed = np.cumsum(step)
+    first = np.cumsum(times) - times
+    return times, summed - np.repeat(summed[first] - step[first], times), often
+
+
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
     fields = [x.split() for x in schema.split(", ")]
@@ -198,13 +244,16 @@ def _ask(shards: int, known):
                     h, document = with_ends(Words(buf, offsets[lo + a : lo + b + 1], SPACED, lower=False))
                     tokens.append(np.bincount(document, minlength=b - a))
                     pairs = grams(h, 2)
+                    maybe = None
                     for n, g in ((1, h), (2, pairs), (3, trigrams(pairs))):
                         if len(g):
-                            use = np.flatnonzero(in_bitmap(known.value, g) & _inside(document, n))
+                            # the model has an n-gram only with both shorter ones in it
+                            maybe = in_bitmap(known.value, g) & (True if maybe is None else maybe[:-1] & maybe[1:])
+                            use = np.flatnonzero(maybe & _inside(document, n))
                             asked.append(g[use])
                             owner.append(a + document[use])
                 g, who, count = np.concatenate(asked), np.concatenate(owner), np.concatenate(tokens)
-                order = np.lexsort((who, g))
+                order = np.argsort(g, kind="stable")  # an n-gram's documents stand in order already
                 g, who = g[order], who[order]
                 number += 1
                 block = f"{TaskContext.get().partitionId()}-{number}-{int(ids[lo : hi].view(np.uint64).sum()):x}"
@@ -212,9 +261,8 @@ def _ask(shards: int, known):
                 g = g >> np.uint64(DROPPED_BITS)
                 for i, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
                     if x < y:
-                        distinct, times = np.unique(g[x:y], return_counts=True)
-                        held = pack(times.astype(np.uint32)), pack(who[x:y].astype(np.uint32))
-                        made.append((i, block, hi - lo, pack_sorted(distinct), b"".join(len(z).to_bytes(8, "little") + z for z in held), None))
+                        distinct, held = _holders(g[x:y], who[x:y])
+                        made.append((i, block, hi - lo, pack_sorted(distinct), held, None))
                 made.append((number % shards, block, len(made), None, ids[lo:hi].tobytes(), count.astype(np.int64).tobytes()))
                 yield _rows(made, _ROW)
                 release()
@@ -227,14 +275,10 @@ def _dealt(shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (b"".join(batch.column(i).to_pylist()) for i in (0, 1))
-            g, x = (np.frombuffer(c, t) for c, t in zip(columns, (np.uint64, np.float32), strict=True))
-            order = np.argsort(g)
-            g, x = g[order], x[order]
-            cut = np.searchsorted(part_of(g, shards), np.arange(shards + 1)).tolist()
-            made = [(i, None, None, pack_sorted(g[lo:hi] >> np.uint64(DROPPED_BITS)), None, x[lo:hi].tobytes()) for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if lo < hi]
-            if made:
-                yield _rows(made, _ROW)
+            for grams_, gains in zip(batch.column(0), batch.column(1), strict=True):
+                g, x = unpack_sorted(grams_.as_py()), unpack(gains.as_py(), np.uint32)
+                cut = np.searchsorted(part_of(g << np.uint64(DROPPED_BITS), shards), np.arange(shards + 1)).tolist()
+                yield _rows([(i, None, None, pack_sorted(g[lo:hi]), None, pack(x[lo:hi])) for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if lo < hi], _ROW)
         release()
 
     return run
@@ -247,7 +291,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, (place, block) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             if block is None:
-                model.setdefault(place, []).append((unpack_sorted(batch.column(3)[i].as_py()), np.frombuffer(batch.column(5)[i].as_py(), np.float32)))
+                model.setdefault(place, []).append((unpack_sorted(batch.column(3)[i].as_py()), unpack(batch.column(5)[i].as_py(), np.uint32).view(np.float32)))
             elif batch.column(3)[i].is_valid:
                 asked.setdefault(place, []).append((batch, i))
             else:
@@ -260,12 +304,11 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, gain = np.append(gram[order], np.uint64(2**64 - 1)), np.append(gain[order], 0.0)
         for batch, i in rows:
             block, docs, h, held = (batch.column(c)[i].as_py() for c in (1, 2, 3, 4))
-            size = int.from_bytes(held[:8], "little")
-            times, who = unpack(held[8 : 8 + size], np.uint32), unpack(held[16 + size :], np.uint32)
+            times, who, often = _held(held)
             h = unpack_sorted(h)
             at = np.searchsorted(gram, h)
             value = np.where(gram[at] == h, gain[at], 0.0)
-            sums = np.bincount(who, weights=np.repeat(value, times), minlength=docs)
+            sums = np.bincount(who, weights=np.repeat(value, times) * often, minlength=docs)
             held = np.flatnonzero(sums)
             yield _rows([(block, None, held.astype(np.uint32).tobytes(), sums[held].tobytes())], _SUMS)
         rows.clear()
@@ -310,10 +353,18 @@ def perplexities(texts: DataFrame, model: DataFrame) -> DataFrame:
     known = spark.sparkContext.broadcast(bits)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(SHARDS, -(-size // SHARD_BYTES))
-    questions = texts.select("id", "text").mapInArrow(_ask(shards, known), _ROW)
-    answers = model.where("slice = -1").select("grams", "gains").mapInArrow(_dealt(shards), _ROW)
-    summed = answers.union(questions).repartition(shards, "shard").mapInArrow(_sum, _SUMS)
-    return summed.repartition(max(1, shards // 4), "block").mapInArrow(_whole(unknown), "id long, lm_tokens long, perplexity double")
+    passes = min(PASSES, 1 + size // PASS_BYTES)
+    done = []
+    for i in range(passes):  # one pass's questions are on disk at a time
+        here = texts.select("id", "text").where(F.pmod("id", F.lit(passes)) == i)
+        questions = here.mapInArrow(_ask(shards, known), _ROW)
+        answers = model.where("slice = -1").select("grams", "gains").mapInArrow(_dealt(shards), _ROW)
+        summed = answers.union(questions).repartition(shards, "shard").mapInArrow(_sum, _SUMS)
+        found = summed.repartition(max(1, shards // 4), "block").mapInArrow(_whole(unknown), "id long, lm_tokens long, perplexity double")
+        done.append(stored(found, "scores"))
+        del here, questions, answers, summed, found
+        swept(spark)
+    return reduce(DataFrame.union, done)
 
 
 def score(docs: DataFrame, model: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:

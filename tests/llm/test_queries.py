@@ -480,6 +480,24 @@ def test_quality(spark, sf):
     assert len(out) == len(ROWS) and all(r.keep is not None for r in out)
 
 
+def test_quality_in_passes(spark, monkeypatch):
+    """Texts scored in several passes have the same perplexities, and the model takes under 10 bytes an n-gram."""
+    texts = [" ".join(f"w{i * j % 997}" for j in range(i % 50, 300)) for i in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", None, "a a a b a a a"])], "id long, text string")
+    model = kneser_ney.fit(df.where("id < 40"))
+    whole = {r.id: r for r in kneser_ney.perplexities(df, model).collect()}
+    made, stored = [], kneser_ney.stored
+    monkeypatch.setattr(kneser_ney, "stored", lambda rows, what: made.append(what) or stored(rows, what))
+    monkeypatch.setattr(kneser_ney, "PASS_BYTES", 1 << 12)
+    parts = {r.id: r for r in kneser_ney.perplexities(df, model).collect()}
+    assert made == ["scores"] * kneser_ney.PASSES and len(parts) == 63 and parts.keys() == whole.keys()
+    for i, r in whole.items():
+        assert parts[i].lm_tokens == r.lm_tokens and parts[i].perplexity == pytest.approx(r.perplexity)
+    grams = {tuple(w[i : i + n]) for t in texts[:40] for w in [[*t.split(), None]] for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+    packed = model.where("slice = -1").selectExpr("sum(octet_length(grams) + octet_length(gains))").first()[0]
+    assert packed < 10 * len(grams)
+
+
 def test_quality_sample_and_margin(spark, monkeypatch):
     """About 2500 of enough trusted documents train, and thresholds are 1.15 quantiles."""
     sizes = []
