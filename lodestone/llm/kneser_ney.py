@@ -2,7 +2,8 @@
 
 Half of the trusted documents train, chosen by a hash of their keys, and the others set the thresholds, so each
 has one use. Callers may ask for fewer (``train_documents``); the query and the pipeline do not. N-grams are
-counted, discounted and interpolated by grouping and joining them, so the model may be of any size.
+counted, discounted and interpolated by grouping and joining them, so the model may be of any size; this goes part
+by part of their hashes, and texts are scored in passes, so the disk holds the shuffles of one part or pass at a time.
 
 The interpolated probability is kept as one number for each n-gram: what the log probability of a text
 gains when that n-gram occurs in it, as a prediction and as a context. A text's score is the sum over its
@@ -19,6 +20,7 @@ by exp(``SLACK`` / sqrt(n)). Languages without trusted documents get the quantil
 
 from __future__ import annotations
 
+import collections
 from collections.abc import Iterator
 from functools import reduce
 
@@ -38,6 +40,8 @@ BLOCK_BYTES = 3 << 20
 SHARD_BYTES, SHARDS, ROW_GRAMS, SLICE = 16 << 20, 16, 1 << 18, 4096
 #: Texts are scored in so many passes at most, each over as many bytes at least.
 PASSES, PASS_BYTES = 6, 32 << 20
+#: N-grams are counted and joined in so many parts at most, one for so many bytes of trusted texts.
+PARTS, PART_BYTES = 4, 8 << 20
 #: Questions leave out so many bits of a hash: of 10**9 n-grams in a model one in 10**7 others is taken for one of them.
 DROPPED_BITS = 8
 QUANTILE = 0.99
@@ -79,8 +83,9 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [min(max(x, 0.1), i - 0.1 + 0.1 * (i > 1)) for i, x in ((1, d1), (2, d2), (3, d3))]
 
 
-def _counted(n: int):
-    """Rows of a batch's distinct n-grams: the n-gram, what it is without its last and its first word, how often it occurs."""
+def _counted(n: int, by: int = 0, part: int = 0, parts: int = 1):
+    """Rows of a batch's distinct n-grams: the n-gram, what it is without its last and its first word, how often it occurs;
+    those alone of which the first, second or third of these (``by`` 0, 1 or 2) is in one part of several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +94,10 @@ def _counted(n: int):
                 h, document = with_ends(Words(buf, offsets[lo : hi + 1], SPACED, lower=False))
                 shorter = h if n < 3 else grams(h, 2)
                 g = (h, grams(h, 2), trigrams(shorter))[n - 1] if len(h) >= n else h[:0]
-                inside = np.flatnonzero(_inside(document, n)) if len(g) else np.zeros(0, np.int64)
+                inside = np.zeros(0, np.int64)
+                if len(g):
+                    of = g if not by else shorter[:-1] if by == 1 else shorter[1:]
+                    inside = np.flatnonzero(_inside(document, n) & (part_of(of, parts) == part))
                 g, first, count = np.unique(g[inside], return_index=True, return_counts=True)
                 at = inside[first]
                 a, b = (shorter[at], shorter[at + 1]) if n > 1 else (g, g)
@@ -99,11 +107,16 @@ def _counted(n: int):
     return run
 
 
-def _taken(rows: DataFrame) -> Column:
-    """What a row's count ``n`` is discounted by, from the counts of all rows."""
-    kinds = {r["n"]: r["rows"] for r in rows.where("n < 5").groupBy("n").agg(F.count("*").alias("rows")).collect()}
-    d = discounts(*(kinds.get(i, 0) for i in (1, 2, 3, 4)))
-    return F.least(F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]), 0.999 * F.col("n"))
+def _kinds(rows: DataFrame) -> collections.Counter:
+    """How many rows have a count ``n`` of one to four."""
+    return collections.Counter({r["n"]: r["rows"] for r in rows.where("n < 5").groupBy("n").agg(F.count("*").alias("rows")).collect()})
+
+
+def _taken(kinds: collections.Counter, n: Column | None = None) -> Column:
+    """What a count ``n`` is discounted by, from the counts of all rows."""
+    d = discounts(*(kinds[i] for i in (1, 2, 3, 4)))
+    n = F.col("n") if n is None else n
+    return F.least(F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2]), 0.999 * n)
 
 
 def _contexts(rows: DataFrame, off: Column) -> DataFrame:
@@ -159,34 +172,50 @@ def fit(trusted: DataFrame, text: str = "text") -> DataFrame:
         return out
 
     texts = kept(trusted.select(F.col(text).alias("text")), "trusted")
-    rows = lambda n: texts.mapInArrow(_counted(n), "g long, a long, b long, n long")
-    three = kept(rows(3).groupBy("a", "b").agg(F.sum("n").cast("int").alias("n")), "trigrams")
+    parts = min(PARTS, 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
+    rows = lambda *which: texts.mapInArrow(_counted(*which), "g long, a long, b long, n long")
+    trigram = lambda by, i: rows(3, by, i, parts).groupBy("a", "b").agg(F.sum("n").cast("int").alias("n"))
     # of shorter n-grams count the different words before them; those only at a start count once
     before = lambda longer: longer.groupBy(F.col("b").alias("g")).agg(F.count("*").cast("int").alias("n"))
-    two = kept(rows(2).select("g", "a", "b").distinct().join(before(three), "g", "left").fillna(1, ["n"]), "bigrams")
-    one = kept(rows(1).select("g").distinct().join(before(two), "g", "left").fillna(1, ["n"]), "words", texts)
-    off = _taken(one)
+    kinds, two = collections.Counter(), []
+    for i in range(parts):
+        three = kept(trigram(2, i), "trigrams")
+        kinds += _kinds(three)
+        two.append(kept(rows(2, 0, i, parts).select("g", "a", "b").distinct().join(before(three), "g", "left").fillna(1, ["n"]), "bigrams", three))
+    pairs = reduce(DataFrame.union, two)
+    one = kept(rows(1).select("g").distinct().join(before(pairs), "g", "left").fillna(1, ["n"]), "words")
+    off = _taken(_kinds(one))
     size, total, left = one.agg(F.count("*"), F.sum("n"), F.sum(off)).first()
     if not size:
         return one.select(F.lit(0).alias("slice"), F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("gains")).where("false")
     floor = left / total / (size + 1)
     p1 = one.select("g", ((F.col("n") - off) / total + floor).alias("p"))
-    off = _taken(two)
-    spans = kept(_contexts(two, off), "contexts")
+    off = _taken(_kinds(pairs))
+    spans = kept(_contexts(pairs, off), "contexts")
     lower = F.col("gamma") * F.col("p")
-    p2 = two.join(spans, "a").join(p1.withColumnRenamed("g", "b"), "b").select("g", ((F.col("n") - off) / F.col("total") + lower).alias("p"), lower.alias("lower"))
-    p2 = kept(p2.select("g", F.col("p").cast("float"), F.col("lower").cast("float")), "pairs", two)
-    off = _taken(three)
-    wide = kept(_contexts(three, off), "contexts")
-    share = (F.col("n") - off) / F.col("total") / F.col("gamma")
-    p3 = kept(three.join(wide, "a").select("a", "b", share.cast("float").alias("share")), "shares", three)
-    as_context = F.coalesce(F.log("gamma"), F.lit(0.0))
+    p2 = []
+    for part in two:
+        made = part.join(spans, "a").join(p1.withColumnRenamed("g", "b"), "b")
+        # a pair with an end is followed by nothing
+        made = made.select("g", ((F.col("n") - off) / F.col("total") + lower).cast("float").alias("p"), lower.cast("float").alias("lower"), (F.col("b") == int(signed(np.array([END], np.uint64))[0])).alias("last"))
+        p2.append(kept(made, "pairs", part))
+    # all other pairs are contexts, and most of them once: what is left of those is known, and only the rest is stored
+    off, once = _taken(kinds), _taken(kinds, F.lit(1))
+    wide = reduce(DataFrame.union, [kept(_contexts(trigram(1, i), off).where("total > 1"), "contexts") for i in range(parts)])
     none = F.lit(None).cast("long").alias("b")
-    made = p3.join(p2.select(F.col("g").alias("b"), "p"), "b").select("a", "b", F.log1p(F.col("share") / F.col("p")).alias("gain"))
-    longest = kept(made.mapInArrow(_packed, _MODEL), "packed", p3)
-    made = p2.join(wide.withColumnRenamed("a", "g"), "g", "left").select(F.col("g").alias("a"), none, (F.log(F.col("p") / F.col("lower")) + as_context).alias("gain"))
-    made = made.union(p1.join(spans.withColumnRenamed("a", "g"), "g", "left").select("g", none, F.log(F.col("p") / floor) + as_context))
-    packed = longest.union(kept(made.mapInArrow(_packed, _MODEL), "packed", one, spans, wide, p2))
+    packed = []
+    for i, part in enumerate(p2):
+        three = kept(trigram(2, i), "trigrams", *([texts] if i == parts - 1 else []))
+        share = (F.col("n") - off) / F.coalesce(F.col("total") * F.col("gamma"), once)
+        made = three.join(part.select(F.col("g").alias("b"), "p"), "b").select("a", "b", "n", "p").join(wide, "a", "left")
+        made = made.select("a", "b", F.log1p(share / F.col("p")).alias("gain"))
+        packed.append(kept(made.mapInArrow(_packed, _MODEL), "packed", three))
+        as_context = F.log(F.coalesce("gamma", F.when(F.col("last"), 1.0).otherwise(once)))
+        made = part.join(wide.withColumnRenamed("a", "g"), "g", "left").select(F.col("g").alias("a"), none, (F.log(F.col("p") / F.col("lower")) + as_context).alias("gain"))
+        packed.append(kept(made.mapInArrow(_packed, _MODEL), "packed", part))
+    as_context = F.coalesce(F.log("gamma"), F.lit(0.0))
+    made = p1.join(spans.withColumnRenamed("a", "g"), "g", "left").select(F.col("g").alias("a"), none, (F.log(F.col("p") / floor) + as_context).alias("gain"))
+    packed = reduce(DataFrame.union, [*packed, kept(made.mapInArrow(_packed, _MODEL), "packed", one, spans)])
     bits = packed.select("grams").mapInArrow(_bits, _MODEL).groupBy("slice").agg(F.bitmap_or_agg("grams").alias("grams")).select("slice", "grams", F.lit(None).cast("binary").alias("gains"))
     unseen = spark.range(1).select(F.lit(-2).alias("slice"), F.lit(None).cast("binary").alias("grams"), F.lit(np.array([np.log(floor)]).tobytes()).alias("gains"))
     return packed.union(kept(bits.union(unseen), "bitmap"))

@@ -498,6 +498,26 @@ def test_quality_in_passes(spark, monkeypatch):
     assert packed < 10 * len(grams)
 
 
+def test_quality_model_in_parts(spark, monkeypatch):
+    """N-grams counted in parts give the same model, and no step stores more than about a part of the trigrams."""
+    texts = [" ".join(f"w{i * j % 97}" for j in range(i % 50, 300)) for i in range(60)] + ["a", " ", "b b b b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    whole = {r.id: r.perplexity for r in kneser_ney.perplexities(df, kneser_ney.fit(df)).collect()}
+    sizes, stored = [], kneser_ney.stored
+
+    def seen(rows, what):
+        out = stored(rows, what)
+        if what == "trigrams":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(kneser_ney, "stored", seen)
+    monkeypatch.setattr(kneser_ney, "PART_BYTES", 1 << 10)
+    parts = {r.id: r.perplexity for r in kneser_ney.perplexities(df, kneser_ney.fit(df)).collect()}
+    assert len(sizes) == 2 * kneser_ney.PARTS and max(sizes) < sum(sizes) / 2 * 0.4
+    assert parts.keys() == whole.keys() and all(parts[i] == pytest.approx(p, rel=1e-5) for i, p in whole.items())
+
+
 def test_quality_sample_and_margin(spark, monkeypatch):
     """About 2500 of enough trusted documents train, and thresholds are 1.15 quantiles."""
     sizes = []
