@@ -2,8 +2,10 @@
 
 Half of the trusted documents train, chosen by a hash of their keys, and the others set the thresholds, so each
 has one use. Callers may ask for fewer (``train_documents``); the query and the pipeline do not. N-grams are
-counted, discounted and interpolated by grouping and joining them, so the model may be of any size; this goes part
+counted, discounted and interpolated in shards by hash, so the model may be of any size; this goes part
 by part of their hashes, and texts are scored in passes, so the disk holds the shuffles of one part or pass at a time.
+A trigram lives in the shard of its last pair, beside that pair's own counts; blocks of texts send sorted arrays of their
+distinct n-grams there. A shard asks the others for sums over its trigrams' contexts, and words are joined by hash.
 
 The interpolated probability is kept as one number for each n-gram: what the log probability of a text
 gains when that n-gram occurs in it, as a prediction and as a context. A text's score is the sum over its
@@ -27,7 +29,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmap import BITMAP, in_bitmap, local_bitmap
@@ -42,6 +44,8 @@ SHARD_BYTES, SHARDS, ROW_GRAMS, SLICE = 16 << 20, 16, 1 << 18, 4096
 PASSES, PASS_BYTES = 6, 32 << 20
 #: N-grams are counted and joined in so many parts at most, one for so many bytes of trusted texts.
 PARTS, PART_BYTES = 4, 8 << 20
+#: Bytes of trusted texts for each shard in which n-grams are counted.
+FIT_BYTES = 4 << 20
 #: Questions leave out so many bits of a hash: of 10**9 n-grams in a model one in 10**7 others is taken for one of them.
 DROPPED_BITS = 8
 QUANTILE = 0.99
@@ -83,69 +87,258 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [min(max(x, 0.1), i - 0.1 + 0.1 * (i > 1)) for i, x in ((1, d1), (2, d2), (3, d3))]
 
 
-def _counted(n: int, by: int = 0, part: int = 0, parts: int = 1):
-    """Rows of a batch's distinct n-grams: the n-gram, what it is without its last and its first word, how often it occurs;
-    those alone of which the first, second or third of these (``by`` 0, 1 or 2) is in one part of several."""
+_SHARDED = "shard int, kind int, x binary, y binary, z binary, n binary, g long, p double, total double, off double"
+#: Kinds of rows of a shard: trigrams and bigrams that texts hold, questions for contexts, answers, a shard's own contexts, words.
+TRIGRAMS, BIGRAMS, ASKED, ANSWER, OWN, WORD = range(6)
+
+
+def _shard_row(shard: int, kind: int, *binary: bytes | None, g: int | None = None) -> tuple:
+    return (shard, kind, *binary, *[None] * (4 - len(binary)), g, None, None, None)
+
+
+def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys, sorted, and the sum of each array over every key's places."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values)
+
+
+def _off(n: np.ndarray, d: list[float]) -> np.ndarray:
+    """What counts are discounted by."""
+    return np.minimum(np.array(d)[np.minimum(n, 3) - 1], 0.999 * n)
+
+
+def _counted(shards: int, lo: int, hi: int):
+    """Rows of a block's distinct trigrams (last pair, first pair, count) and bigrams (hash, first word, last word) whose
+    last pair or hash is in one of the shards ``lo`` to ``hi``, by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets, _ = text_column(batch)
-            for lo, hi in pieces(offsets, 4 * BLOCK_BYTES):
-                h, document = with_ends(Words(buf, offsets[lo : hi + 1], SPACED, lower=False))
-                shorter = h if n < 3 else grams(h, 2)
-                g = (h, grams(h, 2), trigrams(shorter))[n - 1] if len(h) >= n else h[:0]
-                inside = np.zeros(0, np.int64)
-                if len(g):
-                    of = g if not by else shorter[:-1] if by == 1 else shorter[1:]
-                    inside = np.flatnonzero(_inside(document, n) & (part_of(of, parts) == part))
-                g, first, count = np.unique(g[inside], return_index=True, return_counts=True)
-                at = inside[first]
-                a, b = (shorter[at], shorter[at + 1]) if n > 1 else (g, g)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(x)) for x in (g, a, b)] + [pa.array(count.astype(np.int64))], names=["g", "a", "b", "n"])
-            release()
+            for start, end in pieces(offsets, 4 * BLOCK_BYTES):
+                h, document = with_ends(Words(buf, offsets[start : end + 1], SPACED, lower=False))
+                pair = grams(h, 2)
+                shard = part_of(pair, shards)
+                here = (lo <= shard) & (shard < hi)
+                at = np.flatnonzero(here & _inside(document, 2)) if len(pair) else np.zeros(0, np.int64)
+                g, first = np.unique(pair[at], return_index=True)
+                two = g, h[at[first]], h[at[first] + 1]
+                at = np.flatnonzero(here[1:] & _inside(document, 3)) if len(pair) > 1 else np.zeros(0, np.int64)
+                _, first, times = np.unique(joined(pair[at], pair[at + 1]), return_index=True, return_counts=True)
+                at = at[first]
+                order = np.argsort(pair[at + 1])
+                at = at[order]
+                three = pair[at + 1], pair[at], times[order].astype(np.uint32)
+                del h, document, pair, shard, here, at, first, order
+                made = []
+                cut = lambda g: np.searchsorted(part_of(g, shards), np.arange(lo, hi + 1)).tolist()
+                for kind, (x, y, z) in ((TRIGRAMS, three), (BIGRAMS, two)):
+                    ends = cut(x)
+                    for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                        if a < b:
+                            made.append(_shard_row(lo + i, kind, pack_sorted(x[a:b]), y[a:b].tobytes(), pack(z[a:b]) if kind == TRIGRAMS else z[a:b].tobytes()))
+                if made:
+                    yield _rows(made, _SHARDED)
+                release()
 
     return run
 
 
-def _kinds(rows: DataFrame) -> collections.Counter:
-    """How many rows have a count ``n`` of one to four."""
-    return collections.Counter({r["n"]: r["rows"] for r in rows.where("n < 5").groupBy("n").agg(F.count("*").alias("rows")).collect()})
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list]]]:
+    """Each shard of a partition with its rows by kind: (shard, {kind: [(x, y, z, n)]})."""
+    held: dict[int, dict[int, list]] = {}
+    for batch in batches:
+        for i, (shard, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            held.setdefault(shard, collections.defaultdict(list))[kind].append(tuple(batch.column(c)[i].as_py() for c in range(2, 6)))
+    for shard in list(held):
+        yield shard, held.pop(shard)
+        release()
 
 
-def _taken(kinds: collections.Counter, n: Column | None = None) -> Column:
-    """What a count ``n`` is discounted by, from the counts of all rows."""
-    d = discounts(*(kinds[i] for i in (1, 2, 3, 4)))
-    n = F.col("n") if n is None else n
-    return F.least(F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2]), 0.999 * n)
+def _many(rows: list, column: int, read_) -> np.ndarray:
+    return np.concatenate([read_(r[column]) for r in rows] or [np.zeros(0, np.uint64)])
 
 
-def _contexts(rows: DataFrame, off: Column) -> DataFrame:
-    """(a, total, gamma): each context's counts and the share that its discounts leave to shorter n-grams."""
-    return rows.groupBy("a").agg(F.sum("n").alias("total"), (F.sum(off) / F.sum("n")).alias("gamma"))
+def _u64(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slice, grams, gains) rows of n-grams, sorted, without the dropped bits and compressed."""
+def _u32(data: bytes) -> np.ndarray:
+    return unpack(data, np.uint32).astype(np.int64)
+
+
+def _f64(data: bytes) -> np.ndarray:
+    return unpack(data, np.uint64).view(np.float64)
+
+
+_KINDS = ", ".join(f"k{i} long" for i in (1, 2, 3, 4))
 
-    def row(held: list[tuple]) -> pa.RecordBatch:
-        h, x = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.argsort(h)
-        return _rows([(-1, pack_sorted(h[order] >> np.uint64(DROPPED_BITS)), pack(x[order].view(np.uint32)))], _MODEL)
 
-    held, n = [], 0
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's distinct trigrams and their counts, and its bigrams with the number of different words before them; those
+    only at a start count once. First pairs and words are places in a sorted array of the distinct ones. Each row has how
+    many of its counts are one to four."""
+    for shard, rows in _by_shard(batches):
+        b, a, n = _many(rows[TRIGRAMS], 0, unpack_sorted), _many(rows[TRIGRAMS], 1, _u64), _many(rows[TRIGRAMS], 2, _u32)
+        _, first, place = np.unique(joined(a, b), return_index=True, return_inverse=True)
+        n = np.bincount(place, n, minlength=len(first)).astype(np.int64)
+        order = np.argsort(b[first])
+        a, b, n = a[first][order], b[first][order], n[order]
+        g, first = np.unique(_many(rows[BIGRAMS], 0, unpack_sorted), return_index=True)
+        one, two = (_many(rows[BIGRAMS], c, _u64)[first] for c in (1, 2))
+        longer, times = np.unique(b, return_counts=True)
+        before = np.ones(len(g), dtype=np.int64)
+        before[np.searchsorted(g, longer)] = times
+        made = []
+        if len(b):
+            first, place = np.unique(a, return_inverse=True)
+            made.append((*_shard_row(shard, TRIGRAMS, pack_sorted(b), pack_sorted(first), pack(place.astype(np.uint32)), pack(n.astype(np.uint32))), *np.bincount(n[n < 5], minlength=5)[1:].tolist()))
+        if len(g):
+            word, place = np.unique(np.append(one, two), return_inverse=True)
+            made.append((*_shard_row(shard, BIGRAMS, pack_sorted(g), pack_sorted(word), pack(place.astype(np.uint32)), pack(before.astype(np.uint32))), *np.bincount(before[before < 5], minlength=5)[1:].tolist()))
+        yield _rows(made, f"{_SHARDED}, {_KINDS}")
+
+
+def _kinds(rows: DataFrame, kind: int) -> collections.Counter:
+    """How many n-grams of a kind have a count of one to four."""
+    row = rows.where(F.col("kind") == kind).agg(*(F.sum(f"k{i}") for i in (1, 2, 3, 4))).first()
+    return collections.Counter({i + 1: n or 0 for i, n in enumerate(row)})
+
+
+def _of_kinds(kinds: collections.Counter) -> list[float]:
+    return discounts(*(kinds[i] for i in (1, 2, 3, 4)))
+
+
+def _words(d: list[float]):
+    """(g, n, total, off) of each word of a row of bigrams: those it ends, and counts and discounts of those it begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for y, z, n in zip(*(batch.column(c) for c in (3, 4, 5)), strict=True):
+                g, n = unpack_sorted(y.as_py()), _u32(n.as_py())
+                one, two = np.split(_u32(z.as_py()), 2)
+                sums = [np.bincount(at, w, minlength=len(g)) for at, w in ((two, None), (one, n), (one, _off(n, d)))]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(g)), *(pa.array(s.astype(np.int64)) for s in sums[:2]), pa.array(sums[2])], names=["g", "n", "total", "off"])
+        release()
+
+    return run
+
+
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, g) of every distinct word of a row of bigrams."""
     for batch in batches:
-        a, b = (batch.column(i).fill_null(0).to_numpy().view(np.uint64) for i in (0, 1))
-        h = np.where(batch.column(1).is_valid().to_numpy(zero_copy_only=False), joined(a, b), a)
-        held.append((h, batch.column(2).to_numpy().astype(np.float32)))
-        n += len(h)
-        if n >= ROW_GRAMS:
-            yield row(held)
-            held, n = [], 0
-    if n:
-        yield row(held)
+        for shard, y in zip(batch.column(0), batch.column(3), strict=True):
+            g = unpack_sorted(y.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), shard.as_py(), np.int32)), pa.array(signed(g))], names=["shard", "g"])
     release()
 
 
+def _contexts(shards: int, d: list[float]):
+    """A row of trigrams asks each shard for its contexts there, sorted, with their counts and discounts here; ``n`` names the asker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, y, z, n in zip(*(batch.column(c) for c in (0, 3, 4, 5)), strict=True):
+                a, place, n = unpack_sorted(y.as_py()), _u32(z.as_py()), _u32(n.as_py())
+                total, off = np.bincount(place, n), np.bincount(place, _off(n, d))
+                cut = np.searchsorted(part_of(a, shards), np.arange(shards + 1)).tolist()
+                who = shard.as_py().to_bytes(4, "little")
+                made = [_shard_row(i, ASKED, pack_sorted(a[lo:hi]), pack(total[lo:hi].astype(np.uint32)), pack(off[lo:hi].view(np.uint64)), who) for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if lo < hi]
+                yield _rows(made, _SHARDED)
+        release()
+
+    return run
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts summed over all askers: to each the discounts of those it asked for, in their order, and to the shard all sums."""
+    for shard, rows in _by_shard(batches):
+        every = [unpack_sorted(r[0]) for r in rows[ASKED]]
+        a, total, off = _sums(np.concatenate(every), _many(rows[ASKED], 1, _u32), _many(rows[ASKED], 2, _f64))
+        here = shard.to_bytes(4, "little")
+        for asked, r in zip(every, rows[ASKED], strict=True):
+            yield _rows([_shard_row(int.from_bytes(r[3], "little"), ANSWER, pack(off[np.searchsorted(a, asked)].astype(np.float32).view(np.uint32)), None, None, here)], _SHARDED)
+        yield _rows([_shard_row(shard, OWN, pack_sorted(a), pack(total.astype(np.uint32)), pack(off.view(np.uint64)))], _SHARDED)
+
+
+def _gains(shards: int, d2: list[float], d3: list[float]):
+    """(range, grams, gains) of a shard's trigrams and bigrams, from their counts and what was answered about contexts and words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, words = [], collections.defaultdict(list)
+        for batch in batches:
+            kind = batch.column(1).to_numpy()
+            held.append(batch.filter(pa.array(kind != WORD)))
+            word = batch.filter(pa.array(kind == WORD))
+            shard = word.column(0).to_numpy()
+            for i in np.unique(shard).tolist():
+                words[i].append(tuple(word.column(c).fill_null(0).to_numpy(zero_copy_only=False)[shard == i] for c in (6, 7, 8, 9)))
+        for shard, rows in _by_shard(iter(held)):
+            word, p, total, off = (np.concatenate(c) for c in zip(*words.pop(shard), strict=True))
+            order = np.argsort(word.view(np.uint64))
+            word, p, total, off = word.view(np.uint64)[order], p[order], total[order], off[order]
+            (two,) = rows[BIGRAMS]
+            g, n = unpack_sorted(two[0]), _u32(two[3])
+            first, last = np.split(np.searchsorted(word, unpack_sorted(two[1]))[_u32(two[2])], 2)
+            lower = off[first] / total[first] * p[last]
+            p = (n - _off(n, d2)) / total[first] + lower
+            gain = np.log(p / lower)
+            for own, t, o in (r[:3] for r in rows[OWN]):  # a pair with an end is followed by nothing
+                gain[np.searchsorted(g, unpack_sorted(own))] += np.log(_f64(o) / _u32(t))
+            h = g
+            if rows[TRIGRAMS]:
+                (three,) = rows[TRIGRAMS]
+                b, contexts, place, n = unpack_sorted(three[0]), unpack_sorted(three[1]), _u32(three[2]), _u32(three[3])
+                # answers of the shards in their order are those for all contexts in theirs
+                answers = sorted(rows[ANSWER], key=lambda r: int.from_bytes(r[3], "little"))
+                left = np.concatenate([unpack(r[0], np.uint32).view(np.float32) for r in answers]).astype(np.float64)
+                if len(contexts) != len(left):
+                    raise RuntimeError("a shard lacks answers")
+                h = np.append(g, joined(contexts[place], b))
+                gain = np.append(gain, np.log1p((n - _off(n, d3)) / left[place] / p[np.searchsorted(g, b)]))
+            yield _ranges(h, gain, shards)
+
+    return run
+
+
+def _ranges(h: np.ndarray, gain: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """N-grams cut into ranges of their hashes: sorted, without the dropped bits and compressed."""
+    order = np.argsort(h)
+    h, gain = h[order], gain[order].astype(np.float32).view(np.uint32)
+    cut = np.searchsorted(part_of(h, ranges), np.arange(ranges + 1)).tolist()
+    h = h >> np.uint64(DROPPED_BITS)
+    return _rows([(i, pack_sorted(h[lo:hi]), pack(gain[lo:hi])) for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if lo < hi], _MODEL)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(-1, grams, gains): rows of up to ``ROW_GRAMS`` n-grams of a range, sorted: the closer they are, the less they take."""
+    held = collections.defaultdict(list)
+    for batch in batches:
+        for where, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held[where].append(row)
+    for where in list(held):
+        rows = held.pop(where)
+        h, gain = np.concatenate([unpack_sorted(g) for g, _ in rows]), np.concatenate([unpack(x, np.uint32) for _, x in rows])
+        order = np.argsort(h)
+        for at in range(0, len(h), ROW_GRAMS):
+            some = order[at : at + ROW_GRAMS]
+            yield _rows([(-1, pack_sorted(h[some]), pack(gain[some]))], _MODEL)
+        release()
+
+
+def _packed(ranges: int):
+    """(range, grams, gains) of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _ranges(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), ranges)
+        release()
+
+    return run
+
+
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's bitmap of the model's n-grams, in slices from 0 on."""
     bits = np.zeros(BITMAP // 8, dtype=np.uint8)
@@ -172,50 +365,43 @@ def fit(trusted: DataFrame, text: str = "text") -> DataFrame:
         return out
 
     texts = kept(trusted.select(F.col(text).alias("text")), "trusted")
-    parts = min(PARTS, 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
-    rows = lambda *which: texts.mapInArrow(_counted(*which), "g long, a long, b long, n long")
-    trigram = lambda by, i: rows(3, by, i, parts).groupBy("a", "b").agg(F.sum("n").cast("int").alias("n"))
-    # of shorter n-grams count the different words before them; those only at a start count once
-    before = lambda longer: longer.groupBy(F.col("b").alias("g")).agg(F.count("*").cast("int").alias("n"))
-    kinds, two = collections.Counter(), []
+    many, size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    if not many:
+        return texts.select(F.lit(0).alias("slice"), F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("gains")).where("false")
+    parts = min(PARTS, 1 + (size or 0) // PART_BYTES)
+    each = max(1, -(-(size or 0) // (parts * FIT_BYTES)))  # shards of a part
+    shards = parts * each
+    counted = []
     for i in range(parts):
-        three = kept(trigram(2, i), "trigrams")
-        kinds += _kinds(three)
-        two.append(kept(rows(2, 0, i, parts).select("g", "a", "b").distinct().join(before(three), "g", "left").fillna(1, ["n"]), "bigrams", three))
-    pairs = reduce(DataFrame.union, two)
-    one = kept(rows(1).select("g").distinct().join(before(pairs), "g", "left").fillna(1, ["n"]), "words")
-    off = _taken(_kinds(one))
+        rows = texts.mapInArrow(_counted(shards, i * each, (i + 1) * each), _SHARDED)
+        counted.append(kept(rows.repartition(each, "shard").mapInArrow(_distinct, f"{_SHARDED}, {_KINDS}"), "trigrams", *([texts] if i == parts - 1 else [])))
+        del rows
+    every = reduce(DataFrame.union, counted)
+    d2, d3 = (_of_kinds(_kinds(every, kind)) for kind in (BIGRAMS, TRIGRAMS))
+    # a text has an end, and what has no word before it counts once
+    ends = spark.range(1).select(F.lit(int(signed(np.array([END], np.uint64))[0])).alias("g"), *(F.lit(0).cast(t).alias(n) for n, t in (("n", "long"), ("total", "long"), ("off", "double"))))
+    bigrams = every.where(F.col("kind") == BIGRAMS).drop(*(f"k{i}" for i in (1, 2, 3, 4)))
+    one = bigrams.mapInArrow(_words(d2), "g long, n long, total long, off double").union(ends).groupBy("g").agg(F.greatest(F.sum("n"), F.lit(1)).alias("n"), F.sum("total").alias("total"), F.sum("off").alias("off"))
+    one = kept(one, "words")
+    d1 = _of_kinds(collections.Counter({r["n"]: r["rows"] for r in one.where("n < 5").groupBy("n").agg(F.count("*").alias("rows")).collect()}))
+    off = F.least(F.when(F.col("n") == 1, d1[0]).when(F.col("n") == 2, d1[1]).otherwise(d1[2]), 0.999 * F.col("n"))
     size, total, left = one.agg(F.count("*"), F.sum("n"), F.sum(off)).first()
-    if not size:
-        return one.select(F.lit(0).alias("slice"), F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("gains")).where("false")
     floor = left / total / (size + 1)
-    p1 = one.select("g", ((F.col("n") - off) / total + floor).alias("p"))
-    off = _taken(_kinds(pairs))
-    spans = kept(_contexts(pairs, off), "contexts")
-    lower = F.col("gamma") * F.col("p")
-    p2 = []
-    for part in two:
-        made = part.join(spans, "a").join(p1.withColumnRenamed("g", "b"), "b")
-        # a pair with an end is followed by nothing
-        made = made.select("g", ((F.col("n") - off) / F.col("total") + lower).cast("float").alias("p"), lower.cast("float").alias("lower"), (F.col("b") == int(signed(np.array([END], np.uint64))[0])).alias("last"))
-        p2.append(kept(made, "pairs", part))
-    # all other pairs are contexts, and most of them once: what is left of those is known, and only the rest is stored
-    off, once = _taken(kinds), _taken(kinds, F.lit(1))
-    wide = reduce(DataFrame.union, [kept(_contexts(trigram(1, i), off).where("total > 1"), "contexts") for i in range(parts)])
-    none = F.lit(None).cast("long").alias("b")
+    words = one.select("g", ((F.col("n") - off) / total + floor).alias("p"), F.col("total").cast("double").alias("total"), "off")
+    trigrams_ = every.where(F.col("kind") == TRIGRAMS).drop(*(f"k{i}" for i in (1, 2, 3, 4)))
+    contexts = kept(trigrams_.mapInArrow(_contexts(shards, d3), _SHARDED).repartition(shards, "shard").mapInArrow(_answered, _SHARDED), "contexts")
     packed = []
-    for i, part in enumerate(p2):
-        three = kept(trigram(2, i), "trigrams", *([texts] if i == parts - 1 else []))
-        share = (F.col("n") - off) / F.coalesce(F.col("total") * F.col("gamma"), once)
-        made = three.join(part.select(F.col("g").alias("b"), "p"), "b").select("a", "b", "n", "p").join(wide, "a", "left")
-        made = made.select("a", "b", F.log1p(share / F.col("p")).alias("gain"))
-        packed.append(kept(made.mapInArrow(_packed, _MODEL), "packed", three))
-        as_context = F.log(F.coalesce("gamma", F.when(F.col("last"), 1.0).otherwise(once)))
-        made = part.join(wide.withColumnRenamed("a", "g"), "g", "left").select(F.col("g").alias("a"), none, (F.log(F.col("p") / F.col("lower")) + as_context).alias("gain"))
-        packed.append(kept(made.mapInArrow(_packed, _MODEL), "packed", part))
-    as_context = F.coalesce(F.log("gamma"), F.lit(0.0))
-    made = p1.join(spans.withColumnRenamed("a", "g"), "g", "left").select(F.col("g").alias("a"), none, (F.log(F.col("p") / floor) + as_context).alias("gain"))
-    packed = reduce(DataFrame.union, [*packed, kept(made.mapInArrow(_packed, _MODEL), "packed", one, spans)])
+    empty = [F.lit(None).cast("binary").alias(c) for c in "xyzn"]
+    for i, part in enumerate(counted):
+        part = part.drop(*(f"k{i}" for i in (1, 2, 3, 4)))
+        asked = part.where(F.col("kind") == BIGRAMS).mapInArrow(_needed, "shard int, g long")
+        known = asked.join(words, "g").select("shard", F.lit(WORD).alias("kind"), *empty, "g", "p", "total", "off")
+        rows = part.union(contexts.where(F.col("shard").between(i * each, (i + 1) * each - 1))).union(known)
+        packed.append(kept(rows.repartition(each, "shard").mapInArrow(_gains(shards, d2, d3), _MODEL), "trigrams", counted[i]))
+        del rows, known, asked
+    gain = F.log(F.col("p") / floor) + F.when(F.col("total") > 0, F.log(F.col("off") / F.col("total"))).otherwise(0.0)
+    packed.append(kept(words.select("g", gain.alias("gain")).mapInArrow(_packed(shards), _MODEL), "packed", one, contexts))
+    packed = kept(reduce(DataFrame.union, packed).repartition(shards, "slice").mapInArrow(_merged, _MODEL), "model", *packed)
     bits = packed.select("grams").mapInArrow(_bits, _MODEL).groupBy("slice").agg(F.bitmap_or_agg("grams").alias("grams")).select("slice", "grams", F.lit(None).cast("binary").alias("gains"))
     unseen = spark.range(1).select(F.lit(-2).alias("slice"), F.lit(None).cast("binary").alias("grams"), F.lit(np.array([np.log(floor)]).tobytes()).alias("gains"))
     return packed.union(kept(bits.union(unseen), "bitmap"))
@@ -254,7 +440,7 @@ def _held(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
     fields = [x.split() for x in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[f for f, _ in fields])
 

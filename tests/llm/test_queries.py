@@ -518,6 +518,28 @@ def test_quality_model_in_parts(spark, monkeypatch):
     assert parts.keys() == whole.keys() and all(parts[i] == pytest.approx(p, rel=1e-5) for i, p in whole.items())
 
 
+def test_quality_model_in_shards(spark, monkeypatch):
+    """Texts are read once a part to count n-grams, and many shards give the model of one."""
+    texts = [" ".join(f"w{i * j % 97}" for j in range(i % 50, 300)) for i in range(60)] + ["a", " ", "b b b b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts])], "id long, text string").repartition(3)
+    whole = {r.id: r.perplexity for r in kneser_ney.perplexities(df, kneser_ney.fit(df)).collect()}
+    asked, counted = [], kneser_ney._counted
+    monkeypatch.setattr(kneser_ney, "_counted", lambda *which: asked.append(which) or counted(*which))
+    monkeypatch.setattr(kneser_ney, "PART_BYTES", 1 << 10)
+    monkeypatch.setattr(kneser_ney, "FIT_BYTES", 1 << 12, raising=False)
+    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 1 << 12)
+    model = kneser_ney.fit(df)
+    assert len(asked) == kneser_ney.PARTS and model.where("slice = -1").count() > 2 * kneser_ney.PARTS
+    cut = {r.id: r.perplexity for r in kneser_ney.perplexities(df, model).collect()}
+    assert cut.keys() == whole.keys() and all(cut[i] == pytest.approx(p, rel=1e-5) for i, p in whole.items())
+    grams = {tuple(w[i : i + n]) for t in texts for w in [[*t.split(), None]] for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+    held = [kneser_ney.unpack_sorted(r.grams) for r in model.where("slice = -1").collect()]
+    assert sum(map(len, held)) == len(set(np.concatenate(held).tolist())) == len(grams)
+    blank = kneser_ney.fit(spark.createDataFrame([(" ",), ("",)], "text string"))
+    assert [len(kneser_ney.unpack_sorted(r.grams)) for r in blank.where("slice = -1").collect()] == [1]
+    assert kneser_ney.fit(df.where("false")).isEmpty()
+
+
 def test_quality_sample_and_margin(spark, monkeypatch):
     """About 2500 of enough trusted documents train, and thresholds are 1.15 quantiles."""
     sizes = []
