@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that a task sorts or joins at once, about: a few hundred bytes each.
-TASK_ROWS = 1 << 19
+TASK_ROWS = 1 << 17
 
 
 def session(name: str = "lodestone", master: str | None = None, **conf: str) -> SparkSession:
