@@ -68,15 +68,32 @@ def _arrows() -> Column:
     return F.array_sort(made)
 
 
+def _address(x: Column | str) -> Column:
+    return F.lpad(F.lower(F.hex(x)), 8, "0")
+
+
+def listed_instructions(said: Column) -> Column:
+    """Aggregate: a block's instructions by address, from (address, mnemonic, proto, ops)."""
+    shown = lambda i: F.struct(_address(i["address"]).alias("address"), i["mnemonic"].alias("mnemonic"), i["proto"].alias("proto"), i["ops"].alias("ops"))
+    return F.transform(F.array_sort(F.collect_list(said)), shown)
+
+
+def _shown(listed: DataFrame, *others: str | Column) -> DataFrame:
+    """``others``, ``blocks`` and ``edges`` of documents, from each function's ``held`` blocks by start: (start, ..., instructions, flows)."""
+    number = F.transform("held", lambda b, i: F.struct(F.concat(F.lit("B"), i.cast("string")).alias("id"), b["start"].alias("start"), b["instructions"].alias("instructions"), b["flows"].alias("flows")))
+    shown = F.transform("held", lambda b: F.struct(b["id"].alias("id"), _address(b["start"]).alias("start"), b["instructions"].alias("instructions")))
+    return listed.withColumn("held", number).select(*others, shown.alias("blocks"), _arrows().alias("edges"))
+
+
+def documents_of_blocks(listed: DataFrame, program: str = "program_id") -> DataFrame:
+    """``cfg_documents`` of functions that have their blocks: (program, name, lo, held), ``held`` as ``_shown`` takes it."""
+    return _shown(listed, program, F.col("name").alias("function_name"), _address("lo").alias("entry"))
+
+
 def cfg_documents(functions: DataFrame, blocks: DataFrame, instructions: DataFrame, destinations: DataFrame, program: str = "program_id") -> DataFrame:
     """(program, function_name, entry, blocks, edges): one nested document a function, functions without blocks too."""
     lines = instructions_in_blocks(instructions, blocks, program)
-    per_block = lines.groupBy(program, F.col("block_start").alias("start")).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("address", "mnemonic", "proto", "ops"))),
-            lambda i: F.struct(F.lpad(F.lower(F.hex(i["address"])), 8, "0").alias("address"), i["mnemonic"].alias("mnemonic"), i["proto"].alias("proto"), i["ops"].alias("ops")),
-        ).alias("instructions")
-    )
+    per_block = lines.groupBy(program, F.col("block_start").alias("start")).agg(listed_instructions(F.struct("address", "mnemonic", "proto", "ops")).alias("instructions"))
     # what a block holds goes along when it meets its functions; then a function's blocks meet once
     flows = destinations.where(F.col("dst_start").isNotNull()).groupBy(program, F.col("src_start").alias("start"))
     flows = flows.agg(F.collect_list(F.struct(F.col("dst_start").cast("long").alias("to"), "type")).alias("flows"))
@@ -89,12 +106,8 @@ def cfg_documents(functions: DataFrame, blocks: DataFrame, instructions: DataFra
     none = F.array().cast("array<struct<address:string,mnemonic:string,proto:string,ops:array<string>>>")
     content = F.coalesce("instructions", none).alias("instructions")
     listed = owned.groupBy(program, "name").agg(F.array_sort(F.collect_list(F.struct("start", "end", content, "flows"))).alias("held"))
-    numbered = F.transform("held", lambda b, i: F.struct(F.concat(F.lit("B"), i.cast("string")).alias("id"), b["start"].alias("start"), b["instructions"].alias("instructions"), b["flows"].alias("flows")))
-    listed = listed.select(program, "name", numbered.alias("held"))
-    shown = F.transform("held", lambda b: F.struct(b["id"].alias("id"), F.lpad(F.lower(F.hex(b["start"])), 8, "0").alias("start"), b["instructions"].alias("instructions")))
-    listed = listed.select(program, "name", shown.alias("blocks"), _arrows().alias("edges"))
-    entry = F.lpad(F.lower(F.hex("lo")), 8, "0")
-    out = functions.select(program, "name", entry.alias("entry")).join(listed, [program, "name"], "left")
+    listed = _shown(listed, program, "name")
+    out = functions.select(program, "name", _address("lo").alias("entry")).join(listed, [program, "name"], "left")
     return out.select(
         program,
         F.col("name").alias("function_name"),
