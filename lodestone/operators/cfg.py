@@ -57,15 +57,14 @@ def flows_of_functions(function_blocks: DataFrame, destinations: DataFrame, prog
 
 
 def _arrows() -> Column:
-    """The edges among a function's ``held`` blocks, in order. Where several begin at one address, each is an end."""
-    none = F.array().cast("array<struct<to:bigint,type:string>>")
-    starts = F.transform("held", lambda b: b["start"].cast("long"))
+    """The edges among a function's ``held`` blocks, that begin at ``starts``, in order. Where several begin at one address, each is an end."""
+    none, starts = F.array().cast("array<struct<to:bigint,type:string>>"), F.col("starts")
     said = lambda b, f, to: F.struct(b["id"].alias("src"), to.alias("dst"), f["type"].alias("type"))
     from_block = lambda each: F.flatten(F.transform("held", lambda b: F.flatten(F.transform(F.coalesce(b["flows"], none), lambda f: each(b, f)))))
     one = from_block(lambda b, f: F.transform(F.filter(F.array(F.array_position(starts, f["to"])), lambda i: i > 0), lambda i: said(b, f, F.concat(F.lit("B"), (i - 1).cast("string")))))
     every = from_block(lambda b, f: F.transform(F.filter("held", lambda t: t["start"] == f["to"]), lambda t: said(b, f, t["id"])))
     made = F.when(F.size(F.array_distinct(starts)) == F.size(starts), one).otherwise(every)
-    return F.array_sort(made)
+    return F.sort_array(made)
 
 
 def _address(x: Column | str) -> Column:
@@ -75,14 +74,15 @@ def _address(x: Column | str) -> Column:
 def listed_instructions(said: Column) -> Column:
     """Aggregate: a block's instructions by address, from (address, mnemonic, proto, ops)."""
     shown = lambda i: F.struct(_address(i["address"]).alias("address"), i["mnemonic"].alias("mnemonic"), i["proto"].alias("proto"), i["ops"].alias("ops"))
-    return F.transform(F.array_sort(F.collect_list(said)), shown)
+    return F.transform(F.sort_array(F.collect_list(said)), shown)
 
 
 def _shown(listed: DataFrame, *others: str | Column) -> DataFrame:
     """``others``, ``blocks`` and ``edges`` of documents, from each function's ``held`` blocks by start: (start, ..., instructions, flows)."""
     number = F.transform("held", lambda b, i: F.struct(F.concat(F.lit("B"), i.cast("string")).alias("id"), b["start"].alias("start"), b["instructions"].alias("instructions"), b["flows"].alias("flows")))
     shown = F.transform("held", lambda b: F.struct(b["id"].alias("id"), _address(b["start"]).alias("start"), b["instructions"].alias("instructions")))
-    return listed.withColumn("held", number).select(*others, shown.alias("blocks"), _arrows().alias("edges"))
+    starts = F.transform("held", lambda b: b["start"].cast("long"))  # a column, so that it is not made again for each flow
+    return listed.withColumns({"held": number, "starts": starts}).select(*others, shown.alias("blocks"), _arrows().alias("edges"))
 
 
 def documents_of_blocks(listed: DataFrame, program: str = "program_id") -> DataFrame:
